@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash, simhash
+from . import idfiles, minhash, packing, simhash, warc
 from .common import read_table
 
 
@@ -14,15 +14,30 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return idfiles.id_file_round_trip(read_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"))
+
+
+def op9_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_fingerprints,
+        op6_token_id_files,
         op7_simhash_near_duplicates,
+        op8_best_fit_packing,
+        op9_warc_chunk_table,
     )
 }
 
