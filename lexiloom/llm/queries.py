@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import idfiles, minhash, packing, simhash, warc
+from . import flac, idfiles, licenses, minhash, packing, pieces, pii, quality, simhash, warc
 from .common import read_table
 
 
@@ -14,6 +14,22 @@ def op1_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprint_edits(read_table(spark, sf_dir, "documents"))
 
 
+def op2_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(read_table(spark, sf_dir, "documents"))
+
+
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
+def op5_piece_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_and_decode(read_table(spark, sf_dir, "documents"))
+
+
 def op6_token_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.id_file_round_trip(read_table(spark, sf_dir, "documents"))
 
@@ -30,15 +46,24 @@ def op9_warc_chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(read_table(spark, sf_dir, "pages"))
 
 
+def op10_flac_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flac.media_round_trip(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_minhash_fingerprints,
+        op2_license_digests,
+        op3_personal_data,
+        op4_quality_scores,
+        op5_piece_n_best,
         op6_token_id_files,
         op7_simhash_near_duplicates,
         op8_best_fit_packing,
         op9_warc_chunk_table,
+        op10_flac_blocks,
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_digests": licenses.oracle_sql()}
