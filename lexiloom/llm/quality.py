@@ -21,7 +21,7 @@ from pyspark.sql.functions import pandas_udf
 from .common import cut, small_batches, whole_text
 
 #: Share of the pooled covariance, and of the identity, in each class's own.
-POOLED, IDENTITY = 0.10, 0.02
+POOLED, IDENTITY = 0.30, 0.02
 THRESHOLD = 0.3
 FOLDS = 5
 
