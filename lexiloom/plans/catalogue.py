@@ -2,5 +2,272 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.stem import stem
+from ..functions.text import escape_html, is_http
+from ..operators import evaluation, ledger, mi, ngrams, similarity, tasks, templates
+from ..sources import adapters
+from ..sources.shared import cut
+from ..sources.tables import read_table
+from .oracles import ORACLE_SQL
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+BUCKET = "reports"
+
+
+def _query(function: Query) -> Query:
+    QUERIES[function.__name__] = function
+    return function
+
+
+def _rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+@_query
+def mi_events(spark, d):
+    return _rounded(mi.mutual_information(adapters.triples_from_events(spark, d)), "mi")
+
+
+@_query
+def mi_lineitem(spark, d):
+    return _rounded(mi.mutual_information(adapters.triples_from_lineitem(spark, d)), "mi")
+
+
+@_query
+def triples_agg(spark, d):
+    return mi.aggregate(adapters.triples_from_events(spark, d))
+
+
+@_query
+def slot_word_counts(spark, d):
+    return mi.slot_word_counts(adapters.triples_from_lineitem(spark, d))
+
+
+@_query
+def slot_totals(spark, d):
+    return mi.slot_totals(mi.slot_word_counts(adapters.triples_from_events(spark, d)))
+
+
+@_query
+def path_slot_totals(spark, d):
+    return mi.path_slot_totals(adapters.triples_from_lineitem(spark, d))
+
+
+@_query
+def mi_filtered(spark, d):
+    """MI of listed paths only; the marginals still come from all."""
+    triples = adapters.triples_from_lineitem(spark, d)
+    listed = triples.select("pid").distinct().where(F.col("pid").contains(" s3 "))
+    return _rounded(mi.mutual_information(triples, listed), "mi")
+
+
+def _mi(spark, d):
+    return cut(mi.mutual_information(adapters.triples_from_lineitem(spark, d)))
+
+
+def _pairs(spark, d):
+    return cut(adapters.pairs_from_paths(adapters.triples_from_lineitem(spark, d)))
+
+
+def _scores(spark, d, **how):
+    """Scores that evaluation reads more than once, so they are settled first."""
+    return cut(_rounded(similarity.path_similarity(_mi(spark, d), _pairs(spark, d), **how), "score"))
+
+
+@_query
+def slot_sums(spark, d):
+    return _rounded(similarity.slot_sums(_mi(spark, d)), "total")
+
+
+@_query
+def slot_similarity(spark, d):
+    pairs = similarity.normalized_pairs(_pairs(spark, d))
+    slots = F.explode(F.array(F.lit("X"), F.lit("Y")))
+    sides = pairs.select("p1", "p2", slots.alias("s1")).select("p1", "s1", "p2", F.col("s1").alias("s2"))
+    return _rounded(similarity.slot_similarity(_mi(spark, d), sides), "sim")
+
+
+@_query
+def path_similarity(spark, d):
+    return _scores(spark, d, by_roles=False)
+
+
+@_query
+def path_similarity_roles(spark, d):
+    return _scores(spark, d)
+
+
+@_query
+def path_similarity_max(spark, d):
+    return _scores(spark, d, use_max_swap=True)
+
+
+@_query
+def score_diagnostics(spark, d):
+    return evaluation.diagnostics(_scores(spark, d))
+
+
+@_query
+def zero_breakdown(spark, d):
+    return evaluation.zero_breakdown(_mi(spark, d), _pairs(spark, d))
+
+
+@_query
+def pr_curve(spark, d):
+    return _rounded(evaluation.pr_curve(_scores(spark, d)), "precision", "recall")
+
+
+@_query
+def best_threshold(spark, d):
+    return _rounded(evaluation.best_threshold(_scores(spark, d)), "f1")
+
+
+@_query
+def error_analysis(spark, d):
+    return evaluation.error_analysis(_scores(spark, d))
+
+
+@_query
+def error_analysis_compare(spark, d):
+    """Beside scores of an earlier run that had the pairs of even ord, without roles."""
+    earlier = _scores(spark, d, by_roles=False).where("ord % 2 = 0")
+    return evaluation.error_analysis(_scores(spark, d), previous=earlier)
+
+
+@_query
+def template_norm(spark, d):
+    pairs = _pairs(spark, d)
+    return templates.normalize(pairs.select(F.explode(F.array("lhs", "rhs")).alias("template")).distinct())
+
+
+@_query
+def path_whitelist(spark, d):
+    return templates.whitelist(_pairs(spark, d))
+
+
+@_query
+def stem_vocab(spark, d):
+    words = read_table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    return stem(words)
+
+
+@_query
+def ngram_tokens(spark, d):
+    rows = ngrams.parse(adapters.ngrams_from_documents(spark, d)).select("head", "cnt", F.explode("tokens").alias("t"))
+    return rows.groupBy("t.word", "t.pos", "t.dep", F.col("t.head").alias("parent")).agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"))
+
+
+@_query
+def tree_parents(spark, d):
+    rows = ngrams.with_tree(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    return rows.groupBy(F.array_join(F.transform("parent", lambda p: p.cast("string")), ",").alias("parents")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def token_lca(spark, d):
+    rows = ngrams.common_ancestors(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    return rows.groupBy("i", "j", "lca").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def path_instances(spark, d):
+    rows = ngrams.path_instances(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    return rows.groupBy("pid", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"))
+
+
+@_query
+def triples_ngrams(spark, d):
+    return ngrams.triples(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+
+
+@_query
+def mi_ngrams(spark, d):
+    return _rounded(mi.mutual_information(ngrams.triples(ngrams.parse(adapters.ngrams_from_documents(spark, d)))), "mi")
+
+
+def _tasks(spark, d):
+    return tasks.parse(adapters.task_lines_from_pages(spark, d))
+
+
+@_query
+def task_parse(spark, d):
+    return _tasks(spark, d)
+
+
+@_query
+def result_keys(spark, d):
+    return tasks.result_keys(_tasks(spark, d))
+
+
+@_query
+def html_escape(spark, d):
+    return read_table(spark, d, "pages").select("page_id", escape_html(F.col("html")).alias("escaped"))
+
+
+@_query
+def link_check(spark, d):
+    page = F.col("page_id")
+    url = F.when(page % 4 == 0, F.concat(F.lit("javascript:alert("), page.cast("string"), F.lit(")"))).when(page % 4 == 1, F.concat(F.lit("https://example .com/"), page.cast("string"))).otherwise(F.col("url"))
+    return read_table(spark, d, "pages").select("page_id", url.alias("link")).withColumn("safe", is_http(F.col("link")))
+
+
+def _results(spark, d):
+    return adapters.results_from_events(spark, d)
+
+
+@_query
+def first_terminal_result(spark, d):
+    return tasks.first_terminal(_results(spark, d)).select("task_id", "sub_task_id", F.col("arrival.event_id").alias("event_id"), "status", "result", "error")
+
+
+@_query
+def unknown_results(spark, d):
+    return tasks.unknown_results(_results(spark, d), adapters.tasks_from_events(spark)).select("task_id", "sub_task_id", F.col("arrival.event_id").alias("event_id"))
+
+
+@_query
+def job_progress(spark, d):
+    return tasks.progress(adapters.tasks_from_events(spark), _results(spark, d))
+
+
+@_query
+def summary_rows(spark, d):
+    return tasks.summary_rows(adapters.tasks_from_events(spark), _results(spark, d))
+
+
+@_query
+def html_report(spark, d):
+    return tasks.html_report(tasks.summary_rows(adapters.tasks_from_events(spark), _results(spark, d)), BUCKET)
+
+
+@_query
+def line_analysis(spark, d):
+    kind = F.when(F.col("doc_id") % 2 == 0, "POS").otherwise("SENTIMENT")
+    docs = read_table(spark, d, "documents").select("doc_id", kind.alias("analysis"), F.coalesce("text", F.lit("")).alias("text"))
+    return tasks.analyze(docs)
+
+
+@_query
+def dispatch_plan(spark, d):
+    states = adapters.subtask_states(spark, d)
+    now = read_table(spark, d, "events").agg((F.max("ts") - F.expr("interval 6 hours")).alias("now"))
+    return tasks.dispatch_plan(states.join(F.broadcast(now)), F.col("now"))
+
+
+@_query
+def lease_fold(spark, d):
+    """Outcome of every lease event, with the state after it."""
+    return ledger.fold(adapters.ledger_events(spark, d))
+
+
+@_query
+def lease_outcomes(spark, d):
+    """How often each event came out how."""
+    events = adapters.ledger_events(spark, d)
+    return ledger.fold(events).join(events.select("seq", "kind"), "seq").groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
