@@ -80,7 +80,7 @@ def packed_fingerprint(text: Column, words: int = WORDS) -> Column:
     def over(hashes: Column) -> Column:
         mins = let(F.sort_array(F.concat(hashes, markers)), first_of_bins)
         kept = F.transform(mins, lambda x: F.when(x.bitwiseAND(_LOW) != _LOW, x))
-        return F.when(F.size(hashes) > 0, pack(let(let(kept, densify), lambda a: a))).otherwise(F.expr("cast(array() as array<bigint>)"))
+        return F.when(F.size(hashes) > 0, let(let(kept, densify), pack)).otherwise(F.expr("cast(array() as array<bigint>)"))
 
     return let(shingle_hashes(text, words), over)
 
