@@ -347,7 +347,7 @@ def _decode_frames(data: np.ndarray, sub: np.ndarray, sizes: np.ndarray) -> np.n
     constant = kind == 0
     top = int(order.max(initial=0))
     coefficients, shift = np.zeros((max(top, 1), lanes), np.int64), np.zeros(lanes, np.int64)
-    for o, own in enumerate(FIXED):
+    for o, own in enumerate(FIXED[: top + 1]):
         for j, c in enumerate(own):
             coefficients[j, fixed & (order == o)] = c
     own = np.flatnonzero(linear)

@@ -180,7 +180,7 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """``fp`` (distinct) -> ``(u, v)``: links that connect what is in reach.
 
     The links span every component of the graph "at most ``distance`` bits
-    apart"; a link that closes a circle may be left out.
+    apart", and no more; u and v themselves can be further apart.
     """
     ranked = (
         fingerprints.select("fp", F.explode(_bands(F.col("fp"), distance)).alias("b"))
