@@ -103,7 +103,7 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         job.alias("task_id"),
         F.concat(job, F.lit(":"), (F.col("event_id") % 3).cast("string")).alias("sub_task_id"),
         F.col("event_id").alias("seq"),
-        F.unix_micros("ts").cast("double").alias("at"),
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"),
         F.when(first, "create").otherwise(F.get(kinds, (F.col("event_id") % 8).cast("int"))).alias("kind"),
         F.concat(F.lit("worker-"), (F.col("user_id") % 2).cast("string")).alias("actor"),
         F.lit(3.6e9).alias("lease"),
