@@ -9,13 +9,19 @@ so is the entire text of each of its lines, for notices of one line.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import cut, small_batches, whole_text
 
 _COPYRIGHT = r"(^|\n)[ \t/*#;<!-]*(copyright|\(c\)|©)[^\n]*"
 _OTHER = "[^a-z0-9]+"
+_COPYRIGHT_LINES, _OTHERS = re.compile(_COPYRIGHT), re.compile(_OTHER)
 #: Spellings that count as the same.
 SPELLINGS = (
     ("licenc", "licens"),
@@ -86,19 +92,41 @@ KNOWN = (
 )
 
 
-def canonical(text: Column) -> Column:
+def canonical(text: str) -> str:
     """Canonical form of a whole text; empty if nothing is left."""
-    out = F.regexp_replace(F.lower(text), _COPYRIGHT, "$1")
-    out = F.concat(F.regexp_replace(out, _OTHER, " "), F.lit(" "))
+    text = text.lower()
+    if "copyright" in text or "(c)" in text or "©" in text:
+        text = _COPYRIGHT_LINES.sub(r"\1", text)
+    text = _OTHERS.sub(" ", text) + " "
     for spelling, same in SPELLINGS:
-        out = F.replace(out, F.lit(spelling), F.lit(same))
-    return F.trim(out)
+        text = text.replace(spelling, same)
+    return text.strip(" ")
+
+
+def _digest(form: str) -> str:
+    return hashlib.sha256(form.encode()).hexdigest()
 
 
 def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
     """``(license, text)`` pairs -> ``(digest, license, size)``; the first name alphabetically if a text has several."""
-    rows = spark.createDataFrame(list(texts), "license string, text string").select("license", canonical(F.col("text")).alias("c")).where("c != ''")
-    return rows.groupBy(F.sha2("c", 256).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("c")).alias("size"))
+    forms = [(name, canonical(text)) for name, text in texts]
+    rows = spark.createDataFrame([(_digest(c), name, len(c)) for name, c in forms if c], "digest string, license string, size int")
+    return rows.groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"))
+
+
+_DIGESTS = "doc_id string, digest string, lines array<string>"
+
+
+def _digests(batches: Iterator[pd.DataFrame], sizes: frozenset[int]) -> Iterator[pd.DataFrame]:
+    """Digest of each text, and of its lines whose canonical form is as long as a known one."""
+    least = min(sizes, default=1 << 62)
+    for pdf in batches:
+        out = []
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            # a form has at most as many letters as its line, but for the few that spellings add
+            forms = (canonical(line) for line in text.split("\n") if len(line) >= least - 8)
+            out.append((doc_id, _digest(canonical(text)), [_digest(c) for c in forms if c and len(c) in sizes]))
+        yield pd.DataFrame(out, columns=["doc_id", "digest", "lines"])
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -112,22 +140,19 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     result; other columns are ignored. ``known(digest, license, size)`` may be of
     any size: Spark broadcasts it only below its size limit.
     """
+    small_batches(docs.sparkSession)
     known = known_digests(docs.sparkSession) if known is None else known
-    sizes = known.agg(F.min("size").alias("lo"), F.max("size").alias("hi")).first()
-    lo, hi = sizes["lo"] or 0, sizes["hi"] or 0
-    text = whole_text()
-    whole = docs.select("doc_id", F.xxhash64(text).alias("h"), F.length(text).alias("n"), F.sha2(canonical(text), 256).alias("digest"))
-    lines = docs.select("doc_id", F.xxhash64(text).alias("h"), F.length(text).alias("n"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    # a canonical form is at most as long as its line, but for the few letters that spellings add
-    lines = lines.where(F.length("line") >= lo - 8).withColumn("c", canonical(F.col("line"))).where(F.length("c").between(lo, hi)).select("doc_id", "h", "n", "line_no", F.sha2("c", 256).alias("digest"))
-    notices = lines.join(known.select("digest", "license"), "digest").dropDuplicates(["doc_id", "h", "n", "line_no"])
-    notices = notices.groupBy("doc_id", "h", "n").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
-    notices = notices.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), F.col("n").alias("n2"), "n_notices", "notices")
-    same = F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")) & (F.col("n") == F.col("n2"))
+    sizes = frozenset(r["size"] for r in known.select("size").distinct().collect())  # at most the longest known text's length
+    known = known.select("digest", "license")
+    texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
+    found = cut(texts.mapInPandas(lambda it: _digests(it, sizes), _DIGESTS)).withColumn("row", F.monotonically_increasing_id())  # stable: the checkpoint fixes rows and partitions
+    lines = found.select("row", F.explode("lines").alias("digest")).join(known, "digest")
+    notices = lines.groupBy("row").agg(F.count(F.lit(1)).alias("n_notices"), F.array_join(F.sort_array(F.collect_set("license")), ",").alias("notices"))
     return (
-        whole.join(known.select("digest", "license"), "digest", "left")
-        .join(notices, same, "left")
-        .select("doc_id", "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
+        found.select("row", "doc_id", "digest")
+        .join(known, "digest", "left")
+        .join(notices, "row", "left")
+        .select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "digest", "license", F.coalesce("n_notices", F.lit(0)).cast("bigint").alias("n_notices"), F.coalesce("notices", F.lit("")).alias("notices"))
     )
 
 
