@@ -13,16 +13,17 @@ from __future__ import annotations
 
 import random
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
-from .common import cut, let, whole_text
+from .common import let, whole_text
 
 WORDS = 5
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BITS = 4
+#: Ranges of ids for each shuffle partition.
+RANGES = 8
 _SHIFT = 64 - BIN_BITS
 _LOW = (1 << _SHIFT) - 1
 _QUICK = 6
@@ -106,21 +107,41 @@ def likeness(left: Column, right: Column) -> Column:
     return F.when((F.size(left) == 0) & (F.size(right) == 0), 1.0).when((F.size(left) == 0) | (F.size(right) == 0), 0.0).otherwise(F.greatest(corrected, F.lit(0.0)))
 
 
-def _successors(ids: DataFrame) -> DataFrame:
-    """``(kid, doc_id)``, distinct -> ``(kid, next_kid)``, descending, circular.
+def _upper_ids(docs: DataFrame) -> list[int | None]:
+    """Ascending ids that end the ranges of doc_id; the last is the largest id.
 
-    Ids alone are dealt out by range; within a range the next id is a lead, and
-    the first ids of the ranges (one row for each partition) close the gaps.
+    There are ``RANGES`` for each shuffle partition, whatever the table holds.
     """
-    spark = ids.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    down = F.col("doc_id").desc_nulls_last()
-    ranged = cut(ids.repartitionByRange(parts, down).withColumn("part", F.spark_partition_id()))
-    inner = ranged.select("kid", "doc_id", "part", F.lead("kid").over(Window.partitionBy("part").orderBy(down)).alias("next_kid"))
-    heads = ranged.groupBy("part").agg(F.max_by("kid", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63)))).alias("head"))
-    every = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("part", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(every)).alias("head"))
-    return inner.join(F.broadcast(heads), "part").select("kid", F.coalesce("next_kid", "head").alias("next_kid"))
+    n = RANGES * max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    share = F.array(*[F.lit(i / n) for i in range(1, n)])
+    row = docs.select(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.percentile_approx("doc_id", share, max(10_000, 8 * n)).alias("inner"), F.max("doc_id").alias("last")).first()
+    return sorted({*(row["inner"] or []), row["last"]}) if row["last"] is not None else [None]
+
+
+def _with_next(docs: DataFrame, words: int) -> DataFrame:
+    """Every row with text and packed, and the next document's as next_text and next_packed.
+
+    Ranges of ids are dealt out whole, so texts are shuffled once. The rows of a
+    range's largest id are also guests at the start of the range above; those of
+    the largest id of all are guests of the lowest range.
+    """
+    uppers = _upper_ids(docs)
+    ends = _numbers(uppers, "L") if uppers != [None] else F.expr("cast(array() as array<bigint>)")
+    key = F.col("doc_id").cast("bigint")
+    own = F.coalesce(F.size(F.filter(ends, lambda x: x < F.col("key"))), F.lit(0))
+    rows = docs.select("doc_id", key.alias("key"), whole_text().alias("text"), F.sha2(whole_text(), 256).alias("sha"), packed_fingerprint(whole_text(), words).alias("packed")).withColumn("own", F.when(F.col("key").isNull(), 0).otherwise(own))
+    is_last = F.col("key").eqNullSafe(F.lit(uppers[-1]).cast("bigint"))
+    is_end = F.coalesce(F.array_contains(ends, F.col("key")), F.lit(False))
+    place = F.struct(F.col("own").alias("range"), F.lit(False).alias("guest"))
+    above = F.struct(F.when(is_last, 0).otherwise(F.col("own") + 1).alias("range"), F.lit(True).alias("guest"))
+    placed = rows.withColumn("place", F.explode(F.when(is_last | is_end, F.array(place, above)).otherwise(F.array(place)))).select("doc_id", "key", "text", "sha", "packed", "place.range", "place.guest")
+    # windows over plain columns, so that one exchange serves both and carries each text once
+    order = Window.partitionBy("range").orderBy(F.col("guest").desc(), F.col("key").asc_nulls_first(), "sha")
+    before = placed.withColumns({f"before_{c}": F.lag(c).over(order) for c in ("guest", "key", "text", "packed")})
+    # of rows that repeat an id only the first follows another id; the others take over what it found
+    new_id = F.col("before_guest") | ~F.col("before_key").eqNullSafe(F.col("key"))
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return before.withColumns({f"next_{c}": F.last(F.when(new_id, F.col(f"before_{c}")), ignorenulls=True).over(so_far) for c in ("text", "packed")}).where(~F.col("guest"))
 
 
 def fingerprint_edits(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -133,28 +154,13 @@ def fingerprint_edits(docs: DataFrame, words: int = WORDS) -> DataFrame:
     the largest digest stands for the id as next document. Empty tables give
     empty results; a single document is its own next; other columns are ignored.
     """
-    base = docs.select(
+    n = F.length("text")
+    edited = _with_next(docs, words).select(
         "doc_id",
-        F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("kid"),
-        whole_text().alias("text"),
-        F.sha2(whole_text(), 256).alias("sha"),
-    )
-    own = cut(base.select("kid", "doc_id", "sha", F.length("text").cast("bigint").alias("n_chars"), packed_fingerprint(F.col("text"), words).alias("packed")))
-    reps = own.groupBy("kid").agg(F.first("doc_id").alias("doc_id"), F.max("sha").alias("next_sha"))
-    texts = own.groupBy("kid", "sha").agg(F.first("n_chars").alias("n_chars"), F.first("packed").alias("packed"))
-    follows = (
-        texts.join(_successors(reps.select("kid", "doc_id")), "kid")
-        .join(reps.select(F.col("kid").alias("next_kid"), "next_sha"), "next_kid")
-        .join(texts.select(F.col("kid").alias("next_kid"), F.col("sha").alias("next_sha"), F.col("packed").alias("next_packed")), ["next_kid", "next_sha"])
-    )
-    left = follows.select(F.col("kid").alias("to_kid"), F.col("sha").alias("to_sha"), "n_chars", "packed", "next_packed", F.col("next_kid").alias("kid"), F.col("next_sha").alias("sha"))
-    heads = (
-        left.join(base.select("kid", "sha", "text"), ["kid", "sha"])
-        .select(F.col("to_kid").alias("kid"), F.col("to_sha").alias("sha"), "n_chars", "packed", "next_packed", F.expr("left(text, cast(n_chars div 2 as int))").alias("head"))
-        .dropDuplicates(["kid", "sha"])
-    )
-    edited = base.join(heads, ["kid", "sha"]).select(
-        "doc_id", "n_chars", "packed", "next_packed", F.concat(F.expr("left(text, cast(n_chars - n_chars div 2 as int))"), F.col("head")).alias("edited")
+        n.cast("bigint").alias("n_chars"),
+        "packed",
+        "next_packed",
+        F.concat(F.left("text", n - F.floor(n / 2).cast("int")), F.left("next_text", F.floor(n / 2).cast("int"))).alias("edited"),
     )
     return edited.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "packed", "next_packed", packed_fingerprint(F.col("edited"), words).alias("edited_packed")).select(
         "doc_id",
