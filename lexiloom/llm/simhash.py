@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, small_batches
+from .common import cut, small_batches, whole_text
 from .components import components
 
 WIDTH = 3
@@ -211,6 +211,17 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return inside.unionByName(between)
 
 
+def _placed(docs: DataFrame, distance: int) -> DataFrame:
+    """doc_id, text_hash and fp of every row, with its class (root, component_id)."""
+    small_batches(docs.sparkSession)
+    marked = cut(docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), fingerprint(F.col("text")).alias("fp")))
+    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(links(nodes.select("fp"), distance))
+    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
+    return marked.join(placed.join(least, "root").select("fp", "root", "component_id"), "fp")
+
+
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """Fingerprint and component of every row of ``docs(doc_id, text, ...)``.
 
@@ -221,22 +232,18 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     of the component are null (then null). Repeated rows each get a row; an empty
     table gives an empty one; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-    marked = cut(docs.select("doc_id", fingerprint(F.col("text")).alias("fp")))
-    nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(links(nodes.select("fp"), distance))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    least = placed.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = placed.join(least, "root").select("fp", "component_id")
-    return marked.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    return _placed(docs, distance).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Rows of ``docs`` whose doc_id is the smallest of its component.
+    """One row of ``docs`` for each component, with all its columns.
 
-    All columns stay. Rows that repeat that doc_id are reduced to one by text
-    order; where all ids of a component are null, one row stays as well.
+    It is the row with the smallest doc_id; where texts repeat that id, the one
+    with the smallest hash; where a component has null ids only, one of those.
+    Rows that repeat both id and text are reduced to any one of them.
     """
-    found = near_duplicates(docs, distance).where("doc_id is not distinct from component_id").select("doc_id").distinct()
-    kept = docs.join(found, docs["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
+    chosen = _placed(docs, distance).groupBy("root").agg(least).select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
+    hashed = docs.withColumn("__own", F.xxhash64(whole_text()))
+    kept = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen["__doc"]) & (hashed["__own"] == chosen["__hash"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")

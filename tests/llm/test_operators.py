@@ -58,6 +58,21 @@ def test_minhash(spark):
     assert rows[1].near_next == 1.0  # after the smallest id comes the largest
 
 
+def test_minhash_next_documents(spark):
+    rule = random.Random(9)
+    rows = [(rule.choice([None, *range(-30, 30)]), "".join(rule.choices("ab cé", k=rule.randrange(0, 40)))) for _ in range(90)]
+    digest = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    stands = {}
+    for i, t in rows:
+        stands[i] = max(stands.get(i, ""), t, key=digest) if i in stands else t
+    ids = sorted(stands, key=lambda i: (i is not None, i or 0), reverse=True)
+    follow = {i: stands[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
+    want = sorted((str(i), digest(t[: len(t) - len(t) // 2] + follow[i][: len(t) // 2])) for i, t in rows)
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in minhash.fingerprint_edits(table(spark, rows)).collect()) == want
+    for alone in ([(None, "a b c")], [(5, "a b c")], [(5, "a b c"), (5, "a b c")]):
+        assert {r.edited_sha256 for r in minhash.fingerprint_edits(table(spark, alone)).collect()} == {digest("a b" + "a ")}
+
+
 def test_licenses(spark):
     mit = dict((k, v) for k, v in reversed(licenses.KNOWN))["MIT"]
     text = "Copyright (c) 2020 Someone\n\n" + licenses._MIT.upper().replace("SUBLICENSE", "sub-licence")
@@ -213,6 +228,14 @@ def test_simhash_hot_and_chained(spark):
     assert len(set(linked.values())) == len(set(true.values())) == len({(linked[v], true[v]) for v in signed})
 
 
+def test_keep_first_keeps_one_of_each_component(spark):
+    text, other = "one two three four five six", "seven eight nine ten eleven twelve"
+    docs = table(spark, [(5, text), (5, other), (7, text), (7, text), (None, text), (None, "quite another text of words here"), (9, other)])
+    assert sorted((str(r.doc_id), r.text) for r in simhash.keep_first(docs).collect()) == [("5", text), ("5", other), ("None", "quite another text of words here")]
+    assert simhash.keep_first(table(spark, [(3, text), (3, text)])).count() == 1 and simhash.keep_first(table(spark, [])).count() == 0
+    assert simhash.keep_first(docs).columns == docs.columns
+
+
 def test_packing(spark):
     rule = random.Random(7)
     docs = table(spark, [(i, "x" * rule.choice([0, 3, 9, 50, 63, 64, 200])) for i in range(300)])
