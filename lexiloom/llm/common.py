@@ -45,6 +45,19 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+#: Tasks that read the files of a manifest, at most.
+READERS = 20_000
+
+
+def one_task_a_file(manifest: DataFrame) -> DataFrame:
+    """Deal the rows of a manifest out, one to a task up to ``READERS`` tasks.
+
+    The number is fixed, as adaptive execution would merge so few bytes of paths
+    into one task, however large the files.
+    """
+    return manifest.repartition(min(max(manifest.count(), 1), READERS))
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

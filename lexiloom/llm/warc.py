@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, small_batches, whole_text
+from .common import cut, new_folder, one_task_a_file, small_batches, whole_text
 from .files import create, stream
 
 #: Code points of a payload chunk that is written, bytes of one that is read.
@@ -103,7 +103,8 @@ def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEA
     """Write gzip WARC files; returns their manifest (path, records)."""
     folder = folder or new_folder(pages.sparkSession, "warc")
     small_batches(pages.sparkSession)
-    return cut(chunk_table(pages, least).mapInPandas(lambda it: _write(it, folder, file_bytes), "path string, records bigint"))
+    chunks = chunk_table(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # pandas would turn nullable integers into doubles
+    return cut(chunks.mapInPandas(lambda it: _write(it, folder, file_bytes), "path string, records bigint"))
 
 
 def _fields(source) -> dict[str, str]:
@@ -175,7 +176,7 @@ def read_archives(manifest: DataFrame, chunk: int = CHUNK, with_data: bool = Tru
                 if held:
                     yield pd.DataFrame(held, columns=names).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    return manifest.select("path").repartition("path").mapInPandas(rows, _CHUNKS)
+    return one_task_a_file(manifest.select("path")).mapInPandas(rows, _CHUNKS)
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
