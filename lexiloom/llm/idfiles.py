@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, small_batches, whole_text
+from .common import cut, new_folder, one_task_a_file, small_batches, whole_text
 from .files import create, opened, stream
 
 MAGIC = b"LXIDS\x00\x00\x01"
@@ -85,9 +85,15 @@ def encoder(path: str) -> Encoder:
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
-    """Dictionary from the ids of the documents with the smallest hashed doc_id."""
+    """Dictionary from the ids of the documents with the smallest hashed doc_id.
+
+    A threshold that about four times as many documents pass comes first, as each
+    task would send the driver a whole sample else.
+    """
+    share = min(1.0, 4 * SAMPLE_DOCS / max(docs.count(), 1))
     sample = (
-        docs.select(F.xxhash64("doc_id").alias("h"), F.left(whole_text(), F.lit(SAMPLE_CHARS)).alias("text"))
+        docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)).alias("h"), F.left(whole_text(), F.lit(SAMPLE_CHARS)).alias("text"))
+        .where(F.col("h") < int(share * (1 << 32)))
         .orderBy("h", "text")
         .limit(SAMPLE_DOCS)
         .collect()
@@ -223,7 +229,7 @@ def _rows_of(manifest: DataFrame, last: str, value) -> DataFrame:
                 if held:
                     yield frame(held)
 
-    spread = manifest.select("path", "first_id", "dictionary").repartition("path")
+    spread = one_task_a_file(manifest.select("path", "first_id", "dictionary"))
     return spread.mapInPandas(rows, f"doc_id bigint, start bigint, n_tokens bigint, {last}")
 
 
