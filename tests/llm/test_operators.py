@@ -124,6 +124,16 @@ def test_quality(spark):
     assert {r.score for r in one} == {1.0}
 
 
+def test_revealing_terms_in_whole_documents(spark):
+    far = "zyxwvut " + "the owner of today is to write " * 6 + "jo@x.org"
+    docs = table(spark, [(1, "write to zyxwvut owner jo@x.org today"), (2, far), (3, "Zyxwvut alone"), *[(i, f"the owner of today is number{i} to write") for i in range(4, 60)]])
+    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    at = rows[1].spans.split(",")[1]
+    assert at == "term:9:16" and rows[2].spans.endswith(",term:0:7") and rows[3].spans == "term:0:7" and rows[9].spans == ""
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert clean[1] == "write to [TERM] owner [EMAIL] today" and clean[2].startswith("[TERM] the owner") and clean[3] == "[TERM] alone" and clean[9].startswith("the owner")
+
+
 def brute_pieces(own, text, n):
     shown, out = text.replace(" ", pieces.SPACE), []
 
