@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from importlib import resources
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,15 @@ KNOWN = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 
+#: Short licences with the titles that stand over them.
+SHORT = (
+    ("MIT", ("MIT License", "The MIT License", "The MIT License (MIT)"), _MIT),
+    ("ISC", ("ISC License", "The ISC License"), _ISC + _AS_IS),
+    ("BSD-2-Clause", ("BSD 2-Clause License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License"), _BSD_2 + _BSD_END),
+    ("BSD-3-Clause", ("BSD 3-Clause License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License"), _BSD_2 + _BSD_NAME + _BSD_END),
+)
+_END, _WRAPPED = re.compile("END OF TERMS AND CONDITIONS"), re.compile(r"(?<=\S)[ \t]*\n(?=[ \t]*\S)")
+
 
 def canonical(text: str) -> str:
     """Canonical form of a whole text; empty if nothing is left."""
@@ -107,9 +117,31 @@ def _digest(form: str) -> str:
     return hashlib.sha256(form.encode()).hexdigest()
 
 
-def known_digests(spark: SparkSession, texts=KNOWN) -> DataFrame:
-    """``(license, text)`` pairs -> ``(digest, license, size)``; the first name alphabetically if a text has several."""
-    forms = [(name, canonical(text)) for name, text in texts]
+def entire_texts() -> list[tuple[str, str]]:
+    """Licences as they are found in LICENSE files, by SPDX identifier.
+
+    Long ones come from files of the package: as they stand and with paragraphs
+    in one line (a wrapped line can begin with "copyright"), with and without
+    what follows the terms, with http and https. Short ones come with their
+    titles and with "All rights reserved." below the copyright lines. GNU texts
+    don't say "only" or "or later", and so have the names without.
+    """
+    out = []
+    for path in sorted((resources.files(__package__) / "license_texts").iterdir(), key=lambda p: p.name):
+        if path.name.endswith(".txt"):
+            text = path.read_text(encoding="utf-8")
+            bodies = [text, text[: m.end()] if (m := _END.search(text)) else text]
+            bodies += [_WRAPPED.sub(" ", b) for b in bodies]
+            bodies += [b.replace(x, y) for b in bodies for x, y in (("http://", "https://"), ("https://", "http://"))]
+            out += [(path.name.removesuffix(".txt"), b) for b in bodies]
+    for name, titles, body in SHORT:
+        out += [(name, title + "\n" + reserved + body) for title in ("", *titles) for reserved in ("", "All rights reserved.\n", "All rights reserved.\n" * 2)]
+    return out
+
+
+def known_digests(spark: SparkSession, texts=None) -> DataFrame:
+    """``(license, text)`` pairs, or all known ones -> ``(digest, license, size)``; the first name alphabetically if a text has several."""
+    forms = {(name, canonical(text)) for name, text in ((*KNOWN, *entire_texts()) if texts is None else texts)}
     rows = spark.createDataFrame([(_digest(c), name, len(c)) for name, c in forms if c], "digest string, license string, size int")
     return rows.groupBy("digest").agg(F.min("license").alias("license"), F.max("size").alias("size"))
 

@@ -83,6 +83,15 @@ def test_licenses(spark):
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def test_entire_licenses(spark):
+    bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + licenses._BSD_2 + licenses._BSD_NAME + licenses._BSD_END
+    rows = {"Apache-2.0": 1, "GPL-3": 2, "GPL-2": 3, "LGPL-2.1": 4, "MPL-2.0": 5, "CC0-1.0": 6}
+    texts = [(i, open(f"/usr/share/common-licenses/{name}", encoding="utf-8").read()) for name, i in rows.items()]
+    texts.append((7, texts[0][1].split("END OF TERMS")[0] + "END OF TERMS AND CONDITIONS\n"))
+    got = {r.doc_id: r.license for r in licenses.scan(table(spark, [*texts, (8, bsd), (9, "BSD 3-Clause License\n\n" + bsd), (10, texts[1][1][:20000])])).collect()}
+    assert got == {1: "Apache-2.0", 2: "GPL-3.0", 3: "GPL-2.0", 4: "LGPL-2.1", 5: "MPL-2.0", 6: "CC0-1.0", 7: "Apache-2.0", 8: "BSD-3-Clause", 9: "BSD-3-Clause", 10: None}
+
+
 def plain_spans(text):
     out = []
     for kind, pattern in PATTERNS.items():
