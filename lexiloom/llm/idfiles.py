@@ -40,14 +40,16 @@ class Encoder:
     """The tokenizers library's ids, with remembered ids of space-separated parts.
 
     A byte-level pre-tokenizer always begins a new pre-token at a space before a
-    non-space, so a text's ids are those of its parts between such places.
+    non-space, so a text's ids are those of its parts between such places. Only
+    around an added token (``<|endoftext|>``) may spaces fall otherwise, so a text
+    that holds one goes to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
 
@@ -59,8 +61,11 @@ class Encoder:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """Serialized ids of each text."""
-        split = []
-        for text in texts:
+        split, whole = [], {}
+        for i, text in enumerate(texts):
+            if any(t in text for t in self.added):
+                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+                text = ""
             parts = re.split(r" (?=\S)", text) if re.search(r" (?:\s|\Z)", text) else text.split(" ")
             split.append((parts[0], parts[1:]))
         heads = {head for head, _ in split}
@@ -72,7 +77,10 @@ class Encoder:
             need = [*heads, *(" " + x for x in tails)]
         self._learn(need)
         local = {x: self.known[" " + x] for x in tails}
-        return [self.known[head] + b"".join(map(local.__getitem__, tail)) for head, tail in split]
+        out = [self.known[head] + b"".join(map(local.__getitem__, tail)) for head, tail in split]
+        for i, ids in whole.items():
+            out[i] = ids
+        return out
 
 
 _encoders: dict[str, Encoder] = {}

@@ -212,6 +212,16 @@ def test_simhash_equals_brute_force(spark):
 
     def find(i):
         while root[i] != i:
+def test_id_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "in<|endoftext|>side", "a  <|endoftext|>  b\n <|endoftext|>", "<|endoftext|>", "none", "one two <|endoftext>"]
+    rows = {r.doc_id: list(r.ids) for r in idfiles.read_id_files(idfiles.write_id_files(table(spark, list(enumerate(texts))))).collect()}
+    assert rows == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)} and 50256 in rows[1]
+
+
             i = root[i]
         return i
 
