@@ -210,7 +210,10 @@ class Lattice:
     def search(self, text: str, n: int) -> list[tuple[float, bytes]]:
         """The n best segmentations of one word by A-star: score and ids.
 
-        Of equal scores the one with the longer last pieces comes first.
+        Of equal scores the one with the longer last pieces comes first. An entry
+        stands for the paths that end with its arcs, the best of which loses what
+        it says, and no two share a path; so as many entries are kept as paths are
+        wanted, with longer last pieces first, each linked to the entry before.
         """
         if (text, n) in self.found:
             return self.found[text, n]
@@ -225,16 +228,24 @@ class Lattice:
                 elif s == e - 1:
                     into[e].append((s, self.char_ids(text[s]), self.unknown))
             forward[e] = max(forward[s] + v for s, _, v in into[e])
-        # loss, lengths of the pieces so far (from the end, negative), place, score, ids
-        queue: list[tuple[float, tuple[int, ...], int, float, tuple]] = [(-forward[size], (), size, 0.0, ())]
+        # loss, place, score, link (ids of the last arc, link before it)
+        queue: list[tuple[float, int, float, tuple | None]] = [(-forward[size], size, 0.0, None)]
         out: list[tuple[float, bytes]] = []
         while queue and len(out) < n:
-            _, lengths, at, score, ids = heapq.heappop(queue)
+            i = min(range(len(queue)), key=lambda k: queue[k][0])
+            _, at, score, link = queue[i]
             if at == 0:
-                out.append((score, np.array([i for part in reversed(ids) for i in part], "<i4").tobytes()))
+                own: list[int] = []
+                while link is not None:
+                    own += link[0]
+                    link = link[1]
+                out.append((score, np.array(own, "<i4").tobytes()))
+                del queue[i]
                 continue
-            for s, own, v in into[at]:
-                heapq.heappush(queue, (-(forward[s] + v + score), (*lengths, s - at), s, v + score, (*ids, own)))
+            queue[i : i + 1] = [(-(forward[s] + v + score), s, v + score, (ids, link)) for s, ids, v in into[at]]
+            if len(queue) > n - len(out):
+                kept = sorted(range(len(queue)), key=lambda k: queue[k][0])[: n - len(out)]
+                queue = [queue[k] for k in sorted(kept)]
         if len(self.found) > REMEMBERED // 10:
             self.found.clear()
         self.found[text, n] = out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from itertools import combinations
 
@@ -179,6 +180,19 @@ def test_pieces_equal_brute_force():
 
 def test_pieces_tables(spark):
     back = pieces.decode(pieces.encode(table(spark), n=2)).where("rank = 0")
+def test_pieces_of_a_long_word():
+    own, rule = pieces.lattice(), random.Random(5)
+    word = " " + "".join(rule.choices("abcdefgxyzABCXYZ0123456789+/", k=100_000))
+    own.remember([[word]])
+    tracemalloc.start()
+    found = own.n_best([word], 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 << 20 and len({ids for _, ids in found}) == 4
+    assert all(own.decode(np.frombuffer(ids, "<i4")) == word[1:] for _, ids in found)
+    assert found[0][0] == own.best[own.known[word]] and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+
+
     assert {(r.doc_id, r.text) for r in back.collect()} == {(i, (t or "").replace("▁", " ")) for i, t in ODD}
 
 
