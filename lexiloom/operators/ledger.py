@@ -2,7 +2,8 @@
 
 An event has task_id, sub_task_id, seq, at (seconds), kind, actor, lease
 (seconds) and success. ``step`` is the whole rule; keys are independent, so Spark
-deals them out and runs it over each key's events in order of (at, seq).
+deals them out and runs it over each key's events in order of (at, seq). In batch
+only the state is held, not the events of a key.
 """
 
 from __future__ import annotations
@@ -85,9 +86,24 @@ def run(key: tuple, events: pd.DataFrame, state: Subtask) -> pd.DataFrame:
     return pd.DataFrame(out, columns=_COLUMNS)
 
 
+def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Outcomes of events that are sorted by key, at and seq, carrying the last key's state on."""
+    last, state = None, Subtask()
+    for pdf in batches:
+        out = []
+        for e in pdf.itertuples(index=False):
+            key = tuple(None if pd.isna(k) else k for k in (e.task_id, e.sub_task_id))
+            if key != last:
+                last, state = key, Subtask()
+            outcome = step(state, e.kind, e.at, e.actor, e.lease, bool(e.success))
+            out.append((*key, e.seq, outcome, state.status, state.owner, state.attempts))
+        yield pd.DataFrame(out, columns=_COLUMNS)
+
+
 def fold(events: DataFrame) -> DataFrame:
     """Outcome of every event, and the state after it."""
-    return events.groupBy(*KEY).applyInPandas(lambda key, pdf: run(key, pdf, Subtask()), OUTCOMES)
+    order = [*KEY, F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last()]
+    return events.repartition(*KEY).sortWithinPartitions(*order).mapInPandas(_in_order, OUTCOMES)
 
 
 _STATE = "status string, owner string, expires double, started double, dispatched double, attempts bigint"

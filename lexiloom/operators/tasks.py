@@ -9,18 +9,25 @@ from ..functions.text import escape_html, fields, hash31, link_or_text, safe_seg
 
 # Style of the report.
 _STYLE = "body{font-family:Arial,sans-serif;margin:25px;background:#f9f9f9;}h1{color:#333;border-bottom:2px solid #007bff;padding-bottom:8px;}table{width:100%;border-collapse:collapse;margin-top:20px;}th,td{border:1px solid #ddd;padding:8px;text-align:left;}th{background:#007bff;color:white;}.error{background:#fdd;color:#900;font-weight:bold;}"
+#: Line numbers of a list that are numbered together.
+RANGE = 1 << 16
 TERMINAL = ("SUCCEEDED", "FAILED")
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """``lines(task_id, line_no, line)`` -> task_id, sub_task_id, analysis, url.
 
-    Valid lines alone are numbered, from 0. A job's list is one client's file, so
-    a window over it is small.
+    Valid lines alone are numbered, from 0: within ranges of ``RANGE`` line
+    numbers, to which the counts of the ranges before are added, so that no task
+    sorts a whole list.
     """
     f = fields(F.col("line"))
     rows = lines.where((trim_control(F.col("line")) != "") & (F.size(f) >= 2))
-    nth = F.row_number().over(Window.partitionBy("task_id").orderBy("line_no")) - 1
+    rows = rows.withColumn("range", F.floor(F.col("line_no") / F.lit(RANGE)))
+    before = Window.partitionBy("task_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy("task_id", "range").agg(F.count(F.lit(1)).alias("size")).select(F.col("task_id").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
+    rows = rows.join(counts, F.col("task_id").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")))
+    nth = F.row_number().over(Window.partitionBy("task_id", "range").orderBy("line_no")) - 1 + F.col("before")
     rows = rows.select("task_id", nth.alias("n"), trim_control(F.get(f, F.lit(0))).alias("analysis"), trim_control(F.get(f, F.lit(1))).alias("url"))
     return rows.select("task_id", F.concat("task_id", F.lit(":"), F.col("n").cast("string")).alias("sub_task_id"), "analysis", "url")
 

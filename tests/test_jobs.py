@@ -18,6 +18,18 @@ def test_task_lists(spark):
     assert [(r.sub_task_id, r.analysis) for r in rows] == [("job-1:0", "POS"), ("job-1:1", "POS")]
 
 
+def test_task_lists_by_ranges(spark, monkeypatch):
+    monkeypatch.setattr(tasks, "RANGE", 3)
+    lines = [(job, i, "  " if i % 4 == 1 else f"POS\tu{i}") for job in ("a", "b") for i in range(20) if (job, i % 7) != ("b", 2)]
+    rows = tasks.parse(spark.createDataFrame(lines, "task_id string, line_no bigint, line string").repartition(5)).collect()
+    want = {}
+    for job, i, line in lines:
+        if line.strip():
+            n = sum(k[0] == job for k in want)
+            want[job, f"{job}:{n}"] = f"u{i}"
+    assert {(r.task_id, r.sub_task_id): r.url for r in rows} == want and len(rows) == len(want)
+
+
 def test_keys_and_links(spark):
     url = F.lit("https://example.com/a.txt")
     r = spark.range(1).select(hash31(url).alias("h"), hash31(F.lit("")).alias("e"), *[is_http(F.lit(u)).alias(n) for n, u in (("a", "https://x.org/y"), ("b", "javascript:alert(1)"), ("c", "not a url"), ("d", "https://example .com/<bad>"))]).first()
@@ -53,6 +65,18 @@ def test_leases():
     assert step(s, "dispatch", 99, "", 0, True) == "ALREADY_TERMINAL"
 
 
+def test_leases_hold_no_group(spark):
+    events = adapters.ledger_events(spark, SF)
+    want = [ledger.run(key, own, Subtask()) for key, own in events.toPandas().groupby(ledger.KEY)]
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    folded = ledger.fold(events)
+    got = folded.collect()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert sorted(map(tuple, got)) == sorted(tuple(r) for own in want for r in own.itertuples(index=False))
+    assert "InPandas" in (plan := folded._jdf.queryExecution().toString()) and "GroupsInPandas" not in plan
+
+
 def test_streams_equal_batch(spark, tmp_path):
     events = adapters.ledger_events(spark, SF)
     events.orderBy("at").coalesce(1).write.parquet(f"{tmp_path}/events")
