@@ -95,7 +95,8 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Leaves and nodes of one partition, which is sorted by band, key and Gray rank.
 
     At most FANOUT leaves are held. A key's lone fingerprint is left out, except
-    at the partition's ends, where the key may go on in the next partition.
+    at the partition's ends, where the key may go on in the next partition, and
+    where it is what remains of a key whose full nodes are out already.
     """
     ident = TaskContext.get().partitionId() << 36
 
@@ -113,7 +114,7 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return out
 
     held: tuple[int, int, np.ndarray] | None = None
-    first = True
+    first, begun = True, None  # key whose full nodes are out
     for pdf in batches:
         if pdf.empty:
             continue
@@ -124,11 +125,12 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         starts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
         ends = np.r_[starts[1:], len(fp)]
         rows: list[tuple] = []
-        for i in np.flatnonzero((ends[:-1] - starts[:-1] > 1) | (first & (starts[:-1] == 0))):
+        for i in np.flatnonzero((ends[:-1] - starts[:-1] > 1) | ((first or begun == (int(band[0]), int(key[0]))) & (starts[:-1] == 0))):
             rows += flush(int(band[starts[i]]), int(key[starts[i]]), fp[starts[i] : ends[i]])
         s = int(starts[-1])
         full = (len(fp) - s) // (LEAF * FANOUT) * (LEAF * FANOUT)
         if full:
+            begun = (int(band[s]), int(key[s]))
             rows += flush(int(band[s]), int(key[s]), fp[s : s + full])
         if len(starts) > 1:
             first = False

@@ -6,8 +6,10 @@ import re
 import tracemalloc
 import zlib
 from itertools import combinations
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -81,9 +83,6 @@ def test_licenses(spark):
     assert mit and rows[1].license == "MIT" and rows[2].license is None and rows[2].notices == "CC-BY-NC-4.0,MIT" and rows[3].license is None
 
 
-PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
-
-
 def test_entire_licenses(spark):
     bsd = "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + licenses._BSD_2 + licenses._BSD_NAME + licenses._BSD_END
     rows = {"Apache-2.0": 1, "GPL-3": 2, "GPL-2": 3, "LGPL-2.1": 4, "MPL-2.0": 5, "CC0-1.0": 6}
@@ -93,6 +92,9 @@ def test_entire_licenses(spark):
     assert got == {1: "Apache-2.0", 2: "GPL-3.0", 3: "GPL-2.0", 4: "LGPL-2.1", 5: "MPL-2.0", 6: "CC0-1.0", 7: "Apache-2.0", 8: "BSD-3-Clause", 9: "BSD-3-Clause", 10: None}
 
 
+PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
 def plain_spans(text):
     out = []
     for kind, pattern in PATTERNS.items():
@@ -122,6 +124,16 @@ def test_revealing_terms(spark):
     assert clean[1] == "write to  owner [EMAIL] today" and clean[5].startswith("the owner")
 
 
+def test_revealing_terms_in_whole_documents(spark):
+    far = "zyxwvut " + "the owner of today is to write " * 6 + "jo@x.org"
+    docs = table(spark, [(1, "write to zyxwvut owner jo@x.org today"), (2, far), (3, "Zyxwvut alone"), *[(i, f"the owner of today is number{i} to write") for i in range(4, 60)]])
+    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
+    at = rows[1].spans.split(",")[1]
+    assert at == "term:9:16" and rows[2].spans.endswith(",term:0:7") and rows[3].spans == "term:0:7" and rows[9].spans == ""
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert clean[1] == "write to [TERM] owner [EMAIL] today" and clean[2].startswith("[TERM] the owner") and clean[3] == "[TERM] alone" and clean[9].startswith("the owner")
+
+
 def test_quality(spark):
     rule = random.Random(3)
     good = [(i, " ".join("".join(rule.choices("abcdefgh", k=rule.randrange(2, 9))) for _ in range(60)) + ".") for i in range(150)]
@@ -134,16 +146,6 @@ def test_quality(spark):
     assert {r.score for r in one} == {1.0}
 
 
-def test_revealing_terms_in_whole_documents(spark):
-    far = "zyxwvut " + "the owner of today is to write " * 6 + "jo@x.org"
-    docs = table(spark, [(1, "write to zyxwvut owner jo@x.org today"), (2, far), (3, "Zyxwvut alone"), *[(i, f"the owner of today is number{i} to write") for i in range(4, 60)]])
-    rows = {r.doc_id: r for r in pii.personal_data(docs).collect()}
-    at = rows[1].spans.split(",")[1]
-    assert at == "term:9:16" and rows[2].spans.endswith(",term:0:7") and rows[3].spans == "term:0:7" and rows[9].spans == ""
-    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
-    assert clean[1] == "write to [TERM] owner [EMAIL] today" and clean[2].startswith("[TERM] the owner") and clean[3] == "[TERM] alone" and clean[9].startswith("the owner")
-
-
 def brute_pieces(own, text, n):
     shown, out = text.replace(" ", pieces.SPACE), []
 
@@ -178,8 +180,6 @@ def test_pieces_equal_brute_force():
         assert all(own.decode(np.frombuffer(i, "<i4")) == text for _, i in found)
 
 
-def test_pieces_tables(spark):
-    back = pieces.decode(pieces.encode(table(spark), n=2)).where("rank = 0")
 def test_pieces_of_a_long_word():
     own, rule = pieces.lattice(), random.Random(5)
     word = " " + "".join(rule.choices("abcdefgxyzABCXYZ0123456789+/", k=100_000))
@@ -193,6 +193,8 @@ def test_pieces_of_a_long_word():
     assert found[0][0] == own.best[own.known[word]] and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
 
 
+def test_pieces_tables(spark):
+    back = pieces.decode(pieces.encode(table(spark), n=2)).where("rank = 0")
     assert {(r.doc_id, r.text) for r in back.collect()} == {(i, (t or "").replace("▁", " ")) for i, t in ODD}
 
 
@@ -210,6 +212,16 @@ def test_id_files(spark):
     assert [r.doc_id for r in ordered][1:] == sorted(i for i, _ in ODD if i is not None)
 
 
+def test_id_files_with_added_tokens(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["one <|endoftext|> two", "in<|endoftext|>side", "a  <|endoftext|>  b\n <|endoftext|>", "<|endoftext|>", "none", "one two <|endoftext>"]
+    rows = {r.doc_id: list(r.ids) for r in idfiles.read_id_files(idfiles.write_id_files(table(spark, list(enumerate(texts))))).collect()}
+    assert rows == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)} and 50256 in rows[1]
+
+
 def plain_simhash(text):
     words = [w.encode() for w in re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))]
     grams = [b" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([b" ".join(words)] if words else [])
@@ -226,16 +238,6 @@ def test_simhash_equals_brute_force(spark):
 
     def find(i):
         while root[i] != i:
-def test_id_files_with_added_tokens(spark):
-    from tokenizers import Tokenizer
-    import public_tokenizers
-
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    texts = ["one <|endoftext|> two", "in<|endoftext|>side", "a  <|endoftext|>  b\n <|endoftext|>", "<|endoftext|>", "none", "one two <|endoftext>"]
-    rows = {r.doc_id: list(r.ids) for r in idfiles.read_id_files(idfiles.write_id_files(table(spark, list(enumerate(texts))))).collect()}
-    assert rows == {i: t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)} and 50256 in rows[1]
-
-
             i = root[i]
         return i
 
@@ -271,6 +273,16 @@ def test_simhash_hot_and_chained(spark):
     assert len(set(linked.values())) == len(set(true.values())) == len({(linked[v], true[v]) for v in signed})
 
 
+def test_simhash_nodes_keep_what_remains_of_a_key(monkeypatch):
+    monkeypatch.setattr(simhash, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    size = simhash.LEAF * simhash.FANOUT
+    rows = pd.DataFrame([(0, 1, 7), (0, 1, 8), *((0, 2, 100 + i) for i in range(size + 1)), (0, 3, 5), (0, 3, 6), (0, 4, 9), (0, 5, 1), (0, 5, 2)], columns=["band", "key", "fp"])
+    for at in (size + 1, size + 2, size + 3, size + 4):
+        got = pd.concat(simhash._nodes(iter([rows[:at], rows[at:]])))
+        members = {k: sorted(np.concatenate(own.tolist()).tolist()) for k, own in got.groupby("key")["members"]}
+        assert members == {1: [7, 8], 2: list(range(100, 101 + size)), 3: [5, 6], 5: [1, 2]}, at
+
+
 def test_keep_first_keeps_one_of_each_component(spark):
     text, other = "one two three four five six", "seven eight nine ten eleven twelve"
     docs = table(spark, [(5, text), (5, other), (7, text), (7, text), (None, text), (None, "quite another text of words here"), (9, other)])
