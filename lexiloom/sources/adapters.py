@@ -30,7 +30,7 @@ def triples_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngrams_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in the n-gram format from all windows of four words of English texts."""
+    """Lines in the n-gram format from disjoint blocks of four words of English texts, as in the SQL; not from all windows."""
     docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     four = "transform(sequence(0, size(w) div 4 - 1), k -> slice(w, k * 4 + 1, 4))"  # cut before the explode, which copies whole arrays
