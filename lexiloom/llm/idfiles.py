@@ -17,13 +17,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, one_task_a_file, small_batches, whole_text
+from .common import cut, new_folder, one_task_a_file, whole_text
 from .files import create, opened, stream
 
 MAGIC = b"LXIDS\x00\x00\x01"
@@ -32,54 +34,108 @@ END_ID = 0
 FILE_BYTES = 256 << 20
 #: The dictionary is trained on at most so many documents, at most so many code points of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 1 << 14, 1 << 16
-#: Words that a worker remembers the ids of.
-REMEMBERED = 500_000
+#: Parts of texts that a worker remembers the ids of, parts that go to the library as one text, and bytes of text taken at once.
+REMEMBERED, _JOINED, _SLICE = 1 << 20, 1 << 14, 8 << 20
+#: White space by Unicode, and the separators that only Python counts as such.
+_BLANK = r"\x1c-\x1f\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_ODD_SPACE, _PART_START = rf" (?:[{_BLANK}]|\z)", rf" ([^{_BLANK}])"
 
 
 class Encoder:
     """The tokenizers library's ids, with remembered ids of space-separated parts.
 
     A byte-level pre-tokenizer always begins a new pre-token at a space before a
-    non-space, so a text's ids are those of its parts between such places. Only
-    around an added token (``<|endoftext|>``) may spaces fall otherwise, so a text
-    that holds one goes to the library whole.
+    non-space, so a text's ids are those of its parts between such places. Arrow
+    splits texts and numbers their distinct parts; unseen parts go to the library
+    as one text, whose ids are cut where the bytes of its pieces add up to a
+    part. Only around an added token (``<|endoftext|>``) may spaces fall
+    otherwise, so a text that holds one (or a NUL, which marks places here) goes
+    to the library whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        for start in range(0, len(parts), 4096):
-            some = parts[start : start + 4096]
-            for part, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[part] = np.array(e.ids, self.dtype).tobytes()
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Serialized ids of each text."""
-        split, whole = [], {}
-        for i, text in enumerate(texts):
-            if any(t in text for t in self.added):
-                whole[i] = np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-                text = ""
-            parts = re.split(r" (?=\S)", text) if re.search(r" (?:\s|\Z)", text) else text.split(" ")
-            split.append((parts[0], parts[1:]))
-        heads = {head for head, _ in split}
-        tails = set().union(*(tail for _, tail in split))
-        # A part after the first carries its space; the two kinds never share a key.
-        need = [x for x in heads if x not in self.known] + [y for x in tails if (y := " " + x) not in self.known]
-        if len(self.known) + len(need) > REMEMBERED:
-            self.known.clear()
-            need = [*heads, *(" " + x for x in tails)]
-        self._learn(need)
-        local = {x: self.known[" " + x] for x in tails}
-        out = [self.known[head] + b"".join(map(local.__getitem__, tail)) for head, tail in split]
-        for i, ids in whole.items():
-            out[i] = ids
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.apart = "|".join(map(re.escape, ["\0", *(t.content for t in added.values())]))
+        vocabulary = self.tokenizer.get_vocab()
+        self.size_of = np.zeros(max(vocabulary.values()) + 1, np.int64)  # of a piece in bytes, each of which is a character of its name
+        self.size_of[list(vocabulary.values())] = [len(p) for p in vocabulary]
+        self.dtype = np.dtype("<u2" if len(self.size_of) <= 1 << 16 else "<u4")
+        self._forget()
+
+    def _forget(self) -> None:
+        self.parts = [pa.array([], pa.string())]
+        self.ids = [np.zeros(0, self.dtype)]
+        self.sizes = [np.zeros(0, np.int64)]
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, parts: pa.Array) -> None:
+        """Remember the ids of parts, each of which follows a space."""
+        for lo in range(0, len(parts), _JOINED):
+            some = parts.slice(lo, _JOINED)
+            ids = self._library([" " + " ".join(some.to_pylist())])[0]
+            reached = np.cumsum(self.size_of[ids])
+            ends = np.cumsum(pc.binary_length(some.cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+            at = np.searchsorted(reached, ends)
+            if len(ends) and (at[-1] + 1 != len(ids) or (reached[at] != ends).any()):
+                raise ValueError("pieces of this tokenizer don't spell the text out")
+            self.parts.append(some)
+            self.ids.append(ids)
+            self.sizes.append(np.diff(at + 1, prepend=0))
+
+    def _split(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """Parts of all texts and how many each has; a part but the first follows a space."""
+        split = pc.split_pattern(texts, " ")
+        odd = pc.match_substring_regex(texts, _ODD_SPACE)
+        if pc.any(odd).as_py():
+            marked = pc.replace_substring_regex(texts, _PART_START, "\0\\1")
+            split = pc.if_else(odd, pc.split_pattern(marked, "\0"), split)
+        return split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        whole = pc.match_substring_regex(texts, self.apart)
+        alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+        kept = pc.if_else(whole, "", texts) if len(alone) else texts
+        values, counts = self._split(kept)
+        starts = np.cumsum(counts) - counts
+        first = np.zeros(len(values), bool)
+        first[starts] = True
+        heads = values.take(pa.array(starts)).to_pylist()
+        for i in alone.tolist():
+            heads[i] = texts[i].as_py()
+        own = self._library(heads)
+        coded = values.filter(pa.array(~first)).dictionary_encode()
+        known = self._places(coded.dictionary)
+        flat, sizes = np.concatenate(self.ids), np.concatenate(self.sizes)
+        begins = np.cumsum(sizes) - sizes
+        head_sizes = np.array([len(x) for x in own], np.int64)
+        # the ids of heads stand after those that are remembered
+        begin = np.zeros(len(values), np.int64)
+        size = np.zeros(len(values), np.int64)
+        begin[first], size[first] = len(flat) + np.cumsum(head_sizes) - head_sizes, head_sizes
+        place = known[coded.indices.to_numpy()]
+        begin[~first], size[~first] = begins[place], sizes[place]
+        ends = np.cumsum(size)
+        out = np.concatenate([flat, *own])[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        return out, np.add.reduceat(size, starts) if len(starts) else size
+
+    def _places(self, parts: pa.Array) -> np.ndarray:
+        """The number under which each part is remembered."""
+        found = pc.index_in(parts, pa.concat_arrays(self.parts))
+        n = sum(map(len, self.parts))
+        if n + found.null_count > REMEMBERED and n:
+            self._forget()
+            found, n = pc.index_in(parts, self.parts[0]), 0
+        unseen = pc.is_null(found)
+        self._learn(parts.filter(unseen))
+        new = unseen.to_numpy(zero_copy_only=False)
+        out = pc.fill_null(found, 0).to_numpy().astype(np.int64)
+        out[new] = n + np.arange(np.count_nonzero(new))
         return out
 
 
@@ -106,7 +162,8 @@ def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
         .limit(SAMPLE_DOCS)
         .collect()
     )
-    samples = [x for x in encoder(tokenizer)([r["text"] for r in sample]) if x]
+    ids, sizes = encoder(tokenizer)(pa.array([r["text"] for r in sample], pa.string()))
+    samples = [x.tobytes() for x in np.split(ids, np.cumsum(sizes)[:-1]) if len(x)]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=256, d=8).as_bytes() if samples else b""
     except zstandard.ZstdError:  # too few or too small samples
@@ -117,7 +174,17 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data) if data else None
 
 
-def _write(batches: Iterator[pd.DataFrame], folder: str, tokenizer: str, dictionary: bytes, file_bytes: int) -> Iterator[pd.DataFrame]:
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about ``_SLICE`` bytes of text at a time, one row at least."""
+    upto = np.cumsum(pc.binary_length(batch.column("text").cast(pa.binary())).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    lo = 0
+    while lo < len(upto):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + _SLICE, side="right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
+def _write(batches: Iterator[pa.RecordBatch], folder: str, tokenizer: str, dictionary: bytes, file_bytes: int) -> Iterator[pa.RecordBatch]:
     encode, chosen = encoder(tokenizer), _dictionary(dictionary)
     if chosen:
         chosen.precompute_compress(level=3)
@@ -133,9 +200,11 @@ def _write(batches: Iterator[pd.DataFrame], folder: str, tokenizer: str, diction
         out.close()
         done.append((uri, TaskContext.get().partitionId(), len(done), len(index), first))
 
-    for pdf in batches:
-        ids = encode(pdf["text"].tolist())
-        for doc_id, own in zip(pdf["doc_id"].array, ids, strict=True):
+    for some in (x for batch in batches for x in _slices(batch)):
+        ids, sizes = encode(some.column("text"))
+        ends = np.cumsum(sizes).tolist()
+        raw, width = ids.tobytes(), encode.dtype.itemsize
+        for doc_id, lo, hi in zip(some.column("doc_id").to_pylist(), [0, *ends], ends, strict=False):
             if out is not None and at >= file_bytes:
                 close()
                 out = None
@@ -143,14 +212,15 @@ def _write(batches: Iterator[pd.DataFrame], folder: str, tokenizer: str, diction
                 uri, out = create(folder, ".ids")
                 out.write(start)
                 at, first, index = len(start), 0, []
-            frame = pack(own + end)
-            n = len(own) // encode.dtype.itemsize + 1
-            index.append((not pd.isna(doc_id), 0 if pd.isna(doc_id) else doc_id, first, n, at, len(frame)))
+            frame = pack(raw[lo * width : hi * width] + end)
+            n = hi - lo + 1
+            index.append((doc_id is not None, doc_id or 0, first, n, at, len(frame)))
             out.write(frame)
             at, first = at + len(frame), first + n
     if out is not None:
         close()
-    yield pd.DataFrame(done, columns=["path", "part", "file", "n_docs", "n_ids"])
+    columns = zip(*done) if done else [()] * 5
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=["path", "part", "file", "n_docs", "n_ids"])
 
 
 def write_id_files(docs: DataFrame, folder: str | None = None, tokenizer: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -163,7 +233,6 @@ def write_id_files(docs: DataFrame, folder: str | None = None, tokenizer: str |
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ids")
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    small_batches(spark)
     dictionary = train_dictionary(docs, tokenizer)
     dict_path = None
     if dictionary:
@@ -173,9 +242,10 @@ def write_id_files(docs: DataFrame, folder: str | None = None, tokenizer: str |
         with files.open_output_stream(f"{path}/{name}") as out:
             out.write(dictionary)
         dict_path = f"{folder}/{name}"
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered = ordered.withColumn("doc_id", F.col("doc_id").cast("string"))  # pandas would turn nullable integers into doubles
-    written = cut(ordered.mapInPandas(lambda it: _write((p.assign(doc_id=p["doc_id"].map(int, na_action="ignore").astype("object")) for p in it), folder, tokenizer, dictionary, file_bytes), "path string, part int, file int, n_docs bigint, n_ids bigint"))
+    # repeated and null ids are dealt out by text, in whose order they follow each other
+    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), whole_text().alias("text")).withColumn("same", F.xxhash64("text"))
+    ordered = ordered.repartitionByRange("doc_id", "same").sortWithinPartitions("doc_id", "same", "text").select("doc_id", "text")
+    written = cut(ordered.mapInArrow(lambda it: _write(it, folder, tokenizer, dictionary, file_bytes), "path string, part int, file int, n_docs bigint, n_ids bigint"))
     before = F.sum("n_ids").over(Window.orderBy("part", "file")) - F.col("n_ids")  # one row a file
     return written.select("path", "n_docs", "n_ids", before.alias("first_id"), F.lit(dict_path).cast("string").alias("dictionary"))
 
@@ -252,7 +322,7 @@ def id_file_round_trip(docs: DataFrame) -> DataFrame:
     Columns doc_id, start, n_tokens (with the end id) and ids_crc32, over the
     ids as little-endian unsigned 32-bit integers. Null text counts as empty and
     has the end id alone; null doc_ids come first; rows that repeat a doc_id
-    follow each other in text order; an empty table gives an empty result; other
+    follow each other by the hashes of their texts; an empty table gives an empty result; other
     columns are ignored.
     """
     return _rows_of(write_id_files(docs), "ids_crc32 bigint", lambda ids: zlib.crc32(ids.astype("<u4").tobytes()))
