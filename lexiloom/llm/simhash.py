@@ -1,19 +1,18 @@
 """SimHash near-duplicates through a Gray-ordered hierarchical index.
 
-Distinct fingerprints are keyed by every choice of two of their four 16-bit
-blocks: two fingerprints at most two bits apart agree on such a choice. Below a
-key the fingerprints lie in Gray order, so neighbours differ in few bits. Runs
-of neighbours become leaves, runs of leaves become nodes; both keep the bits
-that all their members share (mask and pattern). A pair of nodes, then of
-leaves, whose shared bits already differ too often is pruned as a whole. What is
-left is compared member by member, and each comparison hands on only a spanning
-forest of its links, never all pairs of a group.
+Distinct fingerprints are sorted by Gray rank, so that neighbours differ in few
+bits. Runs of neighbours with a common prefix become leaves, leaves buckets,
+buckets chunks, chunks groups, groups the root; every node keeps the bits that
+all fingerprints below it share (mask and pattern). The index is joined with
+itself from the root down: a pair of nodes adds the differences in newly shared
+bits to those counted above, and goes with all that is below it once they are too
+many. Members of leaves that are left are compared one by one, and each
+comparison hands on only a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -23,16 +22,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, small_batches, whole_text
+from .common import cut, whole_text
 from .components import components
 
 WIDTH = 3
 DISTANCE = 2
 SEED = 42
-LEAF = 64
-FANOUT = 64
-BLOCKS = 4
-_CHUNK = 1 << 15
+#: Fingerprints of a leaf, a bucket and a chunk at most; partitions of a group.
+LEAF, BUCKET, CHUNK, GROUP = 64, 4096, 1 << 20, 256
+#: Pairs of leaves compared at once, links held before they are reduced to a forest.
+_TOGETHER, _HELD = 64, 1 << 20
+#: Pairs of buckets for each task, and tasks, at most.
+_PAIRS, _TASKS = 16, 100_000
+_SHINGLES = 1 << 15
 
 
 def fingerprint_bytes(raw: bytes, width: int = WIDTH) -> int:
@@ -47,8 +49,8 @@ def fingerprint_bytes(raw: bytes, width: int = WIDTH) -> int:
         grams = map(b" ".join, zip(*(words[i:] for i in range(width))))
         total = len(words) - width + 1
     digest, votes = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for start in range(0, total, _CHUNK):
-        packed = b"".join([digest(next(grams), SEED) for _ in range(min(_CHUNK, total - start))])
+    for start in range(0, total, _SHINGLES):
+        packed = b"".join([digest(next(grams), SEED) for _ in range(min(_SHINGLES, total - start))])
         bits = np.unpackbits(np.frombuffer(packed, np.uint8)).reshape(-1, 64)
         votes += bits.sum(axis=0, dtype=np.int32)
     return int(np.packbits(2 * votes > total).view(">i8")[0])
@@ -70,152 +72,205 @@ def _gray_rank(fp: Column) -> Column:
     return fp.bitwiseXOR(F.lit(-(1 << 63)))
 
 
-def _signed(x: int) -> int:
-    return x - (1 << 64) if x >> 63 else x
+def _rank_of(codes: np.ndarray) -> np.ndarray:
+    rank = codes.copy()
+    for shift in (1, 2, 4, 8, 16, 32):
+        rank ^= rank >> np.uint64(shift)
+    return rank
 
 
-def _bands(fp: Column, distance: int) -> Column:
-    width = 64 // BLOCKS
-    masks = [sum(((1 << width) - 1) << (width * b) for b in chosen) for chosen in combinations(range(BLOCKS), BLOCKS - distance)]
-    return F.array(*[F.struct(F.lit(i).alias("band"), fp.bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)])
+def _runs(rank: np.ndarray, lo: int, hi: int, size: int) -> list[tuple[int, int]]:
+    """The longest runs of at most ``size`` ascending ranks that are all of one prefix."""
+    out, todo = [], [(lo, hi)]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= size:
+            out.append((lo, hi))
+            continue
+        bit = int(rank[lo] ^ rank[hi - 1]).bit_length() - 1
+        half = np.uint64((int(rank[lo]) >> bit | 1) << bit)
+        middle = lo + int(np.searchsorted(rank[lo:hi], half))
+        todo += [(middle, hi), (lo, middle)]
+    return out
 
 
-def _shared(values: np.ndarray) -> tuple[int, int]:
-    """Bits that all values share (mask) and what they are (pattern)."""
-    ones, any_ = np.bitwise_and.reduce(values), np.bitwise_or.reduce(values)
+def _shared(codes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of codes the bits that all of it share (mask) and what they are (pattern)."""
+    ones, any_ = np.bitwise_and.reduceat(codes, starts), np.bitwise_or.reduceat(codes, starts)
     mask = ~(ones ^ any_)
-    return int(mask), int(ones & mask)
+    return mask, ones & mask
 
 
-_LEAF_COLUMNS = ["band", "key", "node", "node_mask", "node_pattern", "leaf", "mask", "pattern", "members"]
-_LEAF_SCHEMA = "band int, key bigint, node bigint, node_mask bigint, node_pattern bigint, leaf bigint, mask bigint, pattern bigint, members array<bigint>"
+_TREE = "level int, id bigint, parent bigint, mask bigint, pattern bigint, members array<bigint>, starts array<int>, masks array<bigint>, patterns array<bigint>"
+_TREE_COLUMNS = [c.split()[0] for c in _TREE.split(", ")]
 
 
-def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Leaves and nodes of one partition, which is sorted by band, key and Gray rank.
+def _subtrees(batches: Iterator[pd.DataFrame], bucket: int = BUCKET, chunk: int = CHUNK, leaf: int = LEAF) -> Iterator[pd.DataFrame]:
+    """Chunks (level 1) and their buckets (level 0) of one partition in Gray order.
 
-    At most FANOUT leaves are held. A key's lone fingerprint is left out, except
-    at the partition's ends, where the key may go on in the next partition, and
-    where it is what remains of a key whose full nodes are out already.
+    A bucket also has its leaves: where each starts, its mask and its pattern. At
+    most ``chunk`` codes and a batch are held.
     """
-    ident = TaskContext.get().partitionId() << 36
+    part = TaskContext.get().partitionId()
+    ident = part << 36
 
-    def flush(band: int, key: int, values: np.ndarray) -> list[tuple]:
+    def subtree(codes: np.ndarray) -> pd.DataFrame:
         nonlocal ident
-        out = []
-        for start in range(0, len(values), LEAF * FANOUT):
-            node = values[start : start + LEAF * FANOUT]
+        rank, signed = _rank_of(codes), codes.view(np.int64)
+        ident += 1
+        root, rows = ident, []
+        for lo, hi in _runs(rank, 0, len(codes), bucket):
             ident += 1
-            mine, (mask, pattern) = ident, _shared(node)
-            for at in range(0, len(node), LEAF):
-                leaf = node[at : at + LEAF]
-                ident += 1
-                out.append((band, key, mine, mask, pattern, ident, *_shared(leaf), leaf))
-        return out
-
-    held: tuple[int, int, np.ndarray] | None = None
-    first, begun = True, None  # key whose full nodes are out
+            starts = np.array([at for at, _ in _runs(rank, lo, hi, leaf)]) - lo
+            masks, patterns = _shared(codes[lo:hi], starts)
+            (mask,), (pattern,) = _shared(codes[lo:hi], np.array([0]))
+            rows.append((0, ident, root, int(mask.view(np.int64)), int(pattern.view(np.int64)), signed[lo:hi], starts.astype(np.int32), masks.view(np.int64), patterns.view(np.int64)))
+        (mask,), (pattern,) = _shared(codes, np.array([0]))
+        rows.append((1, root, part // GROUP, int(mask.view(np.int64)), int(pattern.view(np.int64)), None, None, None, None))
+        return pd.DataFrame(rows, columns=_TREE_COLUMNS)
+
+    held = np.zeros(0, np.uint64)
     for pdf in batches:
-        if pdf.empty:
-            continue
-        band, key, fp = (pdf[c].to_numpy() for c in ("band", "key", "fp"))
-        if held is not None:
-            band, key = np.concatenate([np.full(len(held[2]), held[0], band.dtype), band]), np.concatenate([np.full(len(held[2]), held[1], key.dtype), key])
-            fp = np.concatenate([held[2], fp])
-        starts = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (key[1:] != key[:-1])])
-        ends = np.r_[starts[1:], len(fp)]
-        rows: list[tuple] = []
-        for i in np.flatnonzero((ends[:-1] - starts[:-1] > 1) | ((first or begun == (int(band[0]), int(key[0]))) & (starts[:-1] == 0))):
-            rows += flush(int(band[starts[i]]), int(key[starts[i]]), fp[starts[i] : ends[i]])
-        s = int(starts[-1])
-        full = (len(fp) - s) // (LEAF * FANOUT) * (LEAF * FANOUT)
-        if full:
-            begun = (int(band[s]), int(key[s]))
-            rows += flush(int(band[s]), int(key[s]), fp[s : s + full])
-        if len(starts) > 1:
-            first = False
-        held = (int(band[s]), int(key[s]), fp[s + full :])
-        if rows:
-            yield pd.DataFrame(rows, columns=_LEAF_COLUMNS)
-    if held is not None and len(held[2]):
-        yield pd.DataFrame(flush(*held), columns=_LEAF_COLUMNS)
-
-
-def _forest(values: np.ndarray, near: np.ndarray) -> list[tuple[int, int]]:
-    """A star for each group of linked values."""
-    label = np.arange(len(values))
-    np.fill_diagonal(near, True)
+        held = np.concatenate([held, pdf["fp"].to_numpy(np.int64).view(np.uint64)])
+        if len(held) > chunk:
+            *full, (last, _) = _runs(_rank_of(held), 0, len(held), chunk)
+            for lo, hi in full:
+                yield subtree(held[lo:hi])
+            held = held[last:]
+    if len(held):
+        yield subtree(held)
+
+
+def _above(nodes: DataFrame, level: int, parent: Column) -> DataFrame:
+    """The nodes over ``nodes``, by their parents, with what all of them share."""
+    ones, any_, mask = F.bit_and("pattern"), F.bit_or("pattern"), F.bit_and("mask")
+    up = nodes.groupBy(F.col("parent").alias("id")).agg(mask.bitwiseAND(F.bitwise_not(ones.bitwiseXOR(any_))).alias("mask"), ones.alias("ones"))
+    return up.select(F.lit(level).alias("level"), "id", parent.alias("parent"), "mask", F.col("ones").bitwiseAND(F.col("mask")).alias("pattern"))
+
+
+def tree(fingerprints: DataFrame, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
+    """``fp`` (distinct) -> nodes of the index: root (level 3), groups, chunks, buckets (level 0).
+
+    A chunk belongs to one partition of the Gray order, a group to ``GROUP``
+    partitions that follow each other. Each node has the bits that all
+    fingerprints below it share; what its parent shares is among them.
+    """
+    ordered = fingerprints.select("fp", _gray_rank(F.col("fp")).alias("rank")).repartitionByRange("rank").sortWithinPartitions("rank").select("fp")
+    local = cut(ordered.mapInPandas(lambda it: _subtrees(it, bucket, chunk), _TREE))
+    groups = _above(local.where("level = 1"), 2, F.lit(0).cast("bigint"))
+    root = _above(groups, 3, F.lit(None).cast("bigint"))
+    return cut(local.unionByName(groups.unionByName(root), allowMissingColumns=True))
+
+
+def descend(nodes: DataFrame, distance: int = DISTANCE, levels: int = 3) -> DataFrame:
+    """Pairs ``(l, r)`` of nodes ``levels`` below the root that the index can't rule out.
+
+    A pair carries the bits that both sides share (``done``) and in how many of
+    them they differ (``apart``). Of a pair of children only bits that are newly
+    shared are compared, and their differences added; a pair that differs too
+    often goes with everything below it.
+    """
+    pairs = nodes.where("level = 3").select(F.col("id").alias("l"), F.col("id").alias("r"), F.col("mask").alias("done"), F.lit(0).alias("apart"))
+    for level in range(2, 2 - levels, -1):
+        below = nodes.where(F.col("level") == level).select("id", "parent", "mask", "pattern")
+        left = below.select(F.col("parent").alias("l"), F.col("id").alias("l_id"), F.col("mask").alias("l_mask"), F.col("pattern").alias("l_pattern"))
+        right = below.select(F.col("parent").alias("r"), F.col("id").alias("r_id"), F.col("mask").alias("r_mask"), F.col("pattern").alias("r_pattern"))
+        both = F.col("l_mask").bitwiseAND(F.col("r_mask"))
+        more = F.bit_count(F.col("l_pattern").bitwiseXOR(F.col("r_pattern")).bitwiseAND(both).bitwiseAND(F.bitwise_not("done")))
+        pairs = (
+            pairs.join(left, "l")
+            .join(right, "r")
+            .where(((F.col("l") < F.col("r")) | (F.col("l_id") <= F.col("r_id"))) & (F.col("apart") + more <= distance))
+            .select(F.col("l_id").alias("l"), F.col("r_id").alias("r"), both.alias("done"), (F.col("apart") + more).alias("apart"))
+        )
+    return pairs
+
+
+def _forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The least member of the component of each of ``n`` nodes."""
+    label = np.arange(n)
     while True:
-        low = np.where(near, label[None, :], len(values)).min(axis=1)
-        low = low[low]
-        if (low == label).all():
-            break
-        label = low
-    return [(int(values[i]), int(values[r])) for i, r in enumerate(label) if i != r]
+        a, b = label[u], label[v]
+        low = np.minimum(a, b)
+        if (a == b).all():
+            return label
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while (label[label] != label).any():
+            label = label[label]
 
 
-def _links_within(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        out = []
-        for members in pdf["members"]:
-            v = np.asarray(members, np.int64)
-            if len(v) > 1:
-                out += _forest(v, np.bitwise_count((v[:, None] ^ v[None, :]).view(np.uint64)) <= distance)
-        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
+class _Leaves:
+    """The leaves of a bucket as rows of one width; a short leaf repeats its last member."""
+
+    def __init__(self, members, starts, masks, patterns):
+        self.codes = np.asarray(members, np.int64).view(np.uint64)
+        starts = np.asarray(starts, np.int64)
+        ends = np.r_[starts[1:], len(self.codes)]
+        self.at = np.minimum(starts[:, None] + np.arange((ends - starts).max()), ends[:, None] - 1)
+        self.rows = self.codes[self.at]
+        self.masks, self.patterns = (np.asarray(x, np.int64).view(np.uint64) for x in (masks, patterns))
 
 
-def _links_between(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
+def linked(left: _Leaves, right: _Leaves, same: bool, distance: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Places of linked members of two buckets (or twice one), and how many pairs of leaves were compared.
+
+    Links are reduced to a spanning forest on the way, places of the right
+    bucket following those of the left.
+    """
+    shared = left.masks[:, None] & right.masks[None, :]
+    near = np.bitwise_count((left.patterns[:, None] ^ right.patterns[None, :]) & shared) <= distance
+    li, ri = np.nonzero(np.triu(near) if same else near)
+    base = 0 if same else len(left.codes)
+    total = base + len(right.codes)
+    us, vs, held = [], [], 0
+    for lo in range(0, len(li), _TOGETHER):
+        l, r = li[lo : lo + _TOGETHER], ri[lo : lo + _TOGETHER]
+        pair, i, j = np.nonzero(np.bitwise_count(left.rows[l][:, :, None] ^ right.rows[r][:, None, :]) <= distance)
+        us.append(left.at[l[pair], i])
+        vs.append(base + right.at[r[pair], j])
+        held += len(pair)
+        if held > _HELD:
+            label = _forest(total, np.concatenate(us), np.concatenate(vs))
+            us, vs, held = [np.arange(total)], [label], 0
+    label = _forest(total, np.concatenate(us), np.concatenate(vs)) if us else np.arange(total)
+    tied = np.flatnonzero(label != np.arange(total))
+    return tied, label[tied], len(li)
+
+
+_SIDE = ("members", "starts", "masks", "patterns")
+
+
+def _links_of_pairs(batches: Iterator[pd.DataFrame], distance: int) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        out = []
-        for left, right in zip(pdf["l_members"], pdf["r_members"], strict=True):
-            a, b = np.asarray(left, np.int64), np.asarray(right, np.int64)
-            cross = np.bitwise_count((a[:, None] ^ b[None, :]).view(np.uint64)) <= distance
-            if cross.any():
-                near = np.zeros((len(a) + len(b),) * 2, bool)
-                near[: len(a), len(a) :] = cross
-                near[len(a) :, : len(a)] = cross.T
-                out += _forest(np.concatenate([a, b]), near)
-        yield pd.DataFrame(out, columns=["u", "v"], dtype="int64")
-
-
-def links(fingerprints: DataFrame, distance: int = DISTANCE) -> DataFrame:
+        for row in pdf.itertuples(index=False):
+            left = _Leaves(*(getattr(row, f"l_{c}") for c in _SIDE))
+            same = row.l == row.r
+            right = left if same else _Leaves(*(getattr(row, f"r_{c}") for c in _SIDE))
+            u, v, _ = linked(left, right, same, distance)
+            codes = (left.codes if same else np.concatenate([left.codes, right.codes])).view(np.int64)
+            yield pd.DataFrame({"u": codes[u], "v": codes[v]})
+
+
+def links(fingerprints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKET, chunk: int = CHUNK) -> DataFrame:
     """``fp`` (distinct) -> ``(u, v)``: links that connect what is in reach.
 
     The links span every component of the graph "at most ``distance`` bits
     apart", and no more; u and v themselves can be further apart.
     """
-    ranked = (
-        fingerprints.select("fp", F.explode(_bands(F.col("fp"), distance)).alias("b"))
-        .select("b.band", "b.key", "fp", _gray_rank(F.col("fp")).alias("rank"))
-        .repartitionByRange("band", "key", "rank")
-        .sortWithinPartitions("band", "key", "rank")
-        .select("band", "key", "fp")
-    )
-    leaves = cut(ranked.mapInPandas(_nodes, _LEAF_SCHEMA))
-    inside = leaves.select("members").mapInPandas(lambda it: _links_within(it, distance), "u bigint, v bigint")
-
-    def apart(l: str, r: str) -> Column:
-        differ = F.col(f"l.{l}pattern").bitwiseXOR(F.col(f"r.{l}pattern")).bitwiseAND(F.col(f"l.{l}mask")).bitwiseAND(F.col(f"r.{l}mask"))
-        return F.bit_count(differ) <= distance
-
-    nodes = leaves.groupBy("band", "key", "node").agg(F.first("node_mask").alias("node_mask"), F.first("node_pattern").alias("node_pattern"))
-    pairs = (
-        nodes.alias("l")
-        .join(nodes.alias("r"), (F.col("l.band") == F.col("r.band")) & (F.col("l.key") == F.col("r.key")) & (F.col("l.node") <= F.col("r.node")) & apart("node_", "node_"))
-        .select(F.col("l.node").alias("l_node"), F.col("r.node").alias("r_node"))
-    )
-    between = (
-        pairs.join(leaves.alias("l"), F.col("l_node") == F.col("l.node"))
-        .join(leaves.alias("r"), (F.col("r_node") == F.col("r.node")) & (F.col("l.leaf") < F.col("r.leaf")) & apart("", ""))
-        .select(F.col("l.members").alias("l_members"), F.col("r.members").alias("r_members"))
-        .mapInPandas(lambda it: _links_between(it, distance), "u bigint, v bigint")
-    )
-    return inside.unionByName(between)
+    nodes = tree(fingerprints, bucket, chunk)
+    pairs = cut(descend(nodes, distance).select("l", "r"))
+    buckets = nodes.where("level = 0")
+    left = buckets.select(F.col("id").alias("l"), *[F.col(c).alias(f"l_{c}") for c in _SIDE])
+    right = buckets.select(F.col("id").alias("r"), *[F.col(c).alias(f"r_{c}") for c in _SIDE])
+    tasks = min(max(pairs.count() // _PAIRS, 1), _TASKS)
+    # a number, as adaptive execution would go by bytes, which tell little of the work
+    both = pairs.join(left, "l").join(right, "r").repartition(tasks, "l", "r")
+    return both.mapInPandas(lambda it: _links_of_pairs(it, distance), "u bigint, v bigint")
 
 
 def _placed(docs: DataFrame, distance: int) -> DataFrame:
     """doc_id, text_hash and fp of every row, with its class (root, component_id)."""
-    small_batches(docs.sparkSession)
     marked = cut(docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), fingerprint(F.col("text")).alias("fp")))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes.select("fp"), distance))
@@ -242,10 +297,13 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 
     It is the row with the smallest doc_id; where texts repeat that id, the one
     with the smallest hash; where a component has null ids only, one of those.
-    Rows that repeat both id and text are reduced to any one of them.
+    Rows that repeat both id and text are reduced to any one of them. Other
+    columns may have any names. Rows are chosen on ids and hashes alone, so that
+    texts are shuffled once.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
-    chosen = _placed(docs, distance).groupBy("root").agg(least).select(F.col("first.doc_id").alias("__doc"), F.col("first.text_hash").alias("__hash"))
-    hashed = docs.withColumn("__own", F.xxhash64(whole_text()))
-    kept = hashed.join(chosen, hashed["doc_id"].eqNullSafe(chosen["__doc"]) & (hashed["__own"] == chosen["__hash"]), "left_semi")
-    return kept.dropDuplicates(["doc_id", "__own"]).drop("__own")
+    key = [F.col("first.unknown").alias("unknown"), F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("id"), F.col("first.text_hash").alias("hash")]
+    chosen = _placed(docs, distance).groupBy("root").agg(least).select(*key)
+    own = docs.select(F.struct("*").alias("row"), F.col("doc_id").isNull().alias("unknown"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.xxhash64(whole_text()).alias("hash"))
+    once = own.groupBy("unknown", "id", "hash").agg(F.first("row").alias("row"))  # repeated rows go before the shuffle
+    return once.join(chosen, ["unknown", "id", "hash"], "left_semi").select("row.*")

@@ -6,10 +6,8 @@ import re
 import tracemalloc
 import zlib
 from itertools import combinations
-from types import SimpleNamespace
 
 import numpy as np
-import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -273,14 +271,71 @@ def test_simhash_hot_and_chained(spark):
     assert len(set(linked.values())) == len(set(true.values())) == len({(linked[v], true[v]) for v in signed})
 
 
-def test_simhash_nodes_keep_what_remains_of_a_key(monkeypatch):
-    monkeypatch.setattr(simhash, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
-    size = simhash.LEAF * simhash.FANOUT
-    rows = pd.DataFrame([(0, 1, 7), (0, 1, 8), *((0, 2, 100 + i) for i in range(size + 1)), (0, 3, 5), (0, 3, 6), (0, 4, 9), (0, 5, 1), (0, 5, 2)], columns=["band", "key", "fp"])
-    for at in (size + 1, size + 2, size + 3, size + 4):
-        got = pd.concat(simhash._nodes(iter([rows[:at], rows[at:]])))
-        members = {k: sorted(np.concatenate(own.tolist()).tolist()) for k, own in got.groupby("key")["members"]}
-        assert members == {1: [7, 8], 2: list(range(100, 101 + size)), 3: [5, 6], 5: [1, 2]}, at
+def test_simhash_index_prunes_groups(spark):
+    rule = random.Random(11)
+    values = {rule.getrandbits(64) for _ in range(6000)}
+    values |= {v ^ (1 << rule.randrange(64)) ^ (1 << rule.randrange(64)) for v in list(values)[:500]}
+    signed = spark.createDataFrame([(v - (1 << 64) if v >> 63 else v,) for v in values], "fp bigint").repartition(4)
+    nodes = simhash.tree(signed, bucket=16, chunk=64).cache()
+    for row in nodes.where("level = 0").collect():
+        codes = np.array(row.members).view(np.uint64)
+        want = ~(np.bitwise_and.reduce(codes) ^ np.bitwise_or.reduce(codes))
+        assert (np.int64(row.mask).view(np.uint64), np.int64(row.pattern).view(np.uint64)) == (want, want & codes[0])
+    sizes = {r.level: r["count"] for r in nodes.groupBy("level").count().collect()}
+    assert sizes[3] == 1 and sizes[1] >= 100 and sizes[0] >= 400
+    left = {level: simhash.descend(nodes, levels=3 - level).count() for level in (1, 0)}
+    # most pairs of buckets go, and many go already with their chunks
+    assert left[1] < 0.6 * sizes[1] * (sizes[1] + 1) / 2 and left[0] < 0.3 * sizes[0] * (sizes[0] + 1) / 2
+    members = {r.id: r for r in nodes.where("level = 0").collect()}
+    kept = {(r.l, r.r) for r in simhash.descend(nodes).collect()}
+    at = {m: i for i, r in members.items() for m in r.members}
+    for v in values:
+        for i, j in combinations(range(-1, 64), 2):
+            w = v ^ (1 << i if i >= 0 else 0) ^ (1 << j)
+            if w in values:
+                x, y = (at[c - (1 << 64) if c >> 63 else c] for c in (v, w))
+                assert (x, y) in kept or (y, x) in kept
+    rows = [simhash._Leaves(r.members, r.starts, r.masks, r.patterns) for r in members.values()]
+    small = [simhash._Leaves(r.members, r.starts, r.masks, r.patterns) for r in simhash.tree(signed).where("level = 0").collect()]
+    assert len(rows) > len(small)
+    compared = sum(simhash.linked(a, b, a is b, 2)[2] for i, a in enumerate(small) for b in small[i:])
+    leaves = sum(len(x.rows) for x in small)
+    assert compared < 0.5 * leaves * (leaves + 1) / 2
+
+
+def test_simhash_trees_of_any_shape_give_the_same_components(spark):
+    rule = random.Random(12)
+    base = [rule.getrandbits(64) for _ in range(3)]
+    values = sorted({b ^ sum(1 << rule.randrange(64) for _ in range(rule.randrange(4))) & (1 << 64) - 1 for b in base for _ in range(400)})
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    root = {v: v for v in signed}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    def classes(edges):
+        root.update((v, v) for v in signed)
+        for u, v in edges:
+            root[find(u)] = find(v)
+        groups = {}
+        for v in signed:
+            groups.setdefault(find(v), set()).add(v)
+        return sorted(map(sorted, groups.values()))
+
+    true = classes((a, b) for a, b in combinations(signed, 2) if ((a ^ b) & (1 << 64) - 1).bit_count() <= 2)
+    table_ = spark.createDataFrame([(v,) for v in signed], "fp bigint").repartition(3)
+    for bucket, chunk in ((4096, 1 << 20), (64, 300), (1, 7)):
+        assert classes((e.u, e.v) for e in simhash.links(table_, bucket=bucket, chunk=chunk).collect()) == true, (bucket, chunk)
+
+
+def test_keep_first_takes_any_columns(spark):
+    docs = table(spark, [(5, "a b c d e f"), (5, "a b c d e f"), (9, "x y z")])
+    for name in ("__own", "id", "hash", "row", "unknown", "root"):
+        got = simhash.keep_first(docs.withColumn(name, F.lit("kept")))
+        assert {(r.doc_id, r[name]) for r in got.collect()} == {(5, "kept"), (9, "kept")} and got.count() == 2
 
 
 def test_keep_first_keeps_one_of_each_component(spark):
