@@ -1,17 +1,20 @@
 """N-best segmentation into SentencePiece pieces, and decoding.
 
-The piece lattice of a text has an arc wherever a stretch of it is a piece; an
-arc's score is the piece's score in the model file. Forward Viterbi scores are
-the exact best scores of all beginnings, so the backward A-star search from the
-end, which uses them as its heuristic, takes complete segmentations off its queue
-in order of score.
+The piece lattice of a text has an arc wherever a stretch of it is a piece. An
+arc's score is the logarithm of its piece's probability: as it is in the model
+file, or, where the file has ranks only (BPE), by the Zipf-Mandelbrot law of the
+rank. Scores are multiples of 2^-20, so that sums are exact. Forward Viterbi
+scores are the exact best scores of all beginnings, so the backward A-star search
+from the end, which uses them as its heuristic, takes complete segmentations off
+its queue in order of score.
 
 No piece crosses from a non-space to a space, nor over a line break, so the
-lattice of a text is a chain of the lattices of its words. The chain is searched
-word by word: forward and backward Viterbi scores over all words of a batch at
-once give each word's best segmentation and the loss of its second best, and only
-the words with the smallest losses can differ from the best in the N best
-segmentations of the text; A-star search runs over those.
+lattice of a text is a chain of the lattices of its words. A-star over a word
+gives its N best segmentations, and A-star over the chain, from the last word to
+the first, those of the text. Forward and backward Viterbi scores over all words
+of a batch at once tell beforehand the best segmentation of each word and the
+loss of its second best; only the N - 1 words with the smallest losses can differ
+from their best, so the search passes by all others.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import whole_text
 
 SPACE = "▁"
 BEST = 4
@@ -36,11 +39,25 @@ BEST = 4
 REMEMBERED = 500_000
 #: How much worse than the worst ordinary piece a character without a piece is.
 UNKNOWN_LOSS = 10.0
+#: Offset of the Zipf-Mandelbrot law (its usual value for words), and steps of a score.
+OFFSET, STEPS = 2.7, 1 << 20
 _WORD = re.compile(r"\n| +[^ \n]*|[^ \n]+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _SEEN_BITS = 22
 
 
+def _log_probabilities(score: np.ndarray, ordinary: np.ndarray) -> np.ndarray:
+    """Scores of a model file as log-probabilities; whole numbers up to 0 are ranks."""
+    own = score[ordinary]
+    if (own == np.rint(own)).all() and (own <= 0).all():
+        weight = 1.0 / (OFFSET - own)
+        score = np.full(len(score), -np.inf)
+        score[ordinary] = np.log(weight / weight.sum())
+    out = np.full(len(score), -np.inf)
+    out[ordinary] = np.rint(score[ordinary] * STEPS) / STEPS
+    return out
+
+
 class Lattice:
     """Pieces of a model and the searches over them."""
 
@@ -51,7 +68,7 @@ class Lattice:
         n = model.get_piece_size()
         ordinary = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         self.piece = {model.id_to_piece(i): i for i in ordinary}
-        self.score = np.array([model.get_score(i) for i in range(n)], np.float64)
+        self.score = _log_probabilities(np.array([model.get_score(i) for i in range(n)], np.float64), np.array(ordinary))
         if any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.piece):
             raise ValueError("a piece of this model crosses words")
         self.byte_id = {int(model.id_to_piece(i)[3:-1], 16): i for i in range(n) if model.is_byte(i)}
@@ -59,7 +76,7 @@ class Lattice:
             raise ValueError("this model has no byte pieces")
         self.plain_score = self.score.tolist()
         likely = self.score[ordinary]
-        self.unknown = float(likely[likely > -1e8].min()) - UNKNOWN_LOSS
+        self.unknown = float(likely.min()) - UNKNOWN_LOSS
         self.bytes_of: list[bytes] = [b""] * n
         for p, i in self.piece.items():
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
@@ -278,17 +295,21 @@ class Lattice:
         if len(near) >= n:
             near = near[loss[near] <= np.partition(loss[near], n - 2)[n - 2]] if n > 1 else near[:0]
             near = np.sort(near[np.argsort(loss[near], kind="stable")[: n - 1]])
-        chosen: list[tuple[float, int, tuple, tuple]] = [(0.0, 0, (), ())]
-        for i in near.tolist():
-            others = self.search(words[i], n)
-            more = [(loss + others[0][0] - s, count + 1, (*where, (i, r)), (*what, (i, own))) for loss, count, where, what in chosen for r, (s, own) in enumerate(others) if r]
-            chosen = heapq.nsmallest(n, chosen + more, key=lambda c: c[:3])
-        out = []
-        for loss, _, _, what in chosen:
-            own = list(ids) if what else ids
-            for i, b in what:
-                own[i] = b
-            out.append((total - loss, b"".join(own)))
+        arcs = [self.search(words[i], n) for i in near.tolist()]
+        # loss, words that differ, (word, rank) of those; words not yet decided. The heuristic is exact: they can be at their best
+        queue: list[tuple[float, int, tuple, int]] = [(0.0, 0, (), len(arcs))]
+        out: list[tuple[float, bytes]] = []
+        while queue and len(out) < n:
+            lost, count, where, left = heapq.heappop(queue)
+            if left:
+                others = arcs[left - 1]
+                for r, (score, _) in enumerate(others):
+                    heapq.heappush(queue, (lost + others[0][0] - score, count + (r > 0), ((left - 1, r), *where) if r else where, left - 1))
+                continue
+            own = list(ids) if where else ids
+            for k, r in where:
+                own[near[k]] = arcs[k][r][1]
+            out.append((total - lost, b"".join(own)))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
@@ -318,7 +339,6 @@ def _batches(it: Iterator[pd.DataFrame], model: str | None, n: int) -> Iterator[
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
-    small_batches(docs.sparkSession, 256)
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
 
 
