@@ -133,6 +133,64 @@ def test_revealing_terms_in_whole_documents(spark):
     assert clean[1] == "write to [TERM] owner [EMAIL] today" and clean[2].startswith("[TERM] the owner") and clean[3] == "[TERM] alone" and clean[9].startswith("the owner")
 
 
+def brute_terms(texts, reach, disclosure, support):
+    """What each term tells of each entity, by the definition; and the spans of each text."""
+    every, rows = {}, []
+    for text in texts:
+        spans = pii.base_spans(text)
+        taken = [s for own in spans for s in own]
+        words = [(m[0].lower(), *m.span()) for m in re.finditer(r"[^\W_]{2,}", text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+        entities = {}
+        for kind, own in zip(pii.KINDS, spans):
+            for a, b in own:
+                raw = text[a:b]
+                entities.setdefault((kind, raw.lower() if kind == "email" else raw if kind == "ip" else re.sub("[^0-9]", "", raw)), []).append((a, b))
+        rows.append((entities, words, {t for t, _, _ in words}))
+        for e, at in entities.items():
+            for t, a, b in words:
+                if reach is None or any((x - reach <= a and b <= x) or (y <= a and b <= y + reach) for x, y in at):
+                    every[e, t] = None
+    told = {}
+    for e, t in every:
+        n_e, n_t, both = (sum(f(r) for r in rows) for f in (lambda r: e in r[0], lambda r: t in r[2], lambda r: e in r[0] and t in r[2]))
+        p = n_e / len(texts)
+        value = 0.0 if p >= 1 else 1 - np.log(both / n_t) / np.log(p)
+        if both >= support and value >= disclosure - 1e-12:
+            told[t] = max(told.get(t, 0), value)
+    return told, [[(a, b, told[t]) for t, a, b in words if t in told] for _, words, _ in rows]
+
+
+@pytest.mark.parametrize("reach", [None, 12, 100])
+def test_revealing_terms_equal_brute_force(spark, reach):
+    rule = random.Random(13)
+    bits = ["jo@x.org", "JO@x.org", "10.0.0.7", "+1 (555) 123-4567", "Smithson", "smithson", "王五", "x99z", "4711", "the", "owner", "of", "a", "is", "ok", "_", "ünal"]
+    texts = [" ".join(rule.choices(bits[:4] if rule.random() < 0.1 else bits[4:], k=1)[0] for _ in range(rule.randrange(1, 12))) for _ in range(150)]
+    texts += ["filler words here"] * 60
+    docs = table(spark, list(enumerate(texts)))
+    _, want = brute_terms(texts, reach, 0.2, 2)
+    got = {r.doc_id: r.spans for r in pii.personal_data(docs, disclosure=0.2, reach=reach).collect()}
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs, disclosure=0.2, reach=reach).collect()}
+    assert sum(map(len, want)) > 20
+    for i, text in enumerate(texts):
+        base = [f"{kind}:{a}:{b}" for kind, own in zip(pii.KINDS, pii.base_spans(text)) for a, b in own]
+        assert got[i] == ",".join(base + [f"term:{a}:{b}" for a, b, _ in want[i]]), text
+        assert clean[i] == pii.replaced(text, want[i])
+
+
+def test_terms_are_generalised_by_class(spark):
+    text = "id 王五 4711 x99z jo@x.org"
+    docs = table(spark, [(1, text), (2, text), (3, "王五 4711 x99z"), *[(i, f"id of{i}") for i in range(4, 60)]])
+    clean = {r.doc_id: r.text for r in pii.sanitize(docs).collect()}
+    assert clean[3] == "[TERM] [NUMBER] [CODE]" and clean[1] == "id [TERM] [NUMBER] [CODE] [EMAIL]"
+
+
+def test_sanitize_takes_any_columns(spark):
+    docs = table(spark, [(1, "mail jo@x.org"), (2, None)])
+    for name in ("__doc", "__hash", "__terms", "own", "id", "hash", "terms", "cleaned", "row"):
+        got = pii.sanitize(docs.withColumn(name, F.lit("kept"))).collect()
+        assert {(r.doc_id, r.text, r[name]) for r in got} == {(1, "mail [EMAIL]", "kept"), (2, None, "kept")}
+
+
 def test_quality(spark):
     rule = random.Random(3)
     good = [(i, " ".join("".join(rule.choices("abcdefgh", k=rule.randrange(2, 9))) for _ in range(60)) + ".") for i in range(150)]
