@@ -9,6 +9,7 @@ and looks each rank up in the plan.
 
 from __future__ import annotations
 
+import heapq
 from bisect import bisect_left, insort
 from dataclasses import dataclass
 
@@ -59,14 +60,17 @@ def cheapest(capacities: tuple[int, ...], length: int, left: int, cost=bin_cost)
 def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, cost=bin_cost) -> tuple[list[Run], list[Bins]]:
     """Best-fit decreasing over a histogram of lengths.
 
-    Each item goes to the open bin with the least space that holds it. If none
-    does, the bin size that is cheapest for what is left is opened. At the end
-    each bin shrinks to the smallest permitted size that holds its contents.
-    Equal to placing item by item, in steps that place many alike items at once.
+    Each item goes to the open bin with the least space that holds it; of bins
+    with equal space to the smallest, and of those to the one opened first. If
+    none holds it, the bin size that is cheapest for what is left is opened. At
+    the end each bin shrinks to the smallest permitted size that holds its
+    contents. Equal to placing item by item, in steps that place many alike items
+    at once.
     """
+    longest = max(capacities)
     runs: list[Run] = []
     spaces: list[int] = []
-    open_: dict[int, list[Bins]] = {}
+    open_: dict[int, list[tuple[int, int, Bins]]] = {}
     closed: list[Bins] = []
     left = sum(n * k for n, k in histogram.items())
     next_bin = 0
@@ -79,7 +83,7 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, co
         if space not in open_:
             insort(spaces, space)
             open_[space] = []
-        open_[space].append(bins)
+        heapq.heappush(open_[space], (bins.capacity, bins.start, bins))
 
     for length in sorted(histogram, reverse=True):
         todo, rank = histogram[length], 0
@@ -87,12 +91,14 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, co
             at = bisect_left(spaces, length)
             if at == len(spaces):
                 capacity = cheapest(capacities, length, left, cost)
-                opened = max(1, todo // (capacity // length))
+                per_bin = capacity // length
+                # so many that the choice of size can't change on the way: less than the longest is never left before the last
+                opened = max(1, min(todo // per_bin, (left - longest) // (per_bin * length) + 1))
                 put(Bins(next_bin, opened, 0, capacity))
                 next_bin += opened
                 continue
             space = spaces[at]
-            bins = open_[space].pop()
+            bins = heapq.heappop(open_[space])[2]
             if not open_[space]:
                 del open_[space], spaces[at]
             per_bin = min(space // length, todo)
@@ -102,14 +108,14 @@ def plan(histogram: dict[int, int], capacities: tuple[int, ...] = CAPACITIES, co
             if filled < bins.count:
                 put(Bins(bins.start + filled, bins.count - filled, bins.used, bins.capacity))
             todo, rank, left = todo - filled * per_bin, rank + filled * per_bin, left - filled * per_bin * length
-    final = closed + [b for group in open_.values() for b in group]
+    final = closed + [b for group in open_.values() for _, _, b in group]
     for b in final:
         b.capacity = min(c for c in capacities if c >= b.used)
     return runs, sorted((b for b in final if b.used), key=lambda b: b.start)
 
 
 def byte_length(column: str = "text") -> Column:
-    """Byte-level tokens of a text with its end token."""
+    """Length of a text in bytes, for models that read bytes, with its end."""
     return F.octet_length(whole_text(column)).cast("bigint") + 1
 
 
@@ -119,8 +125,8 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     Returns doc_id, piece, start (of the piece in the document), length, bin_id,
     bin_offset and bin_capacity. A document longer than the largest capacity is
     cut into pieces of that size and a rest. ``length`` is a column of positive
-    lengths, by default the bytes of the text and an end token; null and empty
-    texts have that token alone. Repeated rows and equal or null ids are items of
+    lengths, by default the bytes of the text and an end; null and empty texts
+    have that end alone. Repeated rows and equal or null ids are items of
     their own; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
@@ -131,8 +137,9 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
         docs.select("doc_id", total.alias("total"))
         .select("doc_id", "total", F.explode(F.expr(f"sequence(0L, (total - 1) div {longest})")).alias("piece"))
         .select("doc_id", "piece", (F.col("piece") * longest).alias("start"), F.expr(f"least({longest}L, total - piece * {longest})").alias("length"))
-        .withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)))
     )
+    # a number of each row, which the checkpoint fixes: repeated and null ids are dealt out like others
+    items = items.withColumn("row", F.monotonically_increasing_id()).withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(BUCKETS)))
     counts = items.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most `longest` rows
     runs, bins = plan(histogram, capacities, cost)
@@ -161,7 +168,7 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     before = F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")
     bases = counts.select("length", "bucket", before.alias("before"))
     ranked = (
-        items.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece")))
+        items.withColumn("nth", F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row")))
         .join(bases, ["length", "bucket"])
         .select("doc_id", "piece", "start", "length", (F.col("before") + F.col("nth") - 1).alias("rank"))
     )
