@@ -4,7 +4,9 @@ Each class is a Gaussian over transformed document statistics. Its covariance is
 shrunk towards the pooled covariance and towards a multiple of the identity. A
 score is the logistic of the log-density difference plus the log-odds of the
 classes, from Mahalanobis distances by Cholesky factors that are made once.
-Spark sums the moments, so that the model is fitted on every labelled row.
+Spark sums the moments, so that the model is fitted on every labelled row; how
+much is shrunk is chosen by cross-validation over the folds that labels may be
+learnt from, by the least log loss.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, small_batches, whole_text
+from .common import cut, whole_text
 
-#: Share of the pooled covariance, and of the identity, in each class's own.
-POOLED, IDENTITY = 0.30, 0.02
+#: Shares of the pooled covariance, and of the identity, in each class's own, to choose from.
+SHRINKAGE = tuple((pooled, identity) for pooled in (0.05, 0.2, 0.5, 0.9) for identity in (0.001, 0.01, 0.05, 0.2))
 THRESHOLD = 0.3
 FOLDS = 5
 
@@ -68,9 +70,14 @@ def features(text: Column) -> Column:
     return pandas_udf(lambda s: pd.Series([statistics(x) for x in s]), "array<double>")(F.coalesce(text, F.lit("")))
 
 
+def fold_of(doc_id: Column, folds: int = FOLDS) -> Column:
+    """0 (held out) to ``folds`` - 1; null for a null doc_id."""
+    return F.crc32(doc_id.cast("string").cast("binary")) % folds
+
+
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
     """True for the rows that labels are never learnt from."""
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == 0, F.lit(False))
+    return F.coalesce(fold_of(doc_id, folds) == 0, F.lit(False))
 
 
 @dataclass
@@ -89,23 +96,20 @@ class Model:
 
 
 def _moments(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    sums = np.zeros((2, 1 + N_FEATURES, 1 + N_FEATURES))
+    sums = np.zeros((FOLDS, 2, 1 + N_FEATURES, 1 + N_FEATURES))
     for pdf in batches:
         if len(pdf):
             x = np.column_stack([np.ones(len(pdf)), np.stack(pdf["x"].to_list())])
-            for label in (0, 1):
-                own = x[pdf["label"].to_numpy() == label]
-                sums[label] += own.T @ own
-    at = np.indices(sums.shape).reshape(3, -1)
-    yield pd.DataFrame({"label": at[0], "i": at[1], "j": at[2], "v": sums.ravel()})
-
-
-def fit(examples: DataFrame, pooled: float = POOLED, identity: float = IDENTITY) -> Model:
-    """``examples(x array, label 0/1)`` -> model; only moments reach the driver."""
-    rows = examples.where("label in (0, 1)").select("x", F.col("label").cast("int").alias("label")).mapInPandas(_moments, "label int, i int, j int, v double")
-    sums = np.zeros((2, 1 + N_FEATURES, 1 + N_FEATURES))
-    for r in rows.groupBy("label", "i", "j").agg(F.sum("v").alias("v")).collect():
-        sums[r["label"], r["i"], r["j"]] = r["v"]
+            fold, label = pdf["fold"].to_numpy(), pdf["label"].to_numpy()
+            for f, k in np.ndindex(FOLDS, 2):
+                own = x[(fold == f) & (label == k)]
+                sums[f, k] += own.T @ own
+    at = np.indices(sums.shape).reshape(4, -1)
+    yield pd.DataFrame({"fold": at[0], "label": at[1], "i": at[2], "j": at[3], "v": sums.ravel()})
+
+
+def model_of(sums: np.ndarray, pooled: float, identity: float) -> Model:
+    """The model by the moments of both classes (of 1 and x, by 1 and x)."""
     n = sums[:, 0, 0]
     if not n.all():
         return Model(0.0 if not n.any() else 700.0 if n[1] else -700.0, None)
@@ -121,10 +125,42 @@ def fit(examples: DataFrame, pooled: float = POOLED, identity: float = IDENTITY)
     return Model(float(np.log(n[1] / n[0])), classes)
 
 
+def _losses(batches: Iterator[pd.DataFrame], models: dict[int, list[Model]]) -> Iterator[pd.DataFrame]:
+    """Summed log loss of each choice of shrinkage, each row by the models of the other folds."""
+    sums = np.zeros(len(SHRINKAGE))
+    for pdf in batches:
+        fold, label = pdf["fold"].to_numpy(), pdf["label"].to_numpy()
+        for f in np.unique(fold).tolist():
+            own = fold == f
+            x, y = np.stack(pdf["x"][own].to_list()), label[own]
+            for c, model in enumerate(models[f]):
+                p = np.clip(model.scores(x), 1e-12, 1 - 1e-12)
+                sums[c] -= np.log(np.where(y == 1, p, 1 - p)).sum()
+    yield pd.DataFrame({"choice": np.arange(len(SHRINKAGE)), "loss": sums})
+
+
+def fit(examples: DataFrame) -> Model:
+    """``examples(x array, label 0/1, fold)`` -> model; only moments and losses reach the driver."""
+    rows = cut(examples.where("label in (0, 1)").select("x", F.col("label").cast("int").alias("label"), F.coalesce(F.col("fold").cast("int"), F.lit(1)).alias("fold")))
+    sums = np.zeros((FOLDS, 2, 1 + N_FEATURES, 1 + N_FEATURES))
+    for r in rows.mapInPandas(_moments, "fold int, label int, i int, j int, v double").groupBy("fold", "label", "i", "j").agg(F.sum("v").alias("v")).collect():
+        sums[r["fold"], r["label"], r["i"], r["j"]] = r["v"]
+    total = sums.sum(axis=0)
+    models = {f: [model_of(total - sums[f], *choice) for choice in SHRINKAGE] for f in range(FOLDS)}
+    lost = rows.mapInPandas(lambda it: _losses(it, models), "choice int, loss double").groupBy("choice").agg(F.sum("loss").alias("loss")).collect()
+    best = min(lost, key=lambda r: (round(r["loss"], 6), r["choice"]))["choice"] if lost else 0
+    return model_of(total, *SHRINKAGE[best])
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows outside the held-out fold with their label and fold."""
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
+    return rows.where(~held_out(F.col("doc_id"))).join(known, "doc_id").withColumn("fold", fold_of(F.col("doc_id")))
+
+
 def train(measured: DataFrame, labels: DataFrame) -> Model:
     """Fit on ``measured(doc_id, x)`` and ``labels(doc_id, quality)`` outside the held-out fold."""
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("label"))
-    return fit(measured.where(~held_out(F.col("doc_id"))).join(known, "doc_id"))
+    return fit(_labelled(measured, labels))
 
 
 def _scored(measured: DataFrame, model: Model) -> DataFrame:
@@ -147,16 +183,17 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     only, all scores are that class (0 or 1); with no labels they are 0.5. An
     empty table gives an empty result; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
     measured = cut(docs.select("doc_id", features(F.col("text")).alias("x")))
     return _scored(measured, train(measured, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of ``docs`` that the classifier does not reject, with all their columns."""
-    small_batches(docs.sparkSession)
-    measured = cut(docs.select("doc_id", features(F.col("text")).alias("x")))
-    model = train(measured, labels)
+    """Rows of ``docs`` that the classifier does not reject, with all their columns.
+
+    Only rows with a label are measured for the fit; every row is then measured
+    where it is judged.
+    """
+    model = fit(_labelled(docs.select("doc_id", "text"), labels).select(features(F.col("text")).alias("x"), "label", "fold"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     good = pandas_udf(lambda s: pd.Series(shared.value.scores(np.array([statistics(x) for x in s]).reshape(-1, N_FEATURES)) >= THRESHOLD), "boolean")
     return docs.where(good(whole_text()))

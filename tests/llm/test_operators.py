@@ -203,6 +203,46 @@ def test_quality(spark):
     assert {r.score for r in one} == {1.0}
 
 
+def plain_discriminant(x, y, new, pooled, identity):
+    """Scores of ``new`` by the definition: shrunk covariances, densities by solving and determinants."""
+    covs = [np.cov(x[y == k].T, ddof=0) for k in (0, 1)]
+    share = [np.mean(y == k) for k in (0, 1)]
+    common = share[0] * covs[0] + share[1] * covs[1]
+    density = []
+    for k in (0, 1):
+        own = (1 - pooled) * covs[k] + pooled * common
+        own = (1 - identity) * own + (identity * np.trace(own) / len(own) + 1e-6) * np.eye(len(own))
+        d = new - x[y == k].mean(axis=0)
+        density.append(-0.5 * (np.sum(d * np.linalg.solve(own, d.T).T, axis=1) + np.linalg.slogdet(own)[1]) + np.log(share[k]))
+    return 1 / (1 + np.exp(density[0] - density[1]))
+
+
+def test_quality_equals_the_definition(spark):
+    rule = np.random.default_rng(21)
+    y = rule.integers(0, 2, 400)
+    x = rule.normal(size=(400, quality.N_FEATURES)) @ rule.normal(size=(quality.N_FEATURES, quality.N_FEATURES)) + y[:, None] * 0.7
+    fold = rule.integers(1, quality.FOLDS, 400)
+    rows = [(v.tolist(), int(k), int(f)) for v, k, f in zip(x, y, fold)]
+    model = quality.fit(spark.createDataFrame(rows, "x array<double>, label int, fold int").repartition(3))
+
+    def loss(choice):
+        out = 0.0
+        for f in range(1, quality.FOLDS):
+            own, rest = fold == f, fold != f
+            p = plain_discriminant(x[rest], y[rest], x[own], *choice)
+            out -= np.log(np.where(y[own] == 1, p, 1 - p)).sum()
+        return out
+
+    best = min(quality.SHRINKAGE, key=loss)
+    np.testing.assert_allclose(model.scores(x), plain_discriminant(x, y, x, *best), rtol=1e-6, atol=1e-9)
+
+
+def test_quality_on_held_out_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality.score_documents(docs, labels).where("held_out").join(labels.where("quality is not null"), "doc_id").collect()
+    assert len(rows) > 50 and np.mean([r.predicted == r.quality for r in rows]) > 0.9
+
+
 def brute_pieces(own, text, n):
     shown, out = text.replace(" ", pieces.SPACE), []
 
@@ -442,6 +482,42 @@ def test_packing(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_packing_plan_equals_item_by_item():
+    rule = random.Random(22)
+    for _ in range(300):
+        capacities = tuple(sorted(rule.sample(range(4, 80), rule.randrange(1, 4))))
+        histogram = {n: rule.randrange(1, 12) for n in rule.sample(range(1, capacities[-1] + 1), rule.randrange(1, min(9, capacities[-1])))}
+        left, bins, want = sum(n * k for n, k in histogram.items()), [], {}
+        for length in sorted(histogram, reverse=True):
+            for rank in range(histogram[length]):
+                fits = [b for b in bins if b["space"] >= length]
+                if not fits:
+                    capacity = packing.cheapest(capacities, length, left)
+                    bins.append({"capacity": capacity, "space": capacity, "number": len(bins)})
+                    fits = bins[-1:]
+                own = min(fits, key=lambda b: (b["space"], b["capacity"], b["number"]))
+                want[length, rank] = (own["number"], own["capacity"] - own["space"])
+                own["space"] -= length
+                left -= length
+        runs, groups = packing.plan(histogram, capacities)
+        got = {}
+        for r in runs:
+            for i in range(r.count):
+                got[r.length, r.first + i] = (r.bin_start + i // r.per_bin, r.offset + i % r.per_bin * r.length)
+        assert got == want, (histogram, capacities)
+        shrunk = {b["number"]: min(c for c in capacities if c >= b["capacity"] - b["space"]) for b in bins}
+        assert shrunk == {g.start + i: g.capacity for g in groups for i in range(g.count)}
+
+
+def test_packing_odd_rows(spark):
+    rows = [*ODD, (None, "x" * 100), (None, "x" * 100), (7, "x" * 100)]
+    got = packing.pack(table(spark, rows), capacities=(64, 128)).collect()
+    assert sorted((str(r.doc_id), r.length) for r in got if r.piece == 0) == sorted((str(i), min(128, len((t or "").encode()) + 1)) for i, t in rows)
+    assert sum(r.length for r in got) == sum(len((t or "").encode()) + 1 for _, t in rows)
+    places = sorted((r.bin_id, r.bin_offset, r.length) for r in got)
+    assert all(a != c or b + n <= d for (a, b, n), (c, d, _) in zip(places, places[1:]))
+
+
 def test_warc(spark):
     html = "<p>é" * 600
     rows = [(1, "http://a", html), (5, "http://b", html), (3, None, "tiny"), (4, "x y\n", "tiny"), (6, "u", None), (7, "v", "z" * 300_000), (None, "w", html)]
