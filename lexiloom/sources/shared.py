@@ -1,19 +1,29 @@
-"""Checkpoints in the folder that all executors share."""
+"""Checkpoints in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` once for what reads it more than once; lost executors don't matter then.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all executors share, as ``spark.checkpoint.dir`` or the context names it.
 
-    The folder is the session's spark.checkpoint.dir; only a session without one
-    (local tests) gets a temporary folder.
+    Only a local session without one (tests) gets a temporary folder; on a cluster
+    that would be a folder of the driver's machine alone, so it is an error.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and context.getCheckpointDir() is None:
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if folder is None:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
+        folder = context.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Write ``df`` once for what reads it more than once; lost executors don't matter then."""
+    shared_dir(df.sparkSession)
     return df.checkpoint()
