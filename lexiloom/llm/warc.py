@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, one_task_a_file, small_batches, whole_text
+from .common import cut, new_folder, one_task_a_file, whole_text
 from .files import create, stream
 
 #: Code points of a payload chunk that is written, bytes of one that is read.
@@ -39,11 +39,16 @@ def chunk_table(pages: DataFrame, least: int = LEAST) -> DataFrame:
     alike. Null html is an empty payload, null url an empty address.
     """
     html = whole_text("html")
-    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), F.octet_length(html).cast("bigint").alias("n_bytes"), F.sha1(html.cast("binary")).alias("digest"), F.sha2(html, 256).alias("same"))
-    chosen = base.where(F.col("n_bytes") >= least).groupBy("same").agg(F.max("page_id").alias("keep"))
+    size, same = F.octet_length(html).cast("bigint"), F.sha2(html, 256)
+    # narrow: of payloads that are large enough and there more than once, which page keeps it
+    large = pages.select("page_id", size.alias("n_bytes"), same.alias("same")).where(F.col("n_bytes") >= least)
+    chosen = large.groupBy("same").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "keep")
+    # a payload that needs no partner has a key of its own, so that equal small ones don't meet
+    key = F.when(size >= least, same).otherwise(F.concat(F.lit("small "), F.coalesce(F.xxhash64("page_id", "url").cast("string"), F.lit(""))))
+    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), size.alias("n_bytes"), F.sha1(html.cast("binary")).alias("digest"), key.alias("same"))
     marked = (
         base.join(chosen, "same", "left")
-        .withColumn("revisit", (F.col("n_bytes") >= least) & F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")))
+        .withColumn("revisit", F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")))
         .select("page_id", "url", "n_bytes", "digest", F.when(F.col("revisit"), F.col("keep")).alias("refers_to"), F.when(~F.col("revisit"), F.col("html")).otherwise("").alias("html"))
     )
     starts = F.sequence(F.lit(0), F.expr(f"greatest(length(html) - 1, 0) div {CHUNK}"))
@@ -102,7 +107,6 @@ def _write(batches: Iterator[pd.DataFrame], folder: str, file_bytes: int) -> Ite
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write gzip WARC files; returns their manifest (path, records)."""
     folder = folder or new_folder(pages.sparkSession, "warc")
-    small_batches(pages.sparkSession)
     chunks = chunk_table(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # pandas would turn nullable integers into doubles
     return cut(chunks.mapInPandas(lambda it: _write(it, folder, file_bytes), "path string, records bigint"))
 
