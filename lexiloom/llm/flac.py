@@ -1,7 +1,8 @@
 """FLAC streams of 8-bit mono samples: encoding, and decoding into PCM blocks.
 
 A stream holds STREAMINFO with the MD5 of its samples, a seek table with a point
-for every frame, and frames of ``BLOCK`` samples. A frame is constant, verbatim,
+for every frame (every so many frames where that many points don't fit a table,
+so from about half a billion samples on), and frames of ``BLOCK`` samples. A frame is constant, verbatim,
 or predicted (a fixed or a quantised linear predictor) with Rice-coded residuals.
 The decoder takes many frames at a time and steps through their bits side by
 side, one sample of every frame in a step. It checks the CRC-8 of every frame
@@ -21,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, whole_text
+from .common import new_folder, whole_text
 
 BLOCK = 576
 RATE = 8000
@@ -29,6 +30,8 @@ RATE = 8000
 LANES, WRITTEN = 2048, 512
 ORDER = 4
 PRECISION = 10
+#: Bytes of a seek table are fewer.
+SEEK_BYTES = 1 << 24
 _CODE = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5}
 #: The format's fixed predictors, by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -231,8 +234,8 @@ def _stream(data: bytes, frames: list[bytes]) -> bytes:
     points["sample"] = np.arange(len(frames)) * BLOCK
     points["offset"] = np.cumsum(sizes) - sizes
     points["count"] = np.minimum(len(data) - np.arange(len(frames)) * BLOCK, BLOCK)
-    if points.nbytes >= 1 << 24:  # a table's largest size: every so many frames have a point
-        points = points[:: points.nbytes // (1 << 24) + 1]
+    if points.nbytes >= SEEK_BYTES:
+        points = points[:: points.nbytes // SEEK_BYTES + 1]
     seek = points.tobytes()
     return b"fLaC" + b"\0" + len(info).to_bytes(3, "big") + info + b"\x83" + len(seek).to_bytes(3, "big") + seek + b"".join(frames)
 
@@ -498,8 +501,6 @@ def to_media(docs: DataFrame) -> DataFrame:
     The payload is the UTF-8 text, padded with spaces to a positive multiple of
     192; null counts as empty. Every row gets one; other columns are ignored.
     """
-    small_batches(docs.sparkSession)
-
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for some in _parts(pdf, pdf["text"].str.len()):
@@ -511,6 +512,13 @@ def to_media(docs: DataFrame) -> DataFrame:
     return base.mapInPandas(rows, "doc_id string, n_bytes bigint, media binary").withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
 
 
+def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write the media column of ``docs`` to a table below the shared folder; returns that table."""
+    folder = folder or new_folder(docs.sparkSession, "media")
+    to_media(docs).write.parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
 def to_pcm_blocks(media: DataFrame, column: str = "media") -> DataFrame:
     """``media(doc_id, media)`` -> doc_id, block, sample_offset, n_samples, pcm.
 
@@ -538,29 +546,32 @@ def _feature(pcm: bytes) -> str:
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """Digest and features of every row's payload, as decoded from its stream.
+    """Digest and features of every row's payload, as decoded from its stored stream.
 
+    The streams are written to a table below the shared folder and read from it.
     Returns doc_id, n_bytes (unpadded), payload_bytes, payload_sha256, tail_crc32
-    (of the last 16 payload bytes), media_bytes, media_sha256, n_blocks and
-    feature (mean, root mean square, zero-crossing rate). Null and empty texts
+    (of the last 16 payload bytes), media_bytes, media_sha256, n_blocks,
+    offsets_crc32 (of the blocks' sample offsets as little-endian 64-bit integers)
+    and feature (mean, root mean square, zero-crossing rate). Null and empty texts
     have a payload of 192 spaces; a null doc_id stays null; repeated rows each get
     a row; an empty table gives an empty result; other columns are ignored.
     """
-    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_blocks", "feature"]
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "n_blocks", "offsets_crc32", "feature"]
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for some in _parts(pdf, pdf["media"].str.len()):
-                streams = some["media"].to_list()
-                blocks: list[list[bytes]] = [[] for _ in streams]
-                for s, _, _, pcm in decode(streams):
+                blocks: list[list[bytes]] = [[] for _ in range(len(some))]
+                offsets: list[list[int]] = [[] for _ in range(len(some))]
+                for s, _, offset, pcm in decode(some["media"].to_list()):
                     blocks[s].append(pcm)
+                    offsets[s].append(offset)
                 out = []
-                for doc_id, n_bytes, stream, own in zip(some["doc_id"], some["n_bytes"], streams, blocks, strict=True):
+                for doc_id, n_bytes, stream, own, at in zip(some["doc_id"], some["n_bytes"], some["media"], blocks, offsets, strict=True):
                     payload = b"".join(own)
-                    out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), len(own), _feature(payload)))
+                    out.append((doc_id, n_bytes, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(stream), hashlib.sha256(stream).hexdigest(), len(own), zlib.crc32(np.array(at, "<i8").tobytes()), _feature(payload)))
                 yield pd.DataFrame(out, columns=columns)
 
-    media = to_media(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
-    out = media.mapInPandas(rows, "doc_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_blocks bigint, feature string")
+    media = store_media(docs).withColumn("doc_id", F.col("doc_id").cast("string"))
+    out = media.mapInPandas(rows, "doc_id string, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, n_blocks bigint, offsets_crc32 bigint, feature string")
     return out.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType))
