@@ -2,31 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["cut", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as ``spark.checkpoint.dir`` names it.
 
-    Only a session without that setting (local tests) gets a temporary folder
-    of its own.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root:
-        return root.rstrip("/")
-    known = spark.sparkContext.getCheckpointDir()
-    if known is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lexiloom-"))
-        known = spark.sparkContext.getCheckpointDir()
-    return known.rstrip("/")
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -34,17 +21,6 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder: later reads survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound the rows of an Arrow batch, since documents can be very long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 #: Tasks that read the files of a manifest, at most.
 READERS = 20_000
 

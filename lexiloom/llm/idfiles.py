@@ -22,8 +22,9 @@ import pyarrow.compute as pc
 import public_tokenizers
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from .common import cut, new_folder, one_task_a_file, whole_text
 from .files import create, opened, stream
@@ -148,6 +149,18 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def n_tokens(column: str = "text", tokenizer: str | None = None) -> Column:
+    """How many ids the files have for a text: those of the text (null: none) and the end id."""
+    tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+
+    def count(texts: pa.Array) -> pa.Array:
+        own = pa.RecordBatch.from_arrays([texts], names=["text"])
+        sizes = [encoder(tokenizer)(some.column("text"))[1] + 1 for some in _slices(own)]
+        return pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64())
+
+    return arrow_udf(count, "bigint")(whole_text(column))
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str) -> bytes:
     """Dictionary from the ids of the documents with the smallest hashed doc_id.
 

@@ -528,6 +528,143 @@ def test_warc(spark):
     assert warc.archive_round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_odd_rows(spark):
+    big = "<p>é漢" * 120_000
+    rows = [(1, "u", big), (2, "u", big), (2, "u", big), (None, "n", None), (None, "n", big), (4, None, ""), (5, "x", "small"), (6, "x", "small"), (7, "e", "e" * 1000), (8, "e", "e" * 999), (9, "e", "e" * 999)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: F.lit("c") for c in ("same", "keep", "digest", "n_bytes", "chunk_no", "data")})
+    got = sorted(((r.page_id is None, r.page_id or 0, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archive_round_trip(pages).collect()), key=str)
+    want = []
+    for i, _, html in rows:
+        data = (html or "").encode()
+        best = max((j for j, _, h in rows if h == html and j is not None), default=None)
+        revisit = len(data) >= 1000 and best is not None and i != best
+        want.append((i is None, i or 0, len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", best if revisit else None))
+    assert got == sorted(want, key=str)
+    with_data = warc.read_archives(warc.write_archives(pages), chunk=1000).where("page_id = 2 and record_type = 'response'").orderBy("chunk_no").collect()
+    parts, number = {}, 0
+    for r in with_data:
+        parts.setdefault(r.chunk_no, []).append(bytes(r.data))
+        assert len(r.data) <= 1000
+    assert b"".join(own[0] for _, own in sorted(parts.items())) == big.encode() and all(len(own) == 2 for own in parts.values())
+
+
+class PlainFlac:
+    """A decoder of the format's description, a bit at a time, for mono streams."""
+
+    def __init__(self, raw):
+        assert raw[:4] == b"fLaC"
+        self.points, last, at = [], False, 4
+        while not last:
+            last, kind, size = raw[at] >> 7, raw[at] & 127, int.from_bytes(raw[at + 1 : at + 4], "big")
+            body = raw[at + 4 : at + 4 + size]
+            if kind == 0:
+                self.total = int.from_bytes(body[13:18], "big") & (1 << 36) - 1
+                assert body[10:14] and (int.from_bytes(body[10:18], "big") >> 41 & 7, int.from_bytes(body[10:18], "big") >> 36 & 31) == (0, 7)
+            elif kind == 3:
+                self.points = [(int.from_bytes(body[i : i + 8], "big"), int.from_bytes(body[i + 8 : i + 16], "big"), int.from_bytes(body[i + 16 : i + 18], "big")) for i in range(0, size, 18)]
+            at += 4 + size
+        self.raw, self.first, self.bit = raw, at, at * 8
+
+    def get(self, n):
+        out = 0
+        for _ in range(n):
+            out = out << 1 | self.raw[self.bit >> 3] >> (7 - (self.bit & 7)) & 1
+            self.bit += 1
+        return out
+
+    def signed(self, n):
+        v = self.get(n)
+        return v - (1 << n) if n and v >> (n - 1) else v
+
+    def frame(self):
+        assert self.get(16) == 0xFFF8
+        code, _ = self.get(4), self.get(4)
+        assert self.get(8) == 0x02
+        lead = self.get(8)
+        more = 0 if lead < 0x80 else 8 - (lead ^ 0xFF).bit_length() - 1
+        self.get(8 * more)
+        n = self.get(8) + 1 if code == 6 else self.get(16) + 1 if code == 7 else 192 if code == 1 else 576 << (code - 2) if code <= 5 else 256 << (code - 8)
+        self.get(8)
+        assert self.get(1) == 0
+        kind = self.get(6)
+        assert self.get(1) == 0
+        if kind == 0:
+            out = [self.signed(8)] * n
+        elif kind == 1:
+            out = [self.signed(8) for _ in range(n)]
+        else:
+            order = kind - 8 if kind < 32 else kind - 31
+            out = [self.signed(8) for _ in range(order)]
+            shift, weights = 0, ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))[order] if kind < 32 else ()
+            if kind >= 32:
+                precision, shift = self.get(4) + 1, self.signed(5)
+                weights = [self.signed(precision) for _ in range(order)]
+            method, parts = self.get(2), self.get(4)
+            for p in range(1 << parts):
+                k = self.get(4 + method)
+                raw = self.get(5) if k == (15 if method == 0 else 31) else None
+                for _ in range((n >> parts) - (order if p == 0 else 0)):
+                    if raw is not None:
+                        r = self.signed(raw)
+                    else:
+                        q = 0
+                        while not self.get(1):
+                            q += 1
+                        v = q << k | self.get(k)
+                        r = v >> 1 ^ -(v & 1)
+                    out.append((sum(w * out[-1 - j] for j, w in enumerate(weights)) >> shift) + r)
+        self.bit = (self.bit + 7) // 8 * 8 + 16
+        return bytes(v + 128 for v in out)
+
+    def all(self):
+        out = b""
+        while len(out) < self.total:
+            out += self.frame()
+        assert self.bit == 8 * len(self.raw)
+        return out
+
+    def seek(self, sample):
+        start, offset, count = max(p for p in self.points if p[0] <= sample)
+        self.bit = (self.first + offset) * 8
+        block = self.frame()
+        assert len(block) == count
+        while sample >= start + len(block):  # a thinned table leads to a frame before
+            start, block = start + len(block), self.frame()
+        return block[sample - start]
+
+
+def test_flac_by_a_plain_decoder():
+    rule = np.random.default_rng(9)
+    data = [b" " * 192, rule.bytes(960), "héllo wörld, the quick brown fox ".encode() * 40, (128 + 100 * np.sin(np.arange(4800) / 9)).astype(np.uint8).tobytes(), np.cumsum(rule.integers(-1, 2, 2880)).astype(np.uint8).tobytes(), bytes(range(256)) * 3, b"x"]
+    for raw, stream in zip(data, flac.encode(data)):
+        plain = PlainFlac(stream)
+        assert plain.all() == raw
+        for sample in {0, len(raw) // 2, len(raw) - 1}:
+            assert plain.seek(sample) == raw[sample]
+
+
+def test_flac_with_a_thinned_seek_table(monkeypatch):
+    raw = np.random.default_rng(10).bytes(flac.BLOCK * 40)
+    monkeypatch.setattr(flac, "SEEK_BYTES", 18 * 10)
+    (stream,) = flac.encode([raw])
+    plain = PlainFlac(stream)
+    assert 1 < len(plain.points) <= 10 and plain.seek(20_000) == raw[20_000]
+    blocks = list(flac.decode([stream]))
+    assert b"".join(b[3] for b in blocks) == raw and [b[2] for b in blocks] == [i * flac.BLOCK for i in range(40)]
+
+
+def test_flac_is_stored_and_read_back(spark):
+    stored = flac.store_media(table(spark))
+    assert stored.inputFiles() and sorted(map(str, (r.doc_id for r in stored.collect()))) == sorted(str(i) for i, _ in ODD)
+    rows = {r.doc_id: r for r in flac.media_round_trip(table(spark)).collect()}
+    for i, text in ODD:
+        if i != 4:
+            data = (text or "").encode()
+            payload = data + b" " * (-len(data) % 192 if data else 192)
+            offsets = np.arange(0, len(payload), flac.BLOCK)
+            assert (rows[i].payload_sha256, rows[i].tail_crc32, rows[i].offsets_crc32) == (hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), zlib.crc32(offsets.astype("<i8").tobytes()))
+
+
 def test_flac_round_trip(spark):
     rule = np.random.default_rng(8)
     data = [b" " * 192, rule.bytes(1920), b"ab" * 672, "héllo wörld ".encode() * 150, (128 + 100 * np.sin(np.arange(19200) / 9)).astype(np.uint8).tobytes(), np.cumsum(rule.integers(-1, 2, 5760)).astype(np.uint8).tobytes(), b"x"]
@@ -563,4 +700,27 @@ def test_pipeline(spark):
         assert r.n_chars == len(r.text) and not any(pii.base_spans(r.text))
         if not any(pii.base_spans(texts[i])):
             assert r.text == texts[i]
-    assert {r.doc_id for r in corpus_pipeline.run(spark, SF).collect()} == firsts
+    packed = corpus_pipeline.run(spark, SF).collect()
+    assert {r.doc_id for r in packed} == firsts
+    lengths = {}
+    for r in packed:
+        lengths[r.doc_id] = lengths.get(r.doc_id, 0) + r.length
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert lengths == {i: len(t.encode(r.text, add_special_tokens=False).ids) + 1 for i, r in rows.items()}
+
+
+@pytest.mark.parametrize("place", range(len(corpus_pipeline.STAGES)))
+def test_stages_on_odd_tables(spark, place):
+    """Nulls, empty and very long texts, repeated rows, no rows, and columns with clashing names."""
+    name, stage = corpus_pipeline.STAGES[place]
+    rows = [*ODD, (None, "no id"), (7, LONG)]
+    docs = table(spark, rows).withColumns({c: F.lit(c) for c in ("id", "hash", "own", "row", "x", "label", "terms", "total", "unknown", "bucket")})
+    got = stage(spark, docs, SF)
+    if place < len(corpus_pipeline.STAGES) - 1:
+        assert got.columns == docs.columns and all(r.total == "total" and r.own == "own" for r in got.collect())
+    ids = {r.doc_id for r in got.collect()}
+    assert ids <= {i for i, _ in rows} and (name != "personal_data" or got.count() == len(rows)) and (name != "packing" or ids == {i for i, _ in rows})
+    assert stage(spark, docs.limit(0), SF).count() == 0
