@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexiloom.llm import packing, pii, quality, simhash
+from lexiloom.llm import idfiles, packing, pii, quality, simhash
 from lexiloom.llm.common import new_folder, read_table
 
 
@@ -30,8 +30,8 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The place of every document, or piece of one, in training sequences."""
-    return packing.pack(docs)
+    """The place of every document, or piece of one, in training sequences of tokens."""
+    return packing.pack(docs, length=idfiles.n_tokens())
 
 
 STAGES = [
