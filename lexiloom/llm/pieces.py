@@ -271,11 +271,11 @@ class Lattice:
     def remember(self, texts: list[list[str]]) -> None:
         """Learn the unknown words of some texts; only theirs are at hand then."""
         words = set().union(*texts)
-        need = words - self.known.keys()
+        need = [w for w in words if w not in self.known]  # set difference would go through all that is known
         if len(self.known) + len(need) > REMEMBERED:
             self.forget()
-            need = words
-        self.learn(list(need))
+            need = list(words)
+        self.learn(need)
         at = np.array(list(map(self.known.__getitem__, words)), np.int64)
         self.near = dict(zip(words, range(len(at)), strict=True))  # far smaller than all that is known, so faster
         self.near_ids = list(map(self.ids.__getitem__, at.tolist()))
