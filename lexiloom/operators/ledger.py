@@ -1,23 +1,30 @@
-"""Leases and results of subtasks as a fold of events, in batch and in streams.
-
-An event has task_id, sub_task_id, seq, at (seconds), kind, actor, lease
-(seconds) and success. ``step`` is the whole rule; keys are independent, so Spark
-deals them out and runs it over each key's events in order of (at, seq). In batch
-only the state is held, not the events of a key.
+"""Jobs, leases and results as folds of events, in batch and in streams.
+
+An event of a subtask has task_id, sub_task_id, seq, at (seconds), kind, actor,
+lease (seconds) and success; one of a job has task_id, seq, at, kind, actor, lease
+and expected. ``step`` and ``job_step`` are the whole rules; keys are independent,
+so Spark deals them out and runs a rule over each key's events in order of (at,
+seq). In batch only the state is held, not the events of a key. What a job must
+know of its subtasks (one was sent, one is done) comes as events from the fold of
+subtasks, so a job's state is small however many subtasks it has.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEY = ["task_id", "sub_task_id"]
-OUTCOMES = "task_id string, sub_task_id string, seq bigint, outcome string, status string, owner string, attempts bigint"
-_COLUMNS = [c.split()[0] for c in OUTCOMES.split(", ")]
+OUTCOMES = "task_id string, sub_task_id string, seq bigint, at double, kind string, outcome string, status string, owner string, attempts bigint"
+JOB_OUTCOMES = "task_id string, seq bigint, at double, kind string, outcome string, status string, owner string, expires double, created double, parsed boolean, expected bigint, completed bigint, notification string"
+
+
+def _names(schema: str) -> list[str]:
+    return [c.split()[0] for c in schema.split(", ")]
 
 
 @dataclass
@@ -82,28 +89,115 @@ def run(key: tuple, events: pd.DataFrame, state: Subtask) -> pd.DataFrame:
     out = []
     for e in events.sort_values(["at", "seq"], kind="stable").itertuples(index=False):
         outcome = step(state, e.kind, e.at, e.actor, e.lease, bool(e.success))
-        out.append((*key, e.seq, outcome, state.status, state.owner, state.attempts))
-    return pd.DataFrame(out, columns=_COLUMNS)
+        out.append((*key, e.seq, e.at, e.kind, outcome, state.status, state.owner, state.attempts))
+    return pd.DataFrame(out, columns=_names(OUTCOMES))
+
+
+@dataclass
+class Job:
+    """State of one job; unknown until it is created."""
+
+    status: str = ""
+    owner: str = ""
+    expires: float = 0.0
+    created: float = 0.0
+    parsed: bool = False
+    expected: int = 0
+    completed: int = 0
+    notification: str = "NONE"
+
+
+def job_step(j: Job, kind: str, at: float, actor: str, lease: float, expected: int) -> str:
+    """Apply one event to a job; returns the outcome's name."""
+    if kind == "create":
+        if j.status:
+            return "EXISTS"
+        j.status, j.created = "RECEIVED", at
+        return "CREATED"
+    if not j.status:
+        return "NOT_FOUND"
+    if kind == "save":
+        j.status = "DISPATCHING"
+        return "SAVED"
+    if kind == "parsed":
+        j.parsed, j.expected, j.status = True, expected, "RUNNING"
+        return "PARSED"
+    if kind == "sent":
+        j.status = "RUNNING"
+        return "RUNNING"
+    if kind == "done":
+        j.completed += 1
+        return "COUNTED"
+    if kind == "fail":
+        j.status = "FAILED"
+        return "FAILED"
+    if kind == "lease":
+        if j.owner.strip() and j.owner != actor and j.expires >= at:
+            return "REFUSED"
+        j.owner, j.expires = actor, at + lease
+        return "LEASED"
+    if kind == "finalize":
+        ready = j.status == "RUNNING" and j.completed == j.expected
+        if not j.parsed or not (ready or (j.status == "FINALIZING" and j.expires < at)):
+            return "REFUSED"
+        j.status, j.owner, j.expires = "FINALIZING", actor, at + lease
+        return "FINALIZING"
+    if kind == "complete":
+        if j.status != "FINALIZING" or j.owner != actor:
+            return "REFUSED"
+        j.status, j.notification = "COMPLETED", "PENDING"
+        return "COMPLETED"
+    if kind == "notify":
+        if j.status != "COMPLETED":
+            return "REFUSED"
+        j.notification = "SENT"
+        return "NOTIFIED"
+    raise ValueError(f"no such event: {kind}")
 
 
-def _in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _in_order(batches: Iterator[pd.DataFrame], keys: list[str], fresh: Callable, apply: Callable, taken: list[str], schema: str) -> Iterator[pd.DataFrame]:
     """Outcomes of events that are sorted by key, at and seq, carrying the last key's state on."""
-    last, state = None, Subtask()
+    names = _names(schema)
+    shown = names[names.index("outcome") + 1 :]
+    last, state = None, fresh()
     for pdf in batches:
+        own = zip(*[pdf[k].astype("object").where(pdf[k].notna(), None).tolist() for k in keys], strict=True)
         out = []
-        for e in pdf.itertuples(index=False):
-            key = tuple(None if pd.isna(k) else k for k in (e.task_id, e.sub_task_id))
+        for key, seq, at, kind, *args in zip(own, *[pdf[c].tolist() for c in ("seq", "at", "kind", *taken)], strict=True):
             if key != last:
-                last, state = key, Subtask()
-            outcome = step(state, e.kind, e.at, e.actor, e.lease, bool(e.success))
-            out.append((*key, e.seq, outcome, state.status, state.owner, state.attempts))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+                last, state = key, fresh()
+            outcome = apply(state, kind, at, *args)
+            out.append((*key, seq, at, kind, outcome, *[getattr(state, c) for c in shown]))
+        yield pd.DataFrame(out, columns=names)
+
+
+def _folded(events: DataFrame, keys: list[str], fresh: Callable, apply: Callable, taken: list[str], schema: str) -> DataFrame:
+    order = [*keys, F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last()]
+    rows = events.select(*keys, "seq", "at", "kind", *taken).repartition(*keys).sortWithinPartitions(*order)
+    return rows.mapInPandas(lambda it: _in_order(it, keys, fresh, apply, taken, schema), schema)
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """Outcome of every event, and the state after it."""
-    order = [*KEY, F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last()]
-    return events.repartition(*KEY).sortWithinPartitions(*order).mapInPandas(_in_order, OUTCOMES)
+    """Outcome of every event of subtasks, and the state after it."""
+    return _folded(events, KEY, Subtask, step, ["actor", "lease", "success"], OUTCOMES)
+
+
+def fold_jobs(events: DataFrame) -> DataFrame:
+    """Outcome of every event of jobs, and the state after it; ``job_ticks`` has the events that come from subtasks."""
+    return _folded(events, ["task_id"], Job, job_step, ["actor", "lease", "expected"], JOB_OUTCOMES)
+
+
+def job_ticks(outcomes: DataFrame) -> DataFrame:
+    """Events of jobs that those of subtasks bring about (``fold``): one was sent, one is done."""
+    kind = F.when(F.col("outcome") == "DISPATCHED", "sent").when(F.col("outcome").isin("COMPLETED", "ACCEPTED"), "done")
+    return outcomes.select("task_id", "seq", "at", kind.alias("kind"), F.lit("").alias("actor"), F.lit(0.0).alias("lease"), F.lit(0).cast("bigint").alias("expected")).where("kind is not null")
+
+
+def latest(outcomes: DataFrame) -> DataFrame:
+    """Each job that was created, after its last event."""
+    rest = [c for c in _names(JOB_OUTCOMES) if c not in ("task_id", "seq", "at", "kind", "outcome")]
+    last = outcomes.where("status != ''").groupBy("task_id").agg(F.max_by(F.struct(*rest), F.struct("at", "seq")).alias("j"))
+    return last.select("task_id", "j.*")
 
 
 _STATE = "status string, owner string, expires double, started double, dispatched double, attempts bigint"
@@ -114,28 +208,35 @@ def fold_stream(events: DataFrame) -> DataFrame:
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
         state = Subtask(*held.get) if held.exists else Subtask()
-        pdf = pd.concat(list(batches))
-        out = run(key, pdf, state)
+        out = run(key, pd.concat(list(batches)), state)
         held.update(tuple(asdict(state).values()))
         yield out
 
     return events.groupBy(*KEY).applyInPandasWithState(update, OUTCOMES, _STATE, "append", "NoTimeout")
 
 
-def job_transitions(jobs: DataFrame) -> DataFrame:
-    """What a manager may do with each job at ``now``: lease, finalise, complete, notify.
+def recoverable(jobs: DataFrame) -> DataFrame:
+    """Jobs that a recovery sweep takes up, in order of creation."""
+    open_ = F.col("status").isin("RECEIVED", "DISPATCHING", "RUNNING", "FINALIZING")
+    unsaid = (F.col("status") == "COMPLETED") & (F.col("notification") == "PENDING")
+    return jobs.where(open_ | unsaid).orderBy("created", "task_id")
+
+
+def recovery_sweep(jobs: DataFrame, manager: str, now: Column) -> DataFrame:
+    """What a sweep by ``manager`` does with each recoverable job: task_id, created and action.
 
-    Columns of ``jobs``: task_id, status, parsed, expected, completed, owner,
-    expires_at, notification, manager, now.
+    finalize (take over), notify, skip (another manager's lease holds), or
+    dispatch, after parsing first where that is not done; whether it can then be
+    finalised is ``ready``. ``tasks.dispatch_plan`` has what is dispatched.
     """
-    free = (F.trim("owner") == "") | (F.col("owner") == F.col("manager")) | (F.col("expires_at") < F.col("now"))
-    running = (F.col("status") == "RUNNING") & (F.col("completed") == F.col("expected"))
-    over = (F.col("status") == "FINALIZING") & (F.col("expires_at") < F.col("now"))
-    return jobs.select(
-        "task_id",
-        free.alias("can_lease"),
-        (F.col("parsed") & (running | over)).alias("can_finalize"),
-        ((F.col("status") == "FINALIZING") & (F.col("owner") == F.col("manager"))).alias("can_complete"),
-        ((F.col("status") == "COMPLETED") & (F.col("notification") == "PENDING")).alias("must_notify"),
-        (F.col("status").isin("RECEIVED", "DISPATCHING", "RUNNING", "FINALIZING") | ((F.col("status") == "COMPLETED") & (F.col("notification") == "PENDING"))).alias("recoverable"),
+    held = (F.trim("owner") != "") & (F.col("owner") != manager) & (F.col("expires") >= now)
+    action = (
+        F.when(F.col("status") == "FINALIZING", "finalize")
+        .when(F.col("status") == "COMPLETED", "notify")
+        .when(held, "skip")
+        .when(~F.col("parsed"), "parse, dispatch")
+        .otherwise("dispatch")
     )
+    over = (F.col("status") == "FINALIZING") & (F.col("expires") < now)
+    ready = F.col("parsed") & (F.col("completed") == F.col("expected")) & ((F.col("status") == "RUNNING") | over)
+    return recoverable(jobs).select("task_id", "created", action.alias("action"), ready.alias("ready"))

@@ -263,11 +263,34 @@ def dispatch_plan(spark, d):
 @_query
 def lease_fold(spark, d):
     """Outcome of every lease event, with the state after it."""
-    return ledger.fold(adapters.ledger_events(spark, d))
+    return ledger.fold(adapters.ledger_events(spark, d)).drop("at")
 
 
 @_query
 def lease_outcomes(spark, d):
     """How often each event came out how."""
-    events = adapters.ledger_events(spark, d)
-    return ledger.fold(events).join(events.select("seq", "kind"), "seq").groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+    return ledger.fold(adapters.ledger_events(spark, d)).groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _jobs(spark, d):
+    ticks = ledger.job_ticks(ledger.fold(adapters.ledger_events(spark, d)))
+    return ledger.fold_jobs(adapters.job_events(spark, d).unionByName(ticks))
+
+
+@_query
+def job_fold(spark, d):
+    """Outcome of every event of jobs, those that their subtasks bring about included."""
+    return _jobs(spark, d).drop("at")
+
+
+@_query
+def recoverable_jobs(spark, d):
+    """Jobs that a sweep takes up, in order of creation."""
+    return ledger.recoverable(ledger.latest(_jobs(spark, d)))
+
+
+@_query
+def recovery_sweep(spark, d):
+    """What manager-0 does with each of them, as of the last event."""
+    now = read_table(spark, d, "events").agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).cast("double").alias("now"))
+    return ledger.recovery_sweep(ledger.latest(_jobs(spark, d)).join(F.broadcast(now)), "manager-0", F.col("now"))

@@ -118,6 +118,71 @@ firsts AS (SELECT * FROM results QUALIFY row_number() OVER (PARTITION BY task_id
 known AS (SELECT concat('job-', j) AS task_id, concat('job-', j, ':', n) AS sub_task_id, 'POS' AS analysis, concat('https://example.com/', n, '.txt') AS url FROM range(20) a(j), range(6) b(n)),
 summary AS (SELECT task_id, sub_task_id, analysis, url, CASE WHEN status = 'FAILED' THEN concat('ERROR: ', error) ELSE result END AS output FROM known JOIN firsts USING (task_id, sub_task_id))"""
 
+_LEASES = """
+events_of_subtasks AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id, sub_task_id ORDER BY moment, seq) AS n FROM (
+    SELECT concat('job-', user_id % 50) AS task_id, concat('job-', user_id % 50, ':', event_id % 3) AS sub_task_id, event_id AS seq, epoch_us(ts)::DOUBLE AS moment,
+           CASE WHEN event_id % 5 = 0 THEN 'create' ELSE ['claim', 'renew', 'dispatch', 'claim', 'complete', 'renew', 'claim', 'result'][event_id % 8 + 1] END AS kind,
+           concat('worker-', user_id % 2) AS actor, 3.6e9::DOUBLE AS lease, event_type <> 'error' AS success
+    FROM events)),
+leases AS (
+  SELECT task_id, sub_task_id, 0::BIGINT AS n, 0::BIGINT AS seq, 0::DOUBLE AS moment, '' AS kind, '' AS outcome, '' AS status, '' AS owner, 0::DOUBLE AS expires, 0::BIGINT AS attempts
+  FROM (SELECT DISTINCT task_id, sub_task_id FROM events_of_subtasks)
+  UNION ALL
+  SELECT task_id, sub_task_id, n, seq, moment, kind, outcome,
+         CASE outcome WHEN 'CREATED' THEN 'PENDING' WHEN 'DISPATCHED' THEN 'DISPATCHED' WHEN 'CLAIMED' THEN 'PROCESSING' WHEN 'COMPLETED' THEN ended WHEN 'ACCEPTED' THEN ended ELSE status END,
+         CASE outcome WHEN 'DISPATCHED' THEN '' WHEN 'CLAIMED' THEN actor ELSE owner END,
+         CASE WHEN outcome = 'DISPATCHED' THEN 0 WHEN outcome IN ('CLAIMED', 'ALREADY_OWNED', 'RENEWED') THEN moment + lease ELSE expires END,
+         attempts + CASE WHEN outcome IN ('DISPATCHED', 'CLAIMED') THEN 1 ELSE 0 END
+  FROM (
+    SELECT e.*, s.status, s.owner, s.expires, s.attempts, CASE WHEN e.success THEN 'SUCCEEDED' ELSE 'FAILED' END AS ended,
+           CASE WHEN e.kind = 'create' THEN CASE WHEN s.status = '' THEN 'CREATED' ELSE 'EXISTS' END
+                WHEN s.status = '' THEN CASE WHEN e.kind = 'result' THEN 'UNKNOWN_JOB_OR_SUBTASK' ELSE 'NOT_FOUND' END
+                WHEN s.status IN ('SUCCEEDED', 'FAILED') THEN CASE WHEN e.kind = 'result' THEN 'DUPLICATE_OR_CONFLICT' ELSE 'ALREADY_TERMINAL' END
+                WHEN e.kind = 'dispatch' THEN CASE WHEN s.status = 'PROCESSING' AND s.expires >= e.moment THEN 'REFUSED' ELSE 'DISPATCHED' END
+                WHEN e.kind = 'claim' THEN CASE WHEN s.status <> 'PROCESSING' OR s.expires < e.moment THEN 'CLAIMED' WHEN s.owner = e.actor THEN 'ALREADY_OWNED' ELSE 'OWNED_BY_ANOTHER_WORKER' END
+                WHEN e.kind = 'renew' THEN CASE WHEN s.status = 'PROCESSING' AND s.expires >= e.moment AND s.owner = e.actor THEN 'RENEWED' ELSE 'LOST_OWNERSHIP' END
+                WHEN e.kind = 'result' THEN 'ACCEPTED'
+                WHEN s.status = 'PROCESSING' AND s.owner = e.actor THEN 'COMPLETED' ELSE 'STALE_OWNER' END AS outcome
+    FROM leases s JOIN events_of_subtasks e ON e.task_id = s.task_id AND e.sub_task_id = s.sub_task_id AND e.n = s.n + 1))"""
+_JOBS = _LEASES + """,
+events_of_jobs AS (
+  SELECT *, row_number() OVER (PARTITION BY task_id ORDER BY moment, seq) AS n FROM (
+    SELECT task_id, seq, moment, CASE outcome WHEN 'DISPATCHED' THEN 'sent' ELSE 'done' END AS kind, '' AS actor, 0::DOUBLE AS lease, 0::BIGINT AS expects
+    FROM leases WHERE outcome IN ('DISPATCHED', 'COMPLETED', 'ACCEPTED')
+    UNION ALL
+    SELECT concat('job-', user_id % 50), event_id + 1099511627776, epoch_us(ts)::DOUBLE,
+           CASE WHEN event_id % 7 = 0 THEN 'create' WHEN event_id % 501 = 0 THEN 'fail'
+                ELSE ['lease', 'save', 'parsed', 'finalize', 'complete', 'notify', 'finalize', 'lease', 'complete', 'create', 'finalize'][event_id % 11 + 1] END,
+           concat('manager-', user_id % 2), 3.6e9::DOUBLE, 2 + event_id % 2 FROM events)),
+folded AS (
+  SELECT task_id, 0::BIGINT AS n, 0::BIGINT AS seq, 0::DOUBLE AS moment, '' AS kind, '' AS outcome, '' AS status, '' AS owner, 0::DOUBLE AS expires, 0::DOUBLE AS created, false AS parsed,
+         0::BIGINT AS expected, 0::BIGINT AS completed, 'NONE' AS notification
+  FROM (SELECT DISTINCT task_id FROM events_of_jobs)
+  UNION ALL
+  SELECT task_id, n, seq, moment, kind, outcome,
+         CASE outcome WHEN 'CREATED' THEN 'RECEIVED' WHEN 'SAVED' THEN 'DISPATCHING' WHEN 'PARSED' THEN 'RUNNING' WHEN 'NOTIFIED' THEN status WHEN 'COUNTED' THEN status
+              WHEN 'LEASED' THEN status WHEN 'REFUSED' THEN status WHEN 'EXISTS' THEN status WHEN 'NOT_FOUND' THEN status ELSE outcome END,
+         CASE WHEN outcome IN ('LEASED', 'FINALIZING') THEN actor ELSE owner END,
+         CASE WHEN outcome IN ('LEASED', 'FINALIZING') THEN moment + lease ELSE expires END,
+         CASE outcome WHEN 'CREATED' THEN moment ELSE created END,
+         parsed OR outcome = 'PARSED',
+         CASE outcome WHEN 'PARSED' THEN expects ELSE expected END,
+         completed + CASE outcome WHEN 'COUNTED' THEN 1 ELSE 0 END,
+         CASE outcome WHEN 'COMPLETED' THEN 'PENDING' WHEN 'NOTIFIED' THEN 'SENT' ELSE notification END
+  FROM (
+    SELECT e.*, j.status, j.owner, j.expires, j.created, j.parsed, j.expected, j.completed, j.notification,
+           CASE WHEN e.kind = 'create' THEN CASE WHEN j.status = '' THEN 'CREATED' ELSE 'EXISTS' END
+                WHEN j.status = '' THEN 'NOT_FOUND'
+                WHEN e.kind = 'save' THEN 'SAVED' WHEN e.kind = 'parsed' THEN 'PARSED' WHEN e.kind = 'sent' THEN 'RUNNING' WHEN e.kind = 'done' THEN 'COUNTED' WHEN e.kind = 'fail' THEN 'FAILED'
+                WHEN e.kind = 'lease' AND (trim(j.owner) = '' OR j.owner = e.actor OR j.expires < e.moment) THEN 'LEASED'
+                WHEN e.kind = 'finalize' AND j.parsed AND ((j.status = 'RUNNING' AND j.completed = j.expected) OR (j.status = 'FINALIZING' AND j.expires < e.moment)) THEN 'FINALIZING'
+                WHEN e.kind = 'complete' AND j.status = 'FINALIZING' AND j.owner = e.actor THEN 'COMPLETED'
+                WHEN e.kind = 'notify' AND j.status = 'COMPLETED' THEN 'NOTIFIED' ELSE 'REFUSED' END AS outcome
+    FROM folded j JOIN events_of_jobs e ON e.task_id = j.task_id AND e.n = j.n + 1)),
+jobs AS (SELECT task_id, status, owner, expires, created, parsed, expected, completed, notification FROM folded WHERE status <> '' QUALIFY row_number() OVER (PARTITION BY task_id ORDER BY n DESC) = 1),
+open_jobs AS (SELECT * FROM jobs WHERE status IN ('RECEIVED', 'DISPATCHING', 'RUNNING', 'FINALIZING') OR (status = 'COMPLETED' AND notification = 'PENDING'))"""
+
 
 def _escape(x: str) -> str:
     for raw, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
@@ -198,4 +263,12 @@ FROM documents""",
   SELECT concat('job-', user_id % 20) AS task_id, concat('job-', user_id % 20, ':', event_id) AS sub_task_id, event_id % 5 AS k, ts, (SELECT max(ts) - INTERVAL 6 HOUR FROM events) AS now FROM events)
 SELECT task_id, sub_task_id, CASE k WHEN 0 THEN 'pending' WHEN 1 THEN 'stale' ELSE 'expired' END AS reason FROM s
 WHERE k = 0 OR (k = 1 AND ts < now - INTERVAL 300 SECOND) OR (k = 2 AND ts + INTERVAL 1 HOUR < now)""",
+    "lease_fold": f"WITH RECURSIVE {_LEASES} SELECT task_id, sub_task_id, seq, kind, outcome, status, owner, attempts FROM leases WHERE n > 0",
+    "lease_outcomes": f"WITH RECURSIVE {_LEASES} SELECT kind, outcome, count(*) AS n FROM leases WHERE n > 0 GROUP BY ALL",
+    "job_fold": f"WITH RECURSIVE {_JOBS} SELECT task_id, seq, kind, outcome, status, owner, expires, created, parsed, expected, completed, notification FROM folded WHERE n > 0",
+    "recoverable_jobs": f"WITH RECURSIVE {_JOBS} SELECT * FROM open_jobs",
+    "recovery_sweep": f"""WITH RECURSIVE {_JOBS}, now AS (SELECT max(epoch_us(ts))::DOUBLE AS now FROM events)
+SELECT task_id, created, CASE WHEN status = 'FINALIZING' THEN 'finalize' WHEN status = 'COMPLETED' THEN 'notify' WHEN trim(owner) <> '' AND owner <> 'manager-0' AND expires >= now THEN 'skip' WHEN NOT parsed THEN 'parse, dispatch' ELSE 'dispatch' END AS action,
+  parsed AND completed = expected AND (status = 'RUNNING' OR (status = 'FINALIZING' AND expires < now)) AS ready
+FROM open_jobs, now""",
 }

@@ -111,6 +111,22 @@ def ledger_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the jobs of ``ledger_events``, by rule from events, between those of their subtasks."""
+    e = read_table(spark, sf_dir, "events")
+    kinds = F.array(*[F.lit(x) for x in ("lease", "save", "parsed", "finalize", "complete", "notify", "finalize", "lease", "complete", "create", "finalize")])
+    kind = F.when(F.col("event_id") % 7 == 0, "create").when(F.col("event_id") % 501 == 0, "fail").otherwise(F.get(kinds, (F.col("event_id") % 11).cast("int")))
+    return e.select(
+        F.concat(F.lit("job-"), (F.col("user_id") % 50).cast("string")).alias("task_id"),
+        (F.col("event_id") + (1 << 40)).alias("seq"),
+        F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"),
+        kind.alias("kind"),
+        F.concat(F.lit("manager-"), (F.col("user_id") % 2).cast("string")).alias("actor"),
+        F.lit(3.6e9).alias("lease"),
+        (F.lit(2) + F.col("event_id") % 2).cast("bigint").alias("expected"),
+    )
+
+
 def subtask_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Subtasks in all states, by rule from events."""
     e = read_table(spark, sf_dir, "events")
