@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .functions.text import six
 from .operators import evaluation, mi, ngrams, similarity, tasks, templates
 from .sources import tables
+from .sources.shared import cut
 
 
 def _parser() -> argparse.ArgumentParser:
@@ -57,7 +58,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         rows = tables.read_mi(spark, a.mi).select("pid", "slot", "word", "mi", "cnt")
         tables.write_tsv(mi.keep_paths(rows, tables.read_paths(spark, a.paths)), a.output)
     elif a.command == "score-eval":
-        scores = similarity.path_similarity(tables.read_mi(spark, a.mi), tables.read_pairs(spark, a.pos, a.neg), use_max_swap=a.useMaxSwap == "true").cache()
+        scores = cut(similarity.path_similarity(tables.read_mi(spark, a.mi), tables.read_pairs(spark, a.pos, a.neg), use_max_swap=a.useMaxSwap == "true"))
         shown = scores.orderBy("ord").select("lhs", "rhs", "label", "norm_lhs", "norm_rhs", six(F.col("score")).alias("score"))
         tables.write_tsv(shown, f"{a.out}/scores", header=True, one_file=True)
         curve = evaluation.pr_curve(scores).orderBy(F.col("threshold").desc()).select(*[six(F.col(c)).alias(c) for c in ("threshold", "precision", "recall")])
@@ -65,7 +66,6 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         tables.write_tsv(evaluation.best_threshold(scores), f"{a.out}/best_threshold", header=True, one_file=True)
         before = tables.read_scores(spark, a.compareWith) if a.compareWith else None
         tables.write_tsv(evaluation.error_analysis(scores, previous=before).orderBy("category", "rank").drop("rank"), f"{a.out}/errors", header=True, one_file=True)
-        scores.unpersist()
     elif a.command == "submit":
         tasks.parse(tables.read_tasks(spark, a.input, a.taskId)).write.mode("overwrite").parquet(a.output)
     else:

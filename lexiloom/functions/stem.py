@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 _C = "[^aeiou][^aeiouy]*"
 _V = "[aeiouy][aeiou]*"
 _SOME = f"^({_C})?{_V}{_C}"
@@ -87,10 +89,15 @@ def stem_sql(relation: str, column: str = "word") -> str:
     return f"SELECT * RENAME (w AS stem) FROM ({sql})"
 
 
-def with_stems(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Replace columns of words by their stems; each distinct word is stemmed once."""
+def stems_of(df: DataFrame, columns: list[str]) -> DataFrame:
+    """word and stem of every word in some columns, each stemmed once and written once."""
     words = df.select(F.explode(F.array(*columns)).alias("word")).where("word is not null").distinct()
-    stems = stem(words)
+    return cut(stem(words))
+
+
+def with_stems(df: DataFrame, columns: list[str], stems: DataFrame | None = None) -> DataFrame:
+    """Replace columns of words by their stems (of ``stems_of``); null stays null."""
+    stems = stems_of(df, columns) if stems is None else stems
     for c in columns:
         df = df.join(stems.select(F.col("word").alias(c), F.col("stem").alias("__stem")), c, "left").withColumn(c, F.col("__stem")).drop("__stem")
     return df

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut
+
 
 def aggregate(triples: DataFrame) -> DataFrame:
     return triples.groupBy("pid", "slot", "word").agg(F.sum("cnt").alias("cnt"))
@@ -33,10 +35,15 @@ def mutual_information(triples: DataFrame, whitelist: DataFrame | None = None) -
 
     The word and slot marginals need all triples; a whitelist of paths restricts
     what comes after them. B and C are aggregates that are joined back, which
-    Spark can split where a path or word is hot, as it can't a window. Null
-    words and other slots than X and Y have no information.
+    Spark can split where a path or word is hot, as it can't a window. All of them
+    come from one aggregate, which is written once, so that triples are read once.
+    Null words and other slots than X and Y have no information.
     """
-    own = aggregate(triples)
+    return of_aggregate(cut(aggregate(triples)), whitelist)
+
+
+def of_aggregate(own: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:
+    """The same from triples that are aggregated and written already."""
     counts = slot_word_counts(own)
     kept = own if whitelist is None else keep_paths(own, whitelist)
     a, b, c, d = (F.col(x).cast("double") for x in ("cnt", "b", "c", "d"))

@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stem import with_stems
+from ..functions.stem import stems_of, with_stems
 from ..functions.text import trim_control, whole_number
+from ..sources.shared import cut
 
 # Tag and relation names.
 FUNCTIONAL = ("det", "poss", "neg", "aux", "auxpass", "ps", "mark", "complm", "prt")
@@ -82,16 +83,24 @@ def raw_instances(ngrams: DataFrame, filter_aux: bool = True) -> DataFrame:
 def _as_triples(raw: DataFrame) -> DataFrame:
     pid = F.concat_ws(" ", F.lit("X"), "verb", "prep", F.lit("Y"))
     two = F.array(F.struct(F.lit("X").alias("slot"), F.col("x").alias("word")), F.struct(F.lit("Y").alias("slot"), F.col("y").alias("word")))
-    return raw.select(pid.alias("pid"), F.explode(two).alias("s"), "cnt").select("pid", "s.slot", "s.word", "cnt")
+    rest = [c for c in raw.columns if c not in ("verb", "prep", "x", "y")]
+    return raw.select(pid.alias("pid"), F.explode(two).alias("s"), *rest).select("pid", "s.slot", "s.word", *rest)
+
+
+def _stemmed(raw: DataFrame, stem_all: bool) -> DataFrame:
+    """``raw`` (written) as triples: the verb is joined with its stem, then both nouns at once."""
+    stems = stems_of(raw, ["verb", "x", "y"] if stem_all else ["verb"])
+    own = _as_triples(with_stems(raw, ["verb"], stems))
+    return with_stems(own, ["word"], stems) if stem_all else own
 
 
 def path_instances(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
-    """pid, slot (X or Y), word and cnt, two rows for each instance."""
-    return _as_triples(with_stems(raw_instances(ngrams, filter_aux), ["verb", "x", "y"] if stem_all else ["verb"]))
+    """pid, slot (X or Y), word, cnt and n: two rows for each instance, alike instances (n of them) as one."""
+    raw = raw_instances(ngrams, filter_aux).groupBy("verb", "prep", "x", "y", "cnt").agg(F.count(F.lit(1)).alias("n"))
+    return _stemmed(cut(raw), stem_all)
 
 
 def triples(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
-    """Summed path instances; sums come before stems, so that fewer words are joined."""
+    """Summed path instances; sums come before stems, so that fewer words are joined, and n-grams are parsed once."""
     raw = raw_instances(ngrams, filter_aux).groupBy("verb", "prep", "x", "y").agg(F.sum("cnt").alias("cnt"))
-    own = _as_triples(with_stems(raw, ["verb", "x", "y"] if stem_all else ["verb"]))
-    return own.groupBy("pid", "slot", "word").agg(F.sum("cnt").alias("cnt"))
+    return _stemmed(cut(raw), stem_all).groupBy("pid", "slot", "word").agg(F.sum("cnt").alias("cnt"))

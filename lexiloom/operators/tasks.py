@@ -96,11 +96,56 @@ def html_report(rows: DataFrame, bucket: str) -> DataFrame:
     return out.select("task_id", F.concat(F.lit("reports/"), "task_id", F.lit("/summary.html")).alias("report_key"), html.alias("html"))
 
 
+def _words(line: Column) -> Column:
+    return F.array_remove(F.split(line, "[ \\t]+"), "")
+
+
+def _tag(w: Column) -> Column:
+    """Part of speech by a word's shape."""
+    return F.when(w.rlike("^[0-9][0-9.,]*$"), "CD").when(w.rlike("^[A-Z]"), "NNP").when(w.rlike("ing$"), "VBG").when(w.rlike("ed$"), "VBD").when(w.rlike("ly$"), "RB").otherwise("NN")
+
+
 def tag_words(line: Column) -> Column:
     """``word (TAG) `` of every word: a stand-in for a trained tagger, by the word's shape."""
-    words = F.array_remove(F.split(line, "[ \\t]+"), "")
-    tag = lambda w: F.when(w.rlike("^[0-9][0-9.,]*$"), "CD").when(w.rlike("^[A-Z]"), "NNP").when(w.rlike("ing$"), "VBG").when(w.rlike("ed$"), "VBD").when(w.rlike("ly$"), "RB").otherwise("NN")
-    return F.array_join(F.transform(words, lambda w: F.concat(w, F.lit(" ("), tag(w), F.lit(") "))), "")
+    return F.array_join(F.transform(_words(line), lambda w: F.concat(w, F.lit(" ("), _tag(w), F.lit(") "))), "")
+
+
+def _over_first_sentence(line: Column, body) -> Column:
+    """``body`` of the words up to the first that ends in a stop; without words the empty text."""
+
+    def sentence(words: Column) -> Column:
+        stop = F.array_position(F.transform(words, lambda w: w.rlike("[.!?]$")), True)
+        return body(F.slice(words, F.lit(1), F.when(stop == 0, F.size(words)).otherwise(stop).cast("int")))
+
+    return F.when(F.size(_words(line)) > 0, F.get(F.transform(F.array(_words(line)), sentence), F.lit(0))).otherwise("")
+
+
+def constituents(line: Column) -> Column:
+    """A flat tree over the first sentence: a stand-in for a trained parser, with its output's form."""
+    leaf = lambda w: F.concat(F.lit("("), _tag(w), F.lit(" "), w, F.lit(")"))
+    return _over_first_sentence(line, lambda words: F.concat(F.lit("(ROOT (FRAG "), F.array_join(F.transform(words, leaf), " "), F.lit("))")))
+
+
+def dependencies(line: Column) -> Column:
+    """Each word of the first sentence under its first verb (else its first word), one to a line: a stand-in likewise."""
+
+    def listed(words: Column) -> Column:
+        verb = F.array_position(F.transform(words, lambda w: _tag(w).isin("VBD", "VBG")), True)
+        head = F.when(verb == 0, 1).otherwise(verb).cast("int")
+        at = lambda w, i: F.concat(w, F.lit("-"), i.cast("string"))
+
+        def one(w: Column, i: Column) -> Column:
+            return F.when(i + 1 == head, F.concat(F.lit("root(ROOT-0, "), at(w, i + 1), F.lit(")"))).otherwise(F.concat(F.lit("dep("), at(F.get(words, head - 1), head), F.lit(", "), at(w, i + 1), F.lit(")")))
+
+        return F.array_join(F.transform(words, one), "\n")
+
+    return _over_first_sentence(line, listed)
+
+
+def fetch(tasks: DataFrame, documents: DataFrame) -> DataFrame:
+    """``tasks`` with the text of ``documents(url, text)``; null where there is none. One row a task, however often an address is held."""
+    held = documents.where("url is not null").groupBy("url").agg(F.max("text").alias("text"))
+    return tasks.join(held, "url", "left").select(*tasks.columns, "text")
 
 
 def analyze(documents: DataFrame, analyzers: dict | None = None) -> DataFrame:
@@ -109,7 +154,7 @@ def analyze(documents: DataFrame, analyzers: dict | None = None) -> DataFrame:
     An unknown analysis is no error: its name is the output. ``analyzers`` adds
     or replaces column functions of a line by name.
     """
-    known = {"POS": tag_words} | (analyzers or {})
+    known = {"POS": tag_words, "CONSTITUENCY": constituents, "DEPENDENCY": dependencies} | (analyzers or {})
 
     def output(line: Column) -> Column:
         out = F.concat(F.lit("Unknown analysis type: "), F.col("analysis"))

@@ -67,30 +67,37 @@ def mi_filtered(spark, d):
     return _rounded(mi.mutual_information(triples, listed), "mi")
 
 
-def _mi(spark, d):
-    return cut(mi.mutual_information(adapters.triples_from_lineitem(spark, d)))
+def _lines(spark, d):
+    """Summed triples, read from the tables once for all that follows."""
+    return cut(mi.aggregate(adapters.triples_from_lineitem(spark, d)))
 
 
-def _pairs(spark, d):
-    return cut(adapters.pairs_from_paths(adapters.triples_from_lineitem(spark, d)))
+def _mi(lines):
+    return cut(mi.of_aggregate(lines))
+
+
+def _pairs(lines):
+    return cut(adapters.pairs_from_paths(lines))
 
 
 def _scores(spark, d, **how):
     """Scores that evaluation reads more than once, so they are settled first."""
-    return cut(_rounded(similarity.path_similarity(_mi(spark, d), _pairs(spark, d), **how), "score"))
+    lines = _lines(spark, d)
+    return cut(_rounded(similarity.path_similarity(_mi(lines), _pairs(lines), **how), "score"))
 
 
 @_query
 def slot_sums(spark, d):
-    return _rounded(similarity.slot_sums(_mi(spark, d)), "total")
+    return _rounded(similarity.slot_sums(_mi(_lines(spark, d))), "total")
 
 
 @_query
 def slot_similarity(spark, d):
-    pairs = similarity.normalized_pairs(_pairs(spark, d))
+    lines = _lines(spark, d)
+    pairs = similarity.normalized_pairs(_pairs(lines))
     slots = F.explode(F.array(F.lit("X"), F.lit("Y")))
     sides = pairs.select("p1", "p2", slots.alias("s1")).select("p1", "s1", "p2", F.col("s1").alias("s2"))
-    return _rounded(similarity.slot_similarity(_mi(spark, d), sides), "sim")
+    return _rounded(similarity.slot_similarity(_mi(lines), sides), "sim")
 
 
 @_query
@@ -115,7 +122,8 @@ def score_diagnostics(spark, d):
 
 @_query
 def zero_breakdown(spark, d):
-    return evaluation.zero_breakdown(_mi(spark, d), _pairs(spark, d))
+    lines = _lines(spark, d)
+    return evaluation.zero_breakdown(_mi(lines), _pairs(lines))
 
 
 @_query
@@ -135,20 +143,19 @@ def error_analysis(spark, d):
 
 @_query
 def error_analysis_compare(spark, d):
-    """Beside scores of an earlier run that had the pairs of even ord, without roles."""
-    earlier = _scores(spark, d, by_roles=False).where("ord % 2 = 0")
-    return evaluation.error_analysis(_scores(spark, d), previous=earlier)
+    """Beside scores of an earlier run, without roles."""
+    return evaluation.error_analysis(_scores(spark, d), previous=_scores(spark, d, by_roles=False))
 
 
 @_query
 def template_norm(spark, d):
-    pairs = _pairs(spark, d)
+    pairs = _pairs(_lines(spark, d))
     return templates.normalize(pairs.select(F.explode(F.array("lhs", "rhs")).alias("template")).distinct())
 
 
 @_query
 def path_whitelist(spark, d):
-    return templates.whitelist(_pairs(spark, d))
+    return templates.whitelist(_pairs(_lines(spark, d)))
 
 
 @_query
@@ -178,7 +185,7 @@ def token_lca(spark, d):
 @_query
 def path_instances(spark, d):
     rows = ngrams.path_instances(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
-    return rows.groupBy("pid", "slot").agg(F.count(F.lit(1)).alias("n"), F.sum("cnt").alias("cnt"))
+    return rows.groupBy("pid", "slot").agg(F.sum("n").alias("n"), F.sum(F.col("cnt") * F.col("n")).alias("cnt"))
 
 
 @_query
@@ -248,7 +255,8 @@ def html_report(spark, d):
 
 @_query
 def line_analysis(spark, d):
-    kind = F.when(F.col("doc_id") % 2 == 0, "POS").otherwise("SENTIMENT")
+    kinds = F.array(*[F.lit(x) for x in ("POS", "CONSTITUENCY", "DEPENDENCY", "SENTIMENT")])
+    kind = F.get(kinds, (F.col("doc_id") % 4).cast("int"))
     docs = read_table(spark, d, "documents").select("doc_id", kind.alias("analysis"), F.coalesce("text", F.lit("")).alias("text"))
     return tasks.analyze(docs)
 

@@ -92,8 +92,8 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN
 
 _WINDOWS = """
 win AS (
-  SELECT doc_id, w[k * 4 + 1] AS w0, w[k * 4 + 2] AS w1, w[k * 4 + 3] AS w2, w[k * 4 + 4] AS w3, 1 + doc_id % 7 AS cnt
-  FROM (SELECT doc_id, w, unnest(range(len(w) // 4)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents WHERE lang = 'en')))"""
+  SELECT doc_id, w[k] AS w0, w[k + 1] AS w1, w[k + 2] AS w2, w[k + 3] AS w3, 1 + doc_id % 7 AS cnt
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)))"""
 _RAW = _WINDOWS + """,
 raw AS (
   SELECT w1 AS verb, CASE doc_id % 4 WHEN 1 THEN w2 WHEN 2 THEN 'with' END AS prep, w0 AS x, CASE WHEN doc_id % 4 IN (1, 2) THEN w3 ELSE w2 END AS y, cnt
@@ -195,6 +195,27 @@ _ROW = f"""concat('<tr><td>', sub_task_id, '</td><td>', analysis, '</td><td><a h
   ELSE concat('<td><a href=''https://reports.s3.us-east-1.amazonaws.com/', replace(output, '/', '%2F'), ''' target=''_blank''>View Output</a></td>') END, '</tr>')"""
 _TAG = "CASE WHEN regexp_matches(w, '^[0-9][0-9.,]*$') THEN 'CD' WHEN regexp_matches(w, '^[A-Z]') THEN 'NNP' WHEN regexp_matches(w, 'ing$') THEN 'VBG' WHEN regexp_matches(w, 'ed$') THEN 'VBD' WHEN regexp_matches(w, 'ly$') THEN 'RB' ELSE 'NN' END"
 
+
+def _words(x: str) -> str:
+    return f"list_filter(string_split_regex({x}, '[ \\t]+'), lambda v: v <> '')"
+
+
+def _first_sentence(x: str) -> str:
+    """Words up to the first that ends in a stop."""
+    stop = f"list_position(list_transform({_words(x)}, lambda v: regexp_matches(v, '[.!?]$')), true)"
+    return f"list_slice({_words(x)}, 1, CASE WHEN coalesce({stop}, 0) = 0 THEN len({_words(x)}) ELSE {stop} END)"
+
+
+def _constituency(x: str) -> str:
+    return f"concat('(ROOT (FRAG ', array_to_string(list_transform({_first_sentence(x)}, lambda w: concat('(', {_TAG}, ' ', w, ')')), ' '), '))')"
+
+
+def _dependency(x: str) -> str:
+    words = _first_sentence(x)
+    head = f"CASE WHEN coalesce(list_position(list_transform({words}, lambda w: {_TAG} IN ('VBD', 'VBG')), true), 0) = 0 THEN 1 ELSE list_position(list_transform({words}, lambda w: {_TAG} IN ('VBD', 'VBG')), true) END"
+    return f"""array_to_string(list_transform({words}, lambda w, i: CASE WHEN i = {head} THEN concat('root(ROOT-0, ', w, '-', i, ')') ELSE concat('dep(', list_extract({words}, {head}), '-', {head}, ', ', w, '-', i, ')') END), chr(10))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "mi_events": _mi_query(_EVENTS),
     "mi_lineitem": _mi_query(_LINES),
@@ -220,7 +241,7 @@ FROM pairs p JOIN x ON x.ord = p.ord JOIN y ON y.ord = p.ord WHERE label = 1 AND
     "error_analysis": f"{_BASE}, {_scores()}, {_SWEEP}, {_ERRORS} SELECT category, rank, lhs, rhs, label, printf('%.6f', score) AS score FROM ranked WHERE rank <= 5",
     "error_analysis_compare": f"""{_BASE}, {_scores()}, {_scores(_PLAIN, name="earlier")}, {_SWEEP}, {_ERRORS}
 SELECT category, rank, r.lhs, r.rhs, r.label, printf('%.6f', r.score) AS score, CASE WHEN e.score IS NULL THEN 'NA' ELSE printf('%.6f', e.score) END AS compare_score
-FROM ranked r LEFT JOIN earlier e ON e.ord = r.ord AND e.ord % 2 = 0 WHERE rank <= 5""",
+FROM ranked r LEFT JOIN earlier e ON e.ord = r.ord WHERE rank <= 5""",
     "template_norm": f"{_BASE} SELECT template, pid, swapped, logical FROM norms",
     "path_whitelist": f"{_BASE} SELECT DISTINCT pid FROM norms",
     "stem_vocab": "WITH vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) " + stem_sql("vocab"),
@@ -257,7 +278,8 @@ FROM known LEFT JOIN firsts USING (task_id, sub_task_id) GROUP BY task_id""",
     '</h1><table><tr><th>Subtask</th><th>Analysis Type</th><th>Input File</th><th>Output / Error</th></tr>', string_agg({_ROW}, '' ORDER BY sub_task_id), '</table></body></html>') AS html
 FROM summary GROUP BY task_id""",
     "line_analysis": f"""SELECT doc_id, array_to_string(list_transform(list_filter(string_split_regex(coalesce(text, ''), '\\r\\n|\\r|\\n'), lambda x: regexp_matches(x, '[^ \\t\\x0B\\f\\x1c-\\x1f]')),
-  lambda x: concat('INPUT: ', x, chr(10), 'OUTPUT: ', CASE WHEN doc_id % 2 = 0 THEN array_to_string(list_transform(list_filter(string_split_regex(x, '[ \\t]+'), lambda v: v <> ''), lambda w: concat(w, ' (', {_TAG}, ') ')), '') ELSE 'Unknown analysis type: SENTIMENT' END, chr(10), chr(10))), '') AS output
+  lambda x: concat('INPUT: ', x, chr(10), 'OUTPUT: ', CASE doc_id % 4 WHEN 0 THEN array_to_string(list_transform({_words("x")}, lambda w: concat(w, ' (', {_TAG}, ') ')), '')
+    WHEN 1 THEN {_constituency("x")} WHEN 2 THEN {_dependency("x")} ELSE 'Unknown analysis type: SENTIMENT' END, chr(10), chr(10))), '') AS output
 FROM documents""",
     "dispatch_plan": """WITH s AS (
   SELECT concat('job-', user_id % 20) AS task_id, concat('job-', user_id % 20, ':', event_id) AS sub_task_id, event_id % 5 AS k, ts, (SELECT max(ts) - INTERVAL 6 HOUR FROM events) AS now FROM events)

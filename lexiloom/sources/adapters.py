@@ -30,10 +30,10 @@ def triples_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ngrams_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines in the n-gram format from disjoint blocks of four words of English texts, as in the SQL; not from all windows."""
-    docs = read_table(spark, sf_dir, "documents").where("lang = 'en'")
+    """Lines in the n-gram format from every window of four words of every text."""
+    docs = read_table(spark, sf_dir, "documents")
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    four = "transform(sequence(0, size(w) div 4 - 1), k -> slice(w, k * 4 + 1, 4))"  # cut before the explode, which copies whole arrays
+    four = "transform(sequence(1, size(w) - 3), k -> slice(w, k, 4))"  # cut before the explode, which copies whole arrays
     window = docs.select("doc_id", words.alias("w")).where("size(w) >= 4").select("doc_id", F.explode(F.expr(four)).alias("v"))
     w = [F.get("v", F.lit(i)) for i in range(4)]
     forms = [

@@ -33,7 +33,8 @@ def read_triples(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def read_mi(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """pid, slot, word, mi, cnt and ``ord`` (order of files and lines); only positive or NaN values."""
     f = fields(F.col("value"))
-    at = F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line"))
+    # a file's splits are told apart by where they begin; within one split the ids ascend
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
     rows = text_lines(spark, paths).select(at.alias("ord"), f.alias("f")).where(F.size("f") >= 5)
     rows = rows.select(*[F.get("f", F.lit(i)).alias(c) for i, c in enumerate(("pid", "slot", "word"))], F.get("f", F.lit(3)).try_cast("double").alias("mi"), whole_number(F.get("f", F.lit(4))).alias("cnt"), "ord")
     return rows.where((F.col("mi") > 0) | F.isnan("mi"))
@@ -73,5 +74,5 @@ def write_tsv(df: DataFrame, path: str, header: bool = False, one_file: bool = F
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """One text file for each job, below a folder named after it."""
-    reports.select("task_id", F.col("html").alias("value")).write.mode("overwrite").partitionBy("task_id").text(path)
+    """One text file for each job, in a folder named by its report key."""
+    reports.select("report_key", F.col("html").alias("value")).write.mode("overwrite").partitionBy("report_key").text(path)

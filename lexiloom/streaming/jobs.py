@@ -40,23 +40,55 @@ def lease_outcomes(events: DataFrame, path: str, checkpoint: str) -> DataFrame:
     return drain(ledger.fold_stream(events), path, checkpoint)
 
 
-def reports(results: DataFrame, known: DataFrame, bucket: str, path: str, checkpoint: str) -> None:
-    """Write the report of every job that a batch completes; a repeated batch writes it again."""
+#: Folders that results are dealt out to by job, so that a batch rereads only those of its jobs.
+BUCKETS = 64
+
+
+def reports(results: DataFrame, known: DataFrame, bucket: str, path: str, checkpoint: str) -> DataFrame:
+    """Write the report of every job in the batch that completes it; returns all reports.
+
+    Results go to folders by job and batch, and a batch reads the folders of its
+    own jobs alone. Its reports have a folder of their own: readers never see one
+    replaced, and a batch that is run again writes the same.
+    """
     spark = results.sparkSession
+    own = F.pmod(F.xxhash64("task_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/results/batch={number}")
-        every = spark.read.parquet(f"{path}/results").drop("batch")
-        done = tasks.progress(known, every).where("complete").select("task_id")
-        rows = tasks.summary_rows(known, every).join(done, "task_id", "left_semi")
-        tasks.html_report(rows, bucket).write.mode("overwrite").parquet(f"{path}/reports")
+        batch.select("*", F.lit(number).cast("bigint").alias("batch"), own).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{path}/results")
+        touched = [r["bucket"] for r in batch.select(own).distinct().collect()]  # BUCKETS at most
+        every = spark.read.parquet(f"{path}/results").where(F.col("bucket").isin(touched) & (F.col("batch") <= number))
+        jobs = batch.select("task_id").distinct()
+        tasks_ = known.join(jobs, "task_id", "left_semi")
+        complete = tasks.progress(tasks_, every).where("complete").select("task_id")
+        before = tasks.progress(tasks_, every.where(F.col("batch") < number)).where("complete").select("task_id")
+        new = complete.join(before, "task_id", "left_anti")
+        rows = tasks.summary_rows(tasks_, every.drop("bucket", "batch")).join(new, "task_id", "left_semi")
+        tasks.html_report(rows, bucket).write.mode("overwrite").parquet(f"{path}/reports/batch={number}")
 
     results.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{path}/reports").drop("batch")
 
 
-def requests(lines: DataFrame) -> DataFrame:
-    """Job requests from JSON lines; those without an id, or that come at shutdown, are told apart."""
+def requests(lines: DataFrame, shutdown: bool = False) -> DataFrame:
+    """Job requests from JSON ``value`` lines, with accepted and, where a manager that shuts down turns one away, blocked."""
     parsed = F.from_json("value", "type string, taskId string, s3Bucket string, key string, outputFile string, workers int, terminate boolean")
     rows = lines.select(parsed.alias("r")).select("r.*")
-    known = F.coalesce(F.trim("taskId"), F.lit("")) != ""
-    return rows.withColumn("terminate", F.coalesce("terminate", F.lit(False))).withColumn("accepted", known & F.col("type").eqNullSafe(F.lit("newTask")))
+    known = (F.coalesce(F.trim("taskId"), F.lit("")) != "") & F.col("type").eqNullSafe(F.lit("newTask"))
+    blocked = F.when(known & F.lit(shutdown), F.concat(F.lit("Unable to receive task "), "taskId", F.lit("\nManager will be terminating soon...")))
+    return rows.withColumn("terminate", F.coalesce("terminate", F.lit(False))).withColumn("accepted", known & F.lit(not shutdown)).withColumn("blocked", blocked)
+
+
+def worker_tasks(lines: DataFrame) -> DataFrame:
+    """Task messages to workers from JSON ``value`` lines; without taskId, url or analysis they are not ``parsed``."""
+    rows = lines.select(F.from_json("value", "taskId string, subTaskId string, url string, analysis string").alias("r")).select("r.*")
+    whole = F.col("taskId").isNotNull() & F.col("url").isNotNull() & F.col("analysis").isNotNull()
+    return rows.select(F.col("taskId").alias("task_id"), F.coalesce("subTaskId", "taskId").alias("sub_task_id"), "analysis", "url", whole.alias("parsed"))
+
+
+def worker_results(lines: DataFrame) -> DataFrame:
+    """Results from JSON ``value`` lines: optional fields are empty where missing; without taskId, subTaskId or type they are not ``parsed``."""
+    rows = lines.select(F.from_json("value", "type string, taskId string, subTaskId string, analysis string, url string, result string, error string").alias("r")).select("r.*")
+    whole = F.col("taskId").isNotNull() & F.col("subTaskId").isNotNull() & F.col("type").isNotNull()
+    status = F.when(F.col("type") == "jobDone", "SUCCEEDED").otherwise("FAILED")
+    return rows.select(F.col("taskId").alias("task_id"), F.col("subTaskId").alias("sub_task_id"), status.alias("status"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("analysis", "url", "result", "error")], whole.alias("parsed"))

@@ -93,3 +93,56 @@ def test_worker_actions(spark):
     df = spark.createDataFrame(rows, "parsed boolean, claim string, lost boolean, completion string, success boolean, want string")
     assert all(r.a == r.want for r in df.withColumn("a", tasks.message_action()).collect())
     assert (tasks.workers_needed(10, 3, 1, 7), tasks.workers_needed(100, 1, 2, 7), tasks.workers_needed(1, 1, 5, 7)) == (3, 5, 0)
+
+
+def test_reports_of_a_stream(spark, tmp_path):
+    known = spark.createDataFrame([(f"j{j}", f"j{j}:{n}", "POS", "u") for j in range(4) for n in range(2)], "task_id string, sub_task_id string, analysis string, url string")
+    schema = "task_id string, sub_task_id string, arrival int, status string, result string, error string"
+    batches = [[("j0", 0), ("j1", 0)], [("j0", 1), ("j0", 1), ("j2", 0)], [("j0", 0), ("j1", 1), ("j9", 1)], [("j2", 0), ("j2", 1), ("j1", 1)]]
+    for i, own in enumerate(batches):
+        rows = [(j, f"{j}:{n}", 10 * i + k, "SUCCEEDED", f"k{i}", None) for k, (j, n) in enumerate(own)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    got = jobs.reports(jobs.stream_table(spark, f"{tmp_path}/in"), known, "b", f"{tmp_path}/out", f"{tmp_path}/cp")
+    every = tasks.html_report(tasks.summary_rows(known, spark.read.parquet(f"{tmp_path}/in")), "b").where("task_id != 'j3'")
+    assert sorted(map(tuple, got.select("task_id", "report_key", "html").collect())) == sorted(map(tuple, every.collect()))
+    written = [len(spark.read.parquet(str(p)).collect()) for p in sorted((tmp_path / "out" / "reports").iterdir())]
+    assert sum(written) == 3 and max(written) == 1  # each once, in the batch that completes it
+
+
+def test_messages(spark):
+    def lines(*texts):
+        return spark.createDataFrame([(t,) for t in texts], "value string")
+
+    got = jobs.worker_results(lines('{"type":"jobDone","taskId":"j","subTaskId":"j:0","result":"k"}', '{"type":"jobFailed","taskId":"j","subTaskId":"j:1"}', '{"type":"jobDone","taskId":"j"}', "no json")).collect()
+    assert [(r.sub_task_id, r.status, r.result, r.error, r.parsed) for r in got] == [("j:0", "SUCCEEDED", "k", "", True), ("j:1", "FAILED", "", "", True), (None, "SUCCEEDED", "", "", False), (None, "FAILED", "", "", False)]
+    got = jobs.worker_tasks(lines('{"taskId":"j","url":"u","analysis":"POS"}', '{"taskId":"j","subTaskId":"j:3","url":"u"}')).collect()
+    assert [(r.sub_task_id, r.parsed) for r in got] == [("j", True), ("j:3", False)]
+    text = lines('{"type":"newTask","taskId":"j","s3Bucket":"b"}', '{"type":"newTask","taskId":" "}', '{"type":"x","taskId":"j"}')
+    assert [(r.accepted, r.blocked) for r in jobs.requests(text).collect()] == [(True, None), (False, None), (False, None)]
+    assert [(r.accepted, r.blocked) for r in jobs.requests(text, shutdown=True).collect()] == [(False, "Unable to receive task j\nManager will be terminating soon..."), (False, None), (False, None)]
+
+
+def test_fetched_documents(spark):
+    known = spark.createDataFrame([("j", "j:0", "u"), ("j", "j:1", "v"), ("j", "j:2", None)], "task_id string, sub_task_id string, url string")
+    docs = spark.createDataFrame([("u", "text"), ("u", "text"), (None, "x")], "url string, text string")
+    assert {(r.sub_task_id, r.text) for r in tasks.fetch(known, docs).collect()} == {("j:0", "text"), ("j:1", None), ("j:2", None)}
+
+
+def test_analyses_of_lines(spark):
+    rows = [(1, "CONSTITUENCY", "Dogs chased 3 cats. They ran"), (2, "DEPENDENCY", "Dogs chased cats. They ran"), (3, "NEW", "x"), (4, "POS", "  \n\n"), (5, "DEPENDENCY", "no verb here")]
+    got = {r.doc_id: r.output for r in tasks.analyze(spark.createDataFrame(rows, "doc_id int, analysis string, text string")).collect()}
+    assert got[1] == "INPUT: Dogs chased 3 cats. They ran\nOUTPUT: (ROOT (FRAG (NNP Dogs) (VBD chased) (CD 3) (NN cats.)))\n\n"
+    assert got[2].split("OUTPUT: ")[1] == "dep(chased-2, Dogs-1)\nroot(ROOT-0, chased-2)\ndep(chased-2, cats.-3)\n\n"
+    assert got[3].endswith("OUTPUT: Unknown analysis type: NEW\n\n") and got[4] == "" and "root(ROOT-0, no-1)" in got[5]
+
+
+def test_job_events():
+    j = ledger.Job()
+    say = lambda kind, at=0, actor="m", n=0: ledger.job_step(j, kind, at, actor, 30, n)
+    assert say("lease") == "NOT_FOUND" and say("create", 5) == "CREATED" and say("create") == "EXISTS" and j.created == 5
+    assert say("lease", 10) == "LEASED" and say("lease", 20, "other") == "REFUSED" and say("lease", 41, "other") == "LEASED"
+    assert say("save") == "SAVED" and j.status == "DISPATCHING" and say("finalize") == "REFUSED"
+    assert say("parsed", n=2) == "PARSED" and say("sent") == "RUNNING" and say("done") == "COUNTED" and say("finalize") == "REFUSED"
+    assert say("done") == "COUNTED" and say("finalize", 50) == "FINALIZING" and say("finalize", 60) == "REFUSED" and say("finalize", 81, "other") == "FINALIZING"
+    assert say("complete") == "REFUSED" and say("notify") == "REFUSED" and say("complete", 90, "other") == "COMPLETED" and j.notification == "PENDING"
+    assert say("notify") == "NOTIFIED" and j.notification == "SENT" and say("fail") == "FAILED" and j.status == "FAILED"

@@ -5,6 +5,7 @@ import random
 from lexiloom import cli
 from lexiloom.functions.stem import stem
 from lexiloom.operators import evaluation, mi, ngrams, similarity, templates
+from lexiloom.sources import tables
 
 LINES = """causes\tsmoking/NN/nsubj/2 causes/VBZ/ROOT/0 cancer/NN/dobj/2\t10\t1999,10
 causes\tvirus/NN/nsubj/2 causes/VBZ/ROOT/0 disease/NN/dobj/2\t4
@@ -107,3 +108,50 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["score-eval", "--mi", f"{t}/few", "--pos", f"{t}/pos.txt", "--neg", f"{t}/neg.txt", "--out", f"{t}/eval"]) == 0
     assert [r[5] for r in spark.read.csv(f"{t}/eval/scores", sep="\t", header=True).collect()][:2] == ["0.501477", "0.801646"]
     assert cli.run(spark, ["no-such-command"]) == 2
+
+
+def test_sweep_of_any_scores(spark):
+    rule = random.Random(8)
+    scores = [(rule.choice([rule.random(), rule.random() * 3 - 1, round(rule.random(), 2), 0.0, 1.0, float("nan")]), rule.randrange(2)) for _ in range(400)]
+    got = evaluation.sweep(spark.createDataFrame(scores, "score double, label int")).collect()
+    key = lambda s: (s != s, s if s == s else 0)
+    want = {}
+    for at in {key(s) for s, _ in scores}:
+        above = [y for s, y in scores if key(s) >= at]
+        want[at] = (sum(above), len(above) - sum(above))
+    assert {key(r.threshold): (r.tp, r.fp) for r in got} == want and len(got) == len(want)
+
+
+def test_last_of_repeated_rows_by_place_in_the_file(spark, tmp_path):
+    text = "".join(f"X v Y\tX\tw{i % 50}\t{i + 1}.5\t1\n" for i in range(4000))
+    (tmp_path / "mi.txt").write_text(text)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    rows = tables.read_mi(spark, str(tmp_path / "mi.txt"))
+    assert rows.rdd.getNumPartitions() > 2
+    got = {r.word: r.mi for r in similarity.vectors(rows).collect()}
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {f"w{i % 50}": i + 1.5 for i in range(3950, 4000)}
+
+
+def test_command_line_of_earlier_scores_and_jobs(spark, tmp_path):
+    t = str(tmp_path)
+    (tmp_path / "in.txt").write_text("\n".join(LINES))
+    (tmp_path / "out.txt").write_text("\n".join(LINES))
+    for name, label in (("pos", 1), ("neg", 0)):
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{a}\t{b}" for a, b, y in PAIRS if y == label))
+    assert cli.run(spark, ["extract-triples", "--input", f"{t}/in.txt, {t}/out.txt,", "--exclude", f"{t}/out.txt", "--output", f"{t}/triples"]) == 0
+    assert {tuple(r) for r in tables.read_triples(spark, f"{t}/triples").collect()} == {tuple(r) for r in ngrams.triples(ngrams.parse(lines(spark))).collect()}
+    assert cli.run(spark, ["compute-mi", "--triples", f"{t}/triples", "--output", f"{t}/mi"]) == 0
+    (tmp_path / "earlier.txt").write_text("lhs\trhs\tlabel\tn1\tn2\tscore\nX cause Y\tX produces Y\t1\ta\tb\t0.25\nX cause Y\tX produces Y\t1\ta\tb\t0.75\nbad\n")
+    assert cli.run(spark, ["score-eval", "--mi", f"{t}/mi", "--pos", f"{t}/pos.txt", "--neg", f"{t}/neg.txt", "--out", f"{t}/eval", "--compareWith", f"{t}/earlier.txt"]) == 0
+    errors = {(r[1], r[2]): r[5] for r in spark.read.csv(f"{t}/eval/errors", sep="\t", header=True).collect()}
+    assert errors["X cause Y", "X produces Y"] == "0.750000" and errors["X cause Y", "Y result from X"] == "NA"
+    (tmp_path / "tasks.txt").write_text("POS\thttps://example.com/a.txt\nbad\nPOS\thttps://example.com/b.txt\n")
+    assert cli.run(spark, ["submit", "--input", f"{t}/tasks.txt", "--taskId", "j", "--output", f"{t}/tasks"]) == 0
+    assert sorted(r.sub_task_id for r in spark.read.parquet(f"{t}/tasks").collect()) == ["j:0", "j:1"]
+    done = spark.createDataFrame([("j", f"j:{n}", n, "SUCCEEDED", f"results/{n}.txt", None) for n in range(2)], "task_id string, sub_task_id string, arrival int, status string, result string, error string")
+    done.write.parquet(f"{t}/results")
+    assert cli.run(spark, ["report", "--tasks", f"{t}/tasks", "--results", f"{t}/results", "--bucket", "b", "--output", f"{t}/reports"]) == 0
+    (report,) = spark.read.text(f"{t}/reports", wholetext=True).collect()
+    assert report.report_key == "reports/j/summary.html" and report.value.count("View Output") == 2
