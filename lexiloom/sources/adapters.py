@@ -29,9 +29,15 @@ def triples_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_slots(lines.join(part, "l_partkey").join(supplier, "l_suppkey").select("pid", "x", "y", "cnt"))
 
 
+def _dealt_out(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where the files have fewer parts than that: each row becomes thousands."""
+    wanted = 2 * docs.sparkSession.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= wanted else docs.repartition(wanted)
+
+
 def ngrams_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in the n-gram format from every window of four words of every text."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = _dealt_out(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
     four = "transform(sequence(1, size(w) - 3), k -> slice(w, k, 4))"  # cut before the explode, which copies whole arrays
     window = docs.select("doc_id", words.alias("w")).where("size(w) >= 4").select("doc_id", F.explode(F.expr(four)).alias("v"))
