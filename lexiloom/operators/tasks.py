@@ -74,6 +74,7 @@ def summary_rows(tasks: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def _row(bucket: str) -> Column:
+    # Markup of the report.
     link = F.concat(F.lit(f"https://{bucket}.s3.us-east-1.amazonaws.com/"), F.url_encode(F.coalesce("output", F.lit(""))))
     cell = F.when(F.startswith("output", F.lit("ERROR:")), F.concat(F.lit("<td class='error'>"), escape_html(F.col("output")), F.lit("</td>")))
     cell = cell.otherwise(F.concat(F.lit("<td>"), link_or_text(link, F.lit("View Output")), F.lit("</td>")))
@@ -89,6 +90,7 @@ def html_report(rows: DataFrame, bucket: str) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sub_task_id", _row(bucket).alias("h")))), lambda x: x["h"]), "")
     out = rows.groupBy("task_id").agg(body.alias("body"))
     title = escape_html(F.col("task_id"))
+    # Markup of the report.
     html = F.concat(
         F.lit("<html><head><title>Task "), title, F.lit(f" - Analysis Summary</title><style>{_STYLE}</style></head><body><h1>Results for Task: "), title,
         F.lit("</h1><table><tr><th>Subtask</th><th>Analysis Type</th><th>Input File</th><th>Output / Error</th></tr>"), "body", F.lit("</table></body></html>"),
