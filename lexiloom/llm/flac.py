@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 
 from .common import new_folder, whole_text
 
-BLOCK = 576
+BLOCK = 4608
 RATE = 8000
 #: Frames that are decoded, and encoded, side by side.
-LANES, WRITTEN = 2048, 512
-ORDER = 4
+LANES, WRITTEN = 512, 128
+ORDER = 12
 PRECISION = 10
 #: Bytes of a seek table are fewer.
 SEEK_BYTES = 1 << 24
@@ -143,7 +143,9 @@ def _frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tupl
     residuals = [x]
     for _ in range(4):
         residuals.append(np.diff(residuals[-1], axis=0, prepend=np.int16(0)))
-    residuals.append((x - guess).astype(np.int16))
+    left = x - guess
+    too_far = np.abs(left).max(axis=0) > np.iinfo(np.int16).max
+    residuals.append(left.astype(np.int16))
     orders = np.array([0, 1, 2, 3, 4, ORDER])
     # sums of what is to be coded; the few samples before the order count too, and those after the end are taken off
     weight = np.stack([np.abs(r if whole else np.where(live, r, 0)).sum(axis=0, dtype=np.int32) for r in residuals])
@@ -151,6 +153,7 @@ def _frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tupl
     params = np.clip(np.floor(np.log2(np.maximum(2 * weight / count * 0.6931, 1e-9))).astype(np.int32) + 1, 0, 14)
     cost = 18 + (2 * weight >> params) - count // 2 + (1 + params) * count + 8 * orders[:, None]
     cost[5] += 9 + ORDER * PRECISION
+    cost[5, too_far] = 1 << 30
     cost[orders[:, None] >= np.broadcast_to(sizes, cost.shape)] = 1 << 30
     kind = cost.argmin(axis=0)  # 0-4 fixed, 5 linear, 6 verbatim, 7 constant
     kind = np.where(cost.min(axis=0) >= 8 + 8 * sizes, 6, kind)
@@ -210,19 +213,20 @@ def _frames(samples: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tupl
 def encode(payloads: list[bytes]) -> list[bytes]:
     """A stream for each non-empty payload of unsigned 8-bit samples."""
     blocks = [(p, i, number) for p, data in enumerate(payloads) for number, i in enumerate(range(0, len(data), BLOCK))]
-    frames: list[list[bytes]] = [[] for _ in payloads]
+    blocks.sort(key=lambda b: len(payloads[b[0]]) - b[1])  # lanes of like sizes side by side; frames of a payload are put in order below
+    frames: list[dict[int, bytes]] = [{} for _ in payloads]
     for lo in range(0, len(blocks), WRITTEN):
         some = blocks[lo : lo + WRITTEN]
-        samples = np.full((len(some), BLOCK), 128, np.uint8)
         taken = np.array([min(BLOCK, len(payloads[p]) - i) for p, i, _ in some])
+        samples = np.full((len(some), taken.max()), 128, np.uint8)
         for lane, (p, i, _) in enumerate(some):
             samples[lane, : taken[lane]] = np.frombuffer(payloads[p], np.uint8, taken[lane], i)
         raw, sizes = _frames(np.ascontiguousarray(samples.T).astype(np.int16) - 128, taken, np.array([b[2] for b in some]))
         at = 0
-        for (p, _, _), size in zip(some, sizes.tolist(), strict=True):
-            frames[p].append(raw[at : at + size])
+        for (p, _, number), size in zip(some, sizes.tolist(), strict=True):
+            frames[p][number] = raw[at : at + size]
             at += size
-    return [_stream(data, own) for data, own in zip(payloads, frames, strict=True)]
+    return [_stream(data, [own[k] for k in range(len(own))]) for data, own in zip(payloads, frames, strict=True)]
 
 
 def _stream(data: bytes, frames: list[bytes]) -> bytes:
@@ -513,9 +517,12 @@ def to_media(docs: DataFrame) -> DataFrame:
 
 
 def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
-    """Write the media column of ``docs`` to a table below the shared folder; returns that table."""
+    """Write the media column of ``docs`` to a table below the shared folder; returns that table.
+
+    Equal streams near each other take little room in it, as pages are compressed.
+    """
     folder = folder or new_folder(docs.sparkSession, "media")
-    to_media(docs).write.parquet(folder)
+    to_media(docs).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
 
 
