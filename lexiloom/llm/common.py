@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["cut", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
+__all__ = ["FLAGS", "cut", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +35,20 @@ def one_task_a_file(manifest: DataFrame) -> DataFrame:
     return manifest.repartition(min(max(manifest.count(), 1), READERS))
 
 
+#: Hash buckets of a membership test; a full table only means that all rows pass it.
+FLAGS = 1 << 22
+
+
+def flags(rows: DataFrame, value: Column) -> bytes:
+    """A byte for each of ``FLAGS`` buckets of ``value``: 1 if a row falls into it."""
+    bucket = F.pmod(value, F.lit(FLAGS))
+    words = rows.groupBy((bucket / 32).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bucket % 32).cast("int"))).alias("bits")).collect()  # FLAGS / 32 rows at most
+    out = np.zeros((FLAGS // 32, 32), np.uint8)
+    for r in words:
+        out[r["w"]] = r["bits"] >> np.arange(32) & 1
+    return out.tobytes()
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, whole_text
+from .common import FLAGS, cut, flags, whole_text
 
 #: Shares of the pooled covariance, and of the identity, in each class's own, to choose from.
 SHRINKAGE = tuple((pooled, identity) for pooled in (0.05, 0.2, 0.5, 0.9) for identity in (0.001, 0.01, 0.05, 0.2))
@@ -190,10 +190,18 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of ``docs`` that the classifier does not reject, with all their columns.
 
-    Only rows with a label are measured for the fit; every row is then measured
-    where it is judged.
+    For the fit only rows that can have a label (by a hash table of bounded size)
+    are measured, before they meet their labels, so no text is shuffled; every row
+    is then measured where it is judged.
     """
-    model = fit(_labelled(docs.select("doc_id", "text"), labels).select(features(F.col("text")).alias("x"), "label", "fold"))
+    ident = F.xxhash64(F.col("doc_id").cast("string"))
+    wanted = docs.sparkSession.sparkContext.broadcast(flags(labels.where("quality in (0, 1)").select("doc_id"), ident))
+
+    def measured_if(text: pd.Series, bucket: pd.Series) -> pd.Series:
+        return pd.Series([statistics(x) if wanted.value[b] else None for x, b in zip(text, bucket, strict=True)], dtype="object")
+
+    x = pandas_udf(measured_if, "array<double>")(whole_text(), F.pmod(ident, F.lit(FLAGS)).cast("int"))
+    model = train(docs.where(~held_out(F.col("doc_id"))).select("doc_id", x.alias("x")).where("x is not null"), labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     good = pandas_udf(lambda s: pd.Series(shared.value.scores(np.array([statistics(x) for x in s]).reshape(-1, N_FEATURES)) >= THRESHOLD), "boolean")
     return docs.where(good(whole_text()))

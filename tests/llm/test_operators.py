@@ -60,6 +60,48 @@ def test_minhash(spark):
     assert rows[1].near_next == 1.0  # after the smallest id comes the largest
 
 
+def plain_minhash(text):
+    """Nibbles of 256 bins by the definition; none for a text without words."""
+
+    def chained(*raw):
+        seed = 42
+        for x in raw:
+            seed = xxhash.xxh64_intdigest(x, seed)
+        return seed - (1 << 64) if seed >> 63 else seed
+
+    words = [w.encode() for w in re.split("[ \\t-\\r]+", text) if w]
+    hashes = [chained(*words[i : i + 5]) for i in range(len(words) - 4)] or ([chained(*words)] if words else [])
+    bins = [min((h for h in hashes if (h >> 56) + 128 == b), default=None) for b in range(256)]
+    rule = random.Random(42)
+    steps = [2 * rule.randrange(128) + 1 for _ in range(256)]
+    starts = [rule.randrange(256) for _ in range(256)]
+    out = []
+    for j in range(256 if hashes else 0):
+        filled = [bins[j]] + [bins[(steps[j] * t + starts[j]) % 256] for t in range(256)]
+        value = next(v for v in filled if v is not None)
+        out.append(chained(value.to_bytes(8, "little", signed=True), j.to_bytes(4, "little")) & 15)
+    return out
+
+
+def test_minhash_equals_the_definition(spark):
+    rule = random.Random(14)
+    words = [f"w{i}" for i in range(60)] + ["é", "漢字", "A"]
+    texts = ["", "  \t\n", "one", "a b c d", "a b c d e"] + [" ".join(rule.choices(words, k=n)) for n in (6, 7, 9, 20, 60, 300, 900)]
+    rows = minhash.fingerprint_edits(table(spark, list(enumerate(texts)))).collect()
+    for r in rows:
+        text, following = texts[r.doc_id], texts[r.doc_id - 1]
+        edited = text[: len(text) - len(text) // 2] + following[: len(text) // 2]
+        own, changed, other = map(plain_minhash, (text, edited, following))
+        assert r.fingerprint == "".join(f"{x:x}" for x in own) and r.edited_fingerprint == "".join(f"{x:x}" for x in changed)
+
+        def like(a, b):
+            if not a or not b:
+                return float(a == b)
+            return max(0.0, (sum(x == y for x, y in zip(a, b)) / 256 - 1 / 16) / (1 - 1 / 16))
+
+        assert abs(r.near_edited - like(own, changed)) < 1e-9 and abs(r.near_next - like(own, other)) < 1e-9
+
+
 def test_minhash_next_documents(spark):
     rule = random.Random(9)
     rows = [(rule.choice([None, *range(-30, 30)]), "".join(rule.choices("ab cé", k=rule.randrange(0, 40)))) for _ in range(90)]
