@@ -27,7 +27,7 @@ from .common import new_folder, whole_text
 BLOCK = 4608
 RATE = 8000
 #: Frames that are decoded, and encoded, side by side.
-LANES, WRITTEN = 512, 128
+LANES, WRITTEN = 1024, 128
 ORDER = 12
 PRECISION = 10
 #: Bytes of a seek table are fewer.
@@ -83,6 +83,10 @@ def crc16(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Unsigned samples as signed ones.
+_SIGNED = bytes(i ^ 128 for i in range(256))
+
+
 @lru_cache(1 << 16)
 def _header(number: int, samples: int) -> bytes:
     code = _CODE.get(samples, 6 if samples <= 256 else 7)
@@ -373,10 +377,9 @@ def _decode_frames(data: np.ndarray, sub: np.ndarray, sizes: np.ndarray) -> np.n
         rice = np.zeros_like(x)
         _residuals(bits, at, rice, coded, order, sizes)
         x += rice >> 1 ^ -(rice & 1)
-        for i in range(1, n):
-            guess = coefficients[0] * x[i - 1]
-            for j in range(1, min(top, i)):
-                guess += coefficients[j] * x[i - 1 - j]
+        backwards = np.ascontiguousarray(coefficients[:top][::-1])
+        for i in range(1, n if top else 0):
+            guess = np.einsum("ij,ij->j", backwards[max(0, top - i) :], x[max(0, i - top) : i])
             guess >>= shift
             if i < top:
                 guess[order > i] = 0
@@ -458,9 +461,10 @@ def decode(streams: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
             if got != number:
                 raise ValueError("a frame is out of order")
             frames.append((s, number, a, b, sub, samples))
-    sums: dict[int, list] = {}
+    by_size = sorted(range(len(frames)), key=lambda k: frames[k][5])  # lanes of like sizes side by side
+    blocks: list[bytes] = [b""] * len(frames)
     for lo in range(0, len(frames), LANES):
-        some = frames[lo : lo + LANES]
+        some = [frames[k] for k in by_size[lo : lo + LANES]]
         data = np.frombuffer(b"".join(streams[s][a:b] for s, _, a, b, _, _ in some), np.uint8)
         lengths = np.array([b - a for _, _, a, b, _, _ in some])
         starts = np.cumsum(lengths) - lengths
@@ -469,17 +473,17 @@ def decode(streams: list[bytes]) -> Iterator[tuple[int, int, int, bytes]]:
         sizes = np.array([f[5] for f in some])
         x = _decode_frames(data, starts + np.array([sub - a for _, _, a, _, sub, _ in some]), sizes)
         pcm = (x + 128).astype(np.uint8).T
-        for lane, (s, number, *_, samples) in enumerate(some):
-            block = pcm[lane, :samples].tobytes()
-            md5, seen = sums.pop(s, None) or (hashlib.md5(usedforsecurity=False), 0)
-            md5.update((pcm[lane, :samples] ^ 128).tobytes())
-            yield s, number, seen, block
-            seen += samples
-            if seen >= infos[s]["samples"]:
-                if seen != infos[s]["samples"] or md5.digest() != infos[s]["md5"]:
-                    raise ValueError("the samples of a stream differ from their digest")
-            else:
-                sums[s] = (md5, seen)
+        for lane, k in enumerate(by_size[lo : lo + LANES]):
+            blocks[k] = pcm[lane, : frames[k][5]].tobytes()
+    last, md5, seen = -1, None, 0
+    for (s, number, *_), block in zip(frames, blocks, strict=True):
+        if s != last:
+            last, md5, seen = s, hashlib.md5(usedforsecurity=False), 0
+        md5.update(block.translate(_SIGNED))
+        yield s, number, seen, block
+        seen += len(block)
+        if seen >= infos[s]["samples"] and (seen != infos[s]["samples"] or md5.digest() != infos[s]["md5"]):
+            raise ValueError("the samples of a stream differ from their digest")
 
 
 def _payload(text: str) -> bytes:
