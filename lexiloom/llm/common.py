@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["FLAGS", "cut", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
+__all__ = ["FLAGS", "bounded_batches", "cut", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,18 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of 8 MB at most, where the session does not set another bound.
+
+    Spark's own 64 MB take a worker several hundred megabytes as Python strings.
+    """
+    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+        spark.conf.set(_BATCH, "8m")
+
+
 #: Tasks that read the files of a manifest, at most.
 READERS = 20_000
 

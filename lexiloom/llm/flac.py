@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, whole_text
+from .common import bounded_batches, new_folder, whole_text
 
 BLOCK = 4608
 RATE = 8000
@@ -509,6 +509,8 @@ def to_media(docs: DataFrame) -> DataFrame:
     The payload is the UTF-8 text, padded with spaces to a positive multiple of
     192; null counts as empty. Every row gets one; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
+
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for some in _parts(pdf, pdf["text"].str.len()):

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import cut, new_folder, one_task_a_file, whole_text
+from .common import bounded_batches, cut, new_folder, one_task_a_file, whole_text
 from .files import create, opened, stream
 
 MAGIC = b"LXIDS\x00\x00\x01"
@@ -36,7 +36,7 @@ FILE_BYTES = 256 << 20
 #: The dictionary is trained on at most so many documents, at most so many code points of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 1 << 14, 1 << 16
 #: Parts of texts that a worker remembers the ids of, parts that go to the library as one text, and bytes of text taken at once.
-REMEMBERED, _JOINED, _SLICE = 1 << 20, 1 << 14, 8 << 20
+REMEMBERED, _JOINED, _SLICE = 1 << 19, 1 << 14, 8 << 20
 #: White space by Unicode, and the separators that only Python counts as such.
 _BLANK = r"\x1c-\x1f\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD_SPACE, _PART_START = rf" (?:[{_BLANK}]|\z)", rf" ([^{_BLANK}])"
@@ -246,6 +246,7 @@ def write_id_files(docs: DataFrame, folder: str | None = None, tokenizer: str |
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ids")
     tokenizer = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
+    bounded_batches(spark)
     dictionary = train_dictionary(docs, tokenizer)
     dict_path = None
     if dictionary:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, whole_text
+from .common import bounded_batches, cut, whole_text
 
 _COPYRIGHT = r"(^|\n)[ \t/*#;<!-]*(copyright|\(c\)|©)[^\n]*"
 _OTHER = "[^a-z0-9]+"
@@ -172,6 +172,7 @@ def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     result; other columns are ignored. ``known(digest, license, size)`` may be of
     any size: Spark broadcasts it only below its size limit.
     """
+    bounded_batches(docs.sparkSession)
     known = known_digests(docs.sparkSession) if known is None else known
     sizes = frozenset(r["size"] for r in known.select("size").distinct().collect())  # at most the longest known text's length
     known = known.select("digest", "license")

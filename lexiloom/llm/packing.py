@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, whole_text
+from .common import bounded_batches, cut, whole_text
 
 CAPACITIES = (2048, 4096, 8192, 16384)
 BUCKETS = 1024
@@ -130,6 +130,7 @@ def pack(docs: DataFrame, length: Column | None = None, capacities: tuple[int, .
     their own; an empty table gives an empty result; other columns are ignored.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     capacities = tuple(sorted(set(capacities)))
     longest = capacities[-1]
     total = byte_length() if length is None else length

@@ -31,7 +31,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import whole_text
+from .common import bounded_batches, whole_text
 
 SPACE = "▁"
 BEST = 4
@@ -339,6 +339,7 @@ def _batches(it: Iterator[pd.DataFrame], model: str | None, n: int) -> Iterator[
 
 
 def _with_text(docs: DataFrame) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("string").alias("doc_id"), whole_text().alias("text"))
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import FLAGS, cut, flags, whole_text
+from .common import FLAGS, bounded_batches, cut, flags, whole_text
 
 #: Shares of the pooled covariance, and of the identity, in each class's own, to choose from.
 SHRINKAGE = tuple((pooled, identity) for pooled in (0.05, 0.2, 0.5, 0.9) for identity in (0.001, 0.01, 0.05, 0.2))
@@ -183,6 +183,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     only, all scores are that class (0 or 1); with no labels they are 0.5. An
     empty table gives an empty result; other columns are ignored.
     """
+    bounded_batches(docs.sparkSession)
     measured = cut(docs.select("doc_id", features(F.col("text")).alias("x")))
     return _scored(measured, train(measured, labels)).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
@@ -194,6 +195,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are measured, before they meet their labels, so no text is shuffled; every row
     is then measured where it is judged.
     """
+    bounded_batches(docs.sparkSession)
     ident = F.xxhash64(F.col("doc_id").cast("string"))
     wanted = docs.sparkSession.sparkContext.broadcast(flags(labels.where("quality in (0, 1)").select("doc_id"), ident))
 

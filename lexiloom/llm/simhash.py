@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import cut, whole_text
+from .common import bounded_batches, cut, whole_text
 from .components import components
 
 WIDTH = 3
@@ -271,6 +271,7 @@ def links(fingerprints: DataFrame, distance: int = DISTANCE, bucket: int = BUCKE
 
 def _placed(docs: DataFrame, distance: int) -> DataFrame:
     """doc_id, text_hash and fp of every row, with its class (root, component_id)."""
+    bounded_batches(docs.sparkSession)
     marked = cut(docs.select("doc_id", F.xxhash64(whole_text()).alias("text_hash"), fingerprint(F.col("text")).alias("fp")))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("low"))
     roots = components(links(nodes.select("fp"), distance))

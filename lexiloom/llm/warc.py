@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, new_folder, one_task_a_file, whole_text
+from .common import bounded_batches, cut, new_folder, one_task_a_file, whole_text
 from .files import create, stream
 
 #: Code points of a payload chunk that is written, bytes of one that is read.
@@ -107,6 +107,7 @@ def _write(batches: Iterator[pd.DataFrame], folder: str, file_bytes: int) -> Ite
 def write_archives(pages: DataFrame, folder: str | None = None, least: int = LEAST, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write gzip WARC files; returns their manifest (path, records)."""
     folder = folder or new_folder(pages.sparkSession, "warc")
+    bounded_batches(pages.sparkSession)
     chunks = chunk_table(pages, least).withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})  # pandas would turn nullable integers into doubles
     return cut(chunks.mapInPandas(lambda it: _write(it, folder, file_bytes), "path string, records bigint"))
 
