@@ -36,7 +36,7 @@ FILE_BYTES = 256 << 20
 #: The dictionary is trained on at most so many documents, at most so many code points of each.
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 1 << 14, 1 << 16
 #: Parts of texts that a worker remembers the ids of, parts that go to the library as one text, and bytes of text taken at once.
-REMEMBERED, _JOINED, _SLICE = 1 << 19, 1 << 14, 8 << 20
+REMEMBERED, _JOINED, _SLICE = 1 << 19, 1 << 14, 2 << 20
 #: White space by Unicode, and the separators that only Python counts as such.
 _BLANK = r"\x1c-\x1f\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 _ODD_SPACE, _PART_START = rf" (?:[{_BLANK}]|\z)", rf" ([^{_BLANK}])"
@@ -97,8 +97,8 @@ class Encoder:
             split = pc.if_else(odd, pc.split_pattern(marked, "\0"), split)
         return split.flatten(), pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
 
-    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts one after the other, and how many each has."""
+    def _placed(self, texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+        """Ids that are remembered and those of heads; where among them each part's begin and how many it has; each text's first part."""
         whole = pc.match_substring_regex(texts, self.apart)
         alone = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
         kept = pc.if_else(whole, "", texts) if len(alone) else texts
@@ -121,8 +121,18 @@ class Encoder:
         begin[first], size[first] = len(flat) + np.cumsum(head_sizes) - head_sizes, head_sizes
         place = known[coded.indices.to_numpy()]
         begin[~first], size[~first] = begins[place], sizes[place]
+        return [flat, *own], begin, size, starts
+
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """How many ids each text has."""
+        _, _, size, starts = self._placed(texts)
+        return np.add.reduceat(size, starts) if len(starts) else size
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and how many each has."""
+        known, begin, size, starts = self._placed(texts)
         ends = np.cumsum(size)
-        out = np.concatenate([flat, *own])[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
+        out = np.concatenate(known)[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - (ends - size), size)]
         return out, np.add.reduceat(size, starts) if len(starts) else size
 
     def _places(self, parts: pa.Array) -> np.ndarray:
@@ -155,7 +165,7 @@ def n_tokens(column: str = "text", tokenizer: str | None = None) -> Column:
 
     def count(texts: pa.Array) -> pa.Array:
         own = pa.RecordBatch.from_arrays([texts], names=["text"])
-        sizes = [encoder(tokenizer)(some.column("text"))[1] + 1 for some in _slices(own)]
+        sizes = [encoder(tokenizer).counts(some.column("text")) + 1 for some in _slices(own)]
         return pa.array(np.concatenate([np.zeros(0, np.int64), *sizes]), pa.int64())
 
     return arrow_udf(count, "bigint")(whole_text(column))
