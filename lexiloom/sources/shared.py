@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,21 @@ def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` once for what reads it more than once; lost executors don't matter then."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet to a folder of its own below the shared one; what reads it, and the folder.
+
+    Unlike ``cut`` it is compressed, and reads can leave out columns. ``forget``
+    removes it.
+    """
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder of ``stored`` that nothing reads any more."""
+    jvm = spark._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
