@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, idfiles, licenses, minhash, packing, pieces, pii, quality, simhash, warc
+from . import bpe, centroids, flac, idfiles, licenses, minhash, packing, pieces, pii, quality, simhash, tries, warc
 from .common import read_table
 
 
@@ -50,6 +50,18 @@ def op10_flac_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.media_round_trip(read_table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(read_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.mixed_trie(read_table(spark, sf_dir, "conversations"))
+
+
+def op13_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -63,6 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit_packing,
         op9_warc_chunk_table,
         op10_flac_blocks,
+        op11_byte_bpe,
+        op12_conversation_trie,
+        op13_centroid_clusters,
     )
 }
 
