@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, shared_dir
 
-__all__ = ["FLAGS", "bounded_batches", "cut", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
+__all__ = ["FLAGS", "bounded_batches", "cut", "flag_bits", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,23 @@ def flags(rows: DataFrame, value: Column) -> bytes:
     return out.tobytes()
 
 
+#: Bits of a membership test that follows the data: for each row, at least, and at most.
+BITS_A_ROW, FEWEST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
+
+
+def flag_bits(rows: DataFrame, value: Column) -> bytes:
+    """A bit for each of as many buckets (a power of two) as ``rows`` ask for: 1 if ``value`` of a row falls into it.
+
+    Beyond ``MOST_BITS / BITS_A_ROW`` rows more of the others pass, up to all of them.
+    """
+    size = min(max(1 << (BITS_A_ROW * rows.count()).bit_length(), FEWEST_BITS), MOST_BITS)
+    bucket = F.pmod(value, F.lit(size))
+    words = rows.groupBy((bucket / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bucket % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows at most
+    out = np.zeros(size // 64, "<i8")
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
+    return out.tobytes()
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -5,12 +5,16 @@ such entity the corpus tells which terms reveal it: with p(e) the share of
 documents that hold entity e and p(e|t) the share of the documents with term t
 that hold e too, the pointwise mutual information log p(e|t)/p(e) is what t tells
 of e, out of the -log p(e) that there is to tell. Terms are runs of two or more
-letters and digits of any script. Pairs (e, t) are proposed by terms that stand
-within ``reach`` of e in one document at least (``None``: anywhere in it); they
-are counted in whole documents. A term that tells ``disclosure`` of e or more, in
-``support`` documents or more, is a span wherever it stands, with or without e.
-In sanitised text it is generalised to its class, or removed where it tells
+letters and digits of any script. A term that tells ``disclosure`` of e or more,
+in ``support`` documents or more, is a span wherever it stands, with or without
+e. In sanitised text it is generalised to its class, or removed where it tells
 everything.
+
+Counts are exact. A pair (e, t) is counted only if e and t are in ``support``
+documents with entities each, and t in no more of them than it may be to tell
+enough of e even if all of e's documents held it; this drops common words beside
+rare entities, which most are. ``reach`` asks for terms that also stand within so
+many code points of e in one document at least (``None``, the default: anywhere).
 """
 
 from __future__ import annotations
@@ -27,14 +31,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from .common import FLAGS, bounded_batches, cut, flags, whole_text
+from ..sources.shared import forget, stored
+from .common import bounded_batches, cut, flag_bits, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
 #: What a revealing term is generalised to: digits, letters and digits, letters.
 CLASSES = ("[NUMBER]", "[CODE]", "[TERM]")
-#: Code points on either side of an entity in which a term must stand once to be proposed.
-REACH = 100
+#: Code points on either side of an entity in which a term must stand once; None: anywhere in the document.
+REACH: int | None = None
 DISCLOSURE, SUPPORT = 0.8, 2
 _HELD = 100_000
 
@@ -110,11 +115,8 @@ def entities_of(text: str, spans: list[list[tuple[int, int]]]) -> set[int]:
     return {_entity(kind, text[a:b]) for kind, own in zip(KINDS, spans, strict=True) for a, b in own}
 
 
-def near_terms(text: str, spans: list[list[tuple[int, int]]], reach: int | None = REACH) -> set[tuple[int, str]]:
+def near_terms(text: str, spans: list[list[tuple[int, int]]], reach: int) -> set[tuple[int, str]]:
     """(entity, term) of each whole word in reach of an entity and in no span."""
-    if reach is None:
-        terms = {t for t, _, _ in _outside(text, spans)}
-        return {(e, t) for e in entities_of(text, spans) for t in terms}
     out = set()
     for kind, own in zip(KINDS, spans, strict=True):
         for start, end in own:
@@ -124,57 +126,52 @@ def near_terms(text: str, spans: list[list[tuple[int, int]]], reach: int | None
     return out
 
 
-_FOUND = "entities array<bigint>, near array<struct<e:bigint,t:string>>"
+_FOUND = "entities array<bigint>, terms array<string>, near array<struct<e:bigint,t:string>>"
 
 
 def _find(batches: Iterator[pd.DataFrame], reach: int | None) -> Iterator[pd.DataFrame]:
-    """Entities of each text and the terms near them; texts without any give no row."""
+    """Entities and terms of each text, and which of them are near; texts without entities give no row."""
     for pdf in batches:
         rows = []
         for text in pdf["text"]:
             spans = base_spans(text)
             if any(spans):
-                rows.append((list(entities_of(text, spans)), [{"e": e, "t": t} for e, t in near_terms(text, spans, reach)]))
-        yield pd.DataFrame(rows, columns=["entities", "near"])
+                near = [] if reach is None else [{"e": e, "t": t} for e, t in near_terms(text, spans, reach)]
+                rows.append((list(entities_of(text, spans)), list({t for t, _, _ in _outside(text, spans)}), near))
+        yield pd.DataFrame(rows, columns=["entities", "terms", "near"])
 
 
 class _Flagged(dict):
-    """Hash of each word of a text if its bucket is flagged, else null; remembers words."""
+    """Whether each word of a text has its bit in ``flag_bits``; remembers words."""
 
-    def __init__(self, flags: bytes):
-        self.flags = flags
+    def __init__(self, bits: bytes):
+        self.bits, self.mask = bits, 8 * len(bits) - 1
 
-    def __missing__(self, word: str) -> int | None:
-        h = xxhash.xxh64_intdigest(word.lower(), 42)
+    def __missing__(self, word: str) -> bool:
+        bucket = xxhash.xxh64_intdigest(word.lower(), 42) & self.mask
         if len(self) >= _HELD:
             self.clear()
-        self[word] = out = h if self.flags[h & FLAGS - 1] else None
+        self[word] = out = bool(self.bits[bucket >> 3] >> (bucket & 7) & 1)
         return out
 
-    def held(self, text: str) -> dict[str, int]:
-        """The flagged terms of ``text`` with their hashes."""
-        return {w.lower(): h for w in set(_WORD.findall(text)) if (h := self[w]) is not None}
+    def held(self, text: str) -> set[str]:
+        """The flagged terms of ``text``."""
+        return {w.lower() for w in set(_WORD.findall(text)) if self[w]}
 
 
-def _count(batches: Iterator[pd.DataFrame], terms: bytes, pairs: bytes) -> Iterator[pd.DataFrame]:
-    """Documents that hold each flagged term (null e), and each flagged pair, anywhere; as partial counts."""
-    seen: Counter[tuple[int | None, str]] = Counter()
-    known, mask = _Flagged(terms), FLAGS - 1
+def _count(batches: Iterator[pd.DataFrame], bits: bytes) -> Iterator[pd.DataFrame]:
+    """Documents without entities that hold each flagged term, as partial counts."""
+    seen: Counter[str] = Counter()
+    known = _Flagged(bits)
 
     def out() -> pd.DataFrame:
-        return pd.DataFrame({"e": pd.array([e for e, _ in seen], "Int64"), "t": [t for _, t in seen], "n": list(seen.values())}).astype({"t": "object", "n": "int64"})
+        return pd.DataFrame({"t": list(seen), "n": list(seen.values())}).astype({"t": "object", "n": "int64"})
 
     for pdf in batches:
         for text in pdf["text"]:
             held = known.held(text)
-            if not held:
-                continue
-            spans = base_spans(text)
-            if any(spans):
-                outside = {t for t, _, _ in _outside(text, spans)}
-                held = {w: h for w, h in held.items() if w in outside}
-                seen.update((e, w) for e in entities_of(text, spans) for w, h in held.items() if pairs[(h ^ e) & mask])
-            seen.update((None, w) for w in held)
+            if held and not any(base_spans(text)):
+                seen.update(held)
             if len(seen) >= _HELD:
                 yield out()
                 seen.clear()
@@ -182,40 +179,40 @@ def _count(batches: Iterator[pd.DataFrame], terms: bytes, pairs: bytes) -> Itera
 
 
 def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: int = SUPPORT, reach: int | None = REACH) -> DataFrame:
-    """``(e, t, told)``: terms that reveal an entity, and how much of it (0 to 1).
-
-    Nearness in one document proposes a pair; its counts are of whole documents.
-    """
+    """``(e, t, told)``: terms that reveal an entity, and how much of it (0 to 1)."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(whole_text().alias("text"))
-    found = cut(texts.mapInPandas(lambda it: _find(it, reach), _FOUND))
-    p_entity = F.col("n_entity") / F.lit(float(max(docs.count(), 1)))
+    found, folder = stored(texts.mapInPandas(lambda it: _find(it, reach), _FOUND).withColumn("doc", F.monotonically_increasing_id()), "entities")
+    p = F.col("n_entity") / F.lit(float(max(docs.count(), 1)))
 
     def told(n_both, n_term):
-        return F.when(p_entity >= 1, 0.0).otherwise(1.0 - F.log(n_both / n_term) / F.log(p_entity))
-
-    entities = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support)
-    near = found.select(F.explode("near").alias("p")).select("p.e", "p.t").distinct()
-    beside = found.select(F.explode(F.array_distinct(F.col("near.t"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n_beside"))
-    # a term is in n_beside documents or more, a pair in n_entity or less, so this keeps all that can pass
-    hopeful = cut(near.join(entities, "e").join(beside, "t").where(told(F.least("n_entity", "n_beside"), F.col("n_beside")) >= disclosure).select("e", "t", "n_entity"))
-    if hopeful.isEmpty():
-        return spark.createDataFrame([], "e bigint, t string, told double")
-    term = F.xxhash64("t")
-    shared = spark.sparkContext.broadcast((flags(hopeful, term), flags(hopeful, term.bitwiseXOR(F.col("e")))))
-    counts = cut(texts.mapInPandas(lambda it: _count(it, *shared.value), "e bigint, t string, n bigint").groupBy("e", "t").agg(F.sum("n").alias("n")))
-    both = counts.where("e is not null and n >= %d" % support).withColumnRenamed("n", "n_both")
-    having = counts.where("e is null").select("t", F.col("n").alias("n_term"))
-    return cut(hopeful.join(both, ["e", "t"]).join(having, "t").select("e", "t", told(F.col("n_both"), F.col("n_term")).alias("told")).where(F.col("told") >= disclosure))
+        return F.when(p >= 1, 0.0).otherwise(1.0 - F.log(n_both / n_term) / F.log(p))
+
+    entities, terms = found.select("doc", F.explode("entities").alias("e")), found.select("doc", F.explode("terms").alias("t"))
+    most = F.when(p >= 1, 0.0 if disclosure > 0 else float("inf")).otherwise(F.col("n_entity") * F.pow(p, F.lit(disclosure - 1.0)) * (1 + 1e-9))
+    known = cut(entities.groupBy("e").agg(F.count(F.lit(1)).alias("n_entity")).where(F.col("n_entity") >= support).withColumn("most", most))
+    upto = known.agg(F.max("most")).first()[0] or 0.0
+    beside = terms.groupBy("t").agg(F.count(F.lit(1)).alias("n_beside")).where((F.col("n_beside") >= support) & (F.col("n_beside") <= F.lit(upto)))
+    pairs = entities.join(known, "e").join(terms.join(beside, "t"), "doc").where("n_beside <= most")
+    pairs = pairs.groupBy("e", "t").agg(F.count(F.lit(1)).alias("n_both"), F.max("n_entity").alias("n_entity"), F.max("n_beside").alias("n_beside"))
+    hopeful = pairs.where((F.col("n_both") >= support) & (told(F.col("n_both"), F.col("n_beside")) >= disclosure))
+    if reach is not None:
+        hopeful = hopeful.join(found.select(F.explode("near").alias("n")).select("n.e", "n.t").distinct(), ["e", "t"], "left_semi")
+    hopeful = cut(hopeful)
+    forget(spark, folder)
+    shared = spark.sparkContext.broadcast(flag_bits(hopeful.select("t").distinct(), F.xxhash64("t")))
+    elsewhere = texts.mapInPandas(lambda it: _count(it, shared.value), "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+    counted = hopeful.join(elsewhere, "t", "left").withColumn("n_term", F.col("n_beside") + F.coalesce("n", F.lit(0)))
+    return cut(counted.select("e", "t", told(F.col("n_both"), F.col("n_term")).alias("told")).where(F.col("told") >= disclosure))
 
 
 _MARKED = "doc_id string, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, held array<struct<t:string,a:bigint,b:bigint>>"
 
 
-def _mark(batches: Iterator[pd.DataFrame], terms: bytes) -> Iterator[pd.DataFrame]:
+def _mark(batches: Iterator[pd.DataFrame], bits: bytes) -> Iterator[pd.DataFrame]:
     """Base spans, and every occurrence of a flagged term, of each text."""
-    known = _Flagged(terms)
+    known = _Flagged(bits)
     for pdf in batches:
         rows = []
         for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
@@ -228,9 +225,9 @@ def _mark(batches: Iterator[pd.DataFrame], terms: bytes) -> Iterator[pd.DataFram
 
 
 def marked(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
-    """Every row of ``docs`` with a row number and its base spans; ``(row, terms)``: its spans of revealing terms, near an entity or not."""
+    """Every row of ``docs`` with a row number and its base spans; ``(row, terms)``: its spans of revealing terms, beside an entity or not."""
     revealing = disclosing_terms(docs, **how).groupBy("t").agg(F.max("told").alias("told"))
-    shared = docs.sparkSession.sparkContext.broadcast(flags(revealing, F.xxhash64("t")))
+    shared = docs.sparkSession.sparkContext.broadcast(flag_bits(revealing, F.xxhash64("t")))
     text = whole_text()
     rows = docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
     found = cut(rows.mapInPandas(lambda it: _mark(it, shared.value), _MARKED)).withColumn("row", F.monotonically_increasing_id())  # stable: the checkpoint fixes rows and partitions

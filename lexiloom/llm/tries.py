@@ -233,6 +233,16 @@ def _upper(heavy: DataFrame, tops: DataFrame) -> DataFrame:
     return nodes.drop("leaf", "saved").join(sums, _KEY)
 
 
+#: Parts that the rows of a key are dealt out to in joins with the few rows that very many others may match.
+SALTS = 32
+
+
+def _salted(rows: DataFrame, few: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join in which no key's rows meet in one task."""
+    spread = few.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64("conv_id"), F.lit(SALTS)).cast("int")).join(spread, [*keys, "__salt"], "left").drop("__salt")
+
+
 def trie(turns: DataFrame, shard: int = SHARD) -> DataFrame:
     """Nodes of the trie of ``turns(conv_id, d, hx, hy, size)``, which ``with_root`` or ``mixed`` make.
 
@@ -248,7 +258,7 @@ def trie(turns: DataFrame, shard: int = SHARD) -> DataFrame:
     lengths = turns.groupBy("conv_id").agg(F.max("d").alias("length"))
     rows = cut(rows.join(lengths, "conv_id"))
     heavy = rows.groupBy(*_KEY).agg(F.sum(F.col("length") - F.col("d") + 1).alias("below")).where(F.col("below") > shard).select(*_KEY, F.lit(True).alias("heavy"))
-    rows = cut(rows.join(heavy, _KEY, "left").withColumn("heavy", F.coalesce("heavy", F.lit(False))))
+    rows = cut(_salted(rows, heavy, _KEY).withColumn("heavy", F.coalesce("heavy", F.lit(False))))
     light, heavy = rows.where("not heavy"), rows.where("heavy")
     prefix = light.groupBy("conv_id").agg(F.min(F.struct("d", "x", "y")).alias("prefix"))
     shards = -(-light.count() // shard) or 1
@@ -258,7 +268,7 @@ def trie(turns: DataFrame, shard: int = SHARD) -> DataFrame:
     above = upper.select((F.col("d") + 1).alias("d"), F.col("x").alias("px"), F.col("y").alias("py"), F.col("conv_id").alias("above"))
     columns = [*_KEY, "px", "py", "conv_id", "n_convs", "n_children", "n_leaves", "saved"]
     inner = nodes.where("not top").select(*columns, "parent_conv_id")
-    outer = nodes.where("top").select(*columns).unionByName(upper.select(*columns)).join(above, ["d", "px", "py"], "left").select(*columns, F.col("above").alias("parent_conv_id"))
+    outer = _salted(nodes.where("top").select(*columns).unionByName(upper.select(*columns)), above, ["d", "px", "py"]).select(*columns, F.col("above").alias("parent_conv_id"))
     found = inner.unionByName(outer).join(_ends(rows), _KEY, "left")
     return found.select(
         "conv_id",

@@ -139,7 +139,7 @@ def some_rows(rule, n):
 
 
 @pytest.mark.parametrize("shard", [6, 40, 1 << 14])
-def test_tries_equal_brute_force(spark, shard):
+def test_tries_equal_brute_force(spark, many_ranges, shard):
     rows = some_rows(random.Random(shard), 60)
     rows += [(1000 + i, t, "user", f"same {t}") for i in range(0, 200, 5) for t in range(4)]  # exact copies
     rows += [(2000, t, "user", f"long {t % 3}") for t in range(300)]
