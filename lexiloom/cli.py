@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import argparse
 import sys
+from types import SimpleNamespace
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -14,36 +14,57 @@ from .sources import tables
 from .sources.shared import cut
 
 
-def _parser() -> argparse.ArgumentParser:
-    top = argparse.ArgumentParser(prog="lexiloom")
-    commands = top.add_subparsers(dest="command", required=True)
+#: Options of each command: those that it must have, and others with what they are without.
+COMMANDS: dict[str, tuple[tuple[str, ...], dict[str, str | None]]] = {
+    "extract-triples": (("input", "output"), {"stemAll": "true", "filterAux": "true", "exclude": None}),
+    "global-counts": (("input", "output"), {}),
+    "compute-mi": (("triples", "output"), {"paths": None}),
+    "make-test-path-list": (("pos", "neg", "output"), {}),
+    "filter-mi": (("mi", "paths", "output"), {}),
+    "score-eval": (("mi", "pos", "neg", "out"), {"compareWith": None, "useMaxSwap": "false"}),
+    "submit": (("input", "taskId", "output"), {}),
+    "report": (("tasks", "results", "bucket", "output"), {}),
+}
 
-    def add(name: str, *required: str, **optional):
-        p = commands.add_parser(name)
-        for r in required:
-            p.add_argument(f"--{r}", required=True)
-        for o, default in optional.items():
-            p.add_argument(f"--{o}", default=default)
 
-    add("extract-triples", "input", "output", stemAll="true", filterAux="true", exclude=None)
-    add("global-counts", "input", "output")
-    add("compute-mi", "triples", "output", paths=None)
-    add("make-test-path-list", "pos", "neg", "output")
-    add("filter-mi", "mi", "paths", "output")
-    add("score-eval", "mi", "pos", "neg", "out", compareWith=None, useMaxSwap="false")
-    add("submit", "input", "taskId", "output")
-    add("report", "tasks", "results", "bucket", "output")
-    return top
+def options(words: list[str]) -> dict[str, str]:
+    """``--name value`` pairs; a name without a value is true, the last of a name counts, other words don't."""
+    out, name = {}, None
+    for w in words:
+        if w.startswith("--"):
+            name = w[2:]
+            out[name] = "true"
+        elif name is not None:
+            out[name], name = w, None
+    return out
+
+
+def arguments(argv: list[str]) -> SimpleNamespace:
+    """Command and options; unknown options are left out. Raises ValueError for wrong usage."""
+    if not argv or argv[0] not in COMMANDS:
+        raise ValueError(f"commands: {', '.join(COMMANDS)}")
+    required, optional = COMMANDS[argv[0]]
+    given = options(argv[1:])
+    if "out" in required:
+        given.setdefault("out", given.get("output"))
+    if missing := [f"--{r}" for r in required if given.get(r) is None]:
+        raise ValueError(f"{argv[0]} needs {', '.join(missing)}")
+    return SimpleNamespace(command=argv[0], **optional | {k: v for k, v in given.items() if k in required or k in optional})
+
+
+def _yes(value: str) -> bool:
+    return value.lower() == "true"
 
 
 def run(spark: SparkSession, argv: list[str]) -> int:
     """0: done; 2: wrong usage. A failed job raises."""
     try:
-        a = _parser().parse_args(argv)
-    except SystemExit as e:
-        return 0 if e.code == 0 else 2
+        a = arguments(argv)
+    except ValueError as e:
+        print(e, file=sys.stderr)
+        return 2
     if a.command == "extract-triples":
-        out = ngrams.triples(ngrams.parse(tables.text_lines(spark, a.input, a.exclude)), a.stemAll == "true", a.filterAux == "true")
+        out = ngrams.triples(tables.text_lines(spark, a.input, a.exclude), _yes(a.stemAll), _yes(a.filterAux))
         tables.write_tsv(out, a.output)
     elif a.command == "global-counts":
         counts = mi.slot_word_counts(tables.read_triples(spark, a.input))
@@ -58,7 +79,7 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         rows = tables.read_mi(spark, a.mi).select("pid", "slot", "word", "mi", "cnt")
         tables.write_tsv(mi.keep_paths(rows, tables.read_paths(spark, a.paths)), a.output)
     elif a.command == "score-eval":
-        scores = cut(similarity.path_similarity(tables.read_mi(spark, a.mi), tables.read_pairs(spark, a.pos, a.neg), use_max_swap=a.useMaxSwap == "true"))
+        scores = cut(similarity.path_similarity(tables.read_mi(spark, a.mi), tables.read_pairs(spark, a.pos, a.neg), use_max_swap=_yes(a.useMaxSwap)))
         shown = scores.orderBy("ord").select("lhs", "rhs", "label", "norm_lhs", "norm_rhs", six(F.col("score")).alias("score"))
         tables.write_tsv(shown, f"{a.out}/scores", header=True, one_file=True)
         curve = evaluation.pr_curve(scores).orderBy(F.col("threshold").desc()).select(*[six(F.col(c)).alias(c) for c in ("threshold", "precision", "recall")])

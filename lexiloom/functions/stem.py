@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import kept
 
 _C = "[^aeiou][^aeiouy]*"
 _V = "[aeiouy][aeiou]*"
@@ -92,7 +92,7 @@ def stem_sql(relation: str, column: str = "word") -> str:
 def stems_of(df: DataFrame, columns: list[str]) -> DataFrame:
     """word and stem of every word in some columns, each stemmed once and written once."""
     words = df.select(F.explode(F.array(*columns)).alias("word")).where("word is not null").distinct()
-    return cut(stem(words))
+    return kept(stem(words))
 
 
 def with_stems(df: DataFrame, columns: list[str], stems: DataFrame | None = None) -> DataFrame:

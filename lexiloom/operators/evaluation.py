@@ -6,27 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import six
-from ..sources.shared import cut
+from .scan import running
 from .similarity import slot_details
 
-#: Ranges of scores whose counts are summed apart; the sums of all of them fit one task.
-RANGES = 4096
-
 
 def sweep(scores: DataFrame) -> DataFrame:
     """One row for each distinct score as threshold (score >= it is positive).
 
-    Counts run within ranges of scores and start from the sums of the ranges
-    above, so that no task sorts all distinct scores. NaN counts as the greatest.
+    Counts run from the highest score down, within ranges that follow the scores,
+    so that no task gets all distinct scores, however close together they lie.
+    NaN counts as the greatest.
     """
-    place = F.when(F.isnan("score"), RANGES + 1).otherwise(F.least(F.greatest(F.floor(F.col("score") * RANGES), F.lit(0)), F.lit(RANGES)))
-    runs = cut(scores.groupBy("score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n")).withColumn("range", place))
-    above, every = Window.orderBy(F.col("range").desc()).rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
-    sums = runs.groupBy("range").agg(F.sum("pos").alias("pos"), F.sum("n").alias("n"))  # RANGES + 2 rows at most
-    starts = sums.select("range", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("pos", "n")], F.coalesce(F.sum("pos").over(every), F.lit(0)).alias("all_pos"), F.sum("n").over(every).alias("all_n"))
-    upto = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    rows = runs.select("range", "score", F.sum("pos").over(upto).alias("pos"), F.sum("n").over(upto).alias("n")).join(F.broadcast(starts), "range")
-    rows = rows.select("score", (F.col("pos") + F.col("pos_above")).alias("tp"), (F.col("n") + F.col("n_above")).alias("seen"), "all_pos", "all_n")
+    runs = scores.groupBy("score").agg(F.sum("label").alias("pos"), F.count(F.lit(1)).alias("n"))
+    rows = running(runs, [], [F.col("score").desc()], {"tp": ("sum", F.col("pos")), "seen": ("sum", F.col("n"))})
+    rows = rows.join(F.broadcast(scores.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("all_pos"), F.count(F.lit(1)).alias("all_n"))))  # one row
     counts = rows.select(F.col("score").alias("threshold"), F.col("tp").cast("bigint").alias("tp"), (F.col("seen") - F.col("tp")).alias("fp"), (F.col("all_pos") - F.col("tp")).alias("fn"), (F.col("all_n") - F.col("seen") - F.col("all_pos") + F.col("tp")).alias("tn"), "all_pos")
     p = F.when(F.col("tp") + F.col("fp") == 0, 0.0).otherwise(F.try_divide("tp", F.col("tp") + F.col("fp")))
     r = F.when(F.col("all_pos") == 0, 0.0).otherwise(F.try_divide("tp", "all_pos"))

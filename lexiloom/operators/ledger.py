@@ -12,7 +12,8 @@ subtasks, so a job's state is small however many subtasks it has.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
+from itertools import repeat
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,14 +86,6 @@ def step(s: Subtask, kind: str, at: float, actor: str, lease: float, success: bo
     raise ValueError(f"no such event: {kind}")
 
 
-def run(key: tuple, events: pd.DataFrame, state: Subtask) -> pd.DataFrame:
-    out = []
-    for e in events.sort_values(["at", "seq"], kind="stable").itertuples(index=False):
-        outcome = step(state, e.kind, e.at, e.actor, e.lease, bool(e.success))
-        out.append((*key, e.seq, e.at, e.kind, outcome, state.status, state.owner, state.attempts))
-    return pd.DataFrame(out, columns=_names(OUTCOMES))
-
-
 @dataclass
 class Job:
     """State of one job; unknown until it is created."""
@@ -156,24 +149,29 @@ def job_step(j: Job, kind: str, at: float, actor: str, lease: float, expected: i
 
 
 def _in_order(batches: Iterator[pd.DataFrame], keys: list[str], fresh: Callable, apply: Callable, taken: list[str], schema: str) -> Iterator[pd.DataFrame]:
-    """Outcomes of events that are sorted by key, at and seq, carrying the last key's state on."""
+    """Outcomes of events that are sorted by key, at and seq, carrying the last key's state on; a row of a held state sets it and has no outcome."""
     names = _names(schema)
     shown = names[names.index("outcome") + 1 :]
     last, state = None, fresh()
     for pdf in batches:
         own = zip(*[pdf[k].astype("object").where(pdf[k].notna(), None).tolist() for k in keys], strict=True)
+        held = pdf["held"].tolist() if "held" in pdf else repeat(None, len(pdf))
         out = []
-        for key, seq, at, kind, *args in zip(own, *[pdf[c].tolist() for c in ("seq", "at", "kind", *taken)], strict=True):
+        for key, kept, seq, at, kind, *args in zip(own, held, *[pdf[c].tolist() for c in ("seq", "at", "kind", *taken)], strict=True):
             if key != last:
                 last, state = key, fresh()
+            if kept is not None:
+                state = fresh(**kept)
+                continue
             outcome = apply(state, kind, at, *args)
             out.append((*key, seq, at, kind, outcome, *[getattr(state, c) for c in shown]))
         yield pd.DataFrame(out, columns=names)
 
 
 def _folded(events: DataFrame, keys: list[str], fresh: Callable, apply: Callable, taken: list[str], schema: str) -> DataFrame:
-    order = [*keys, F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last()]
-    rows = events.select(*keys, "seq", "at", "kind", *taken).repartition(*keys).sortWithinPartitions(*order)
+    held = [c for c in events.columns if c == "held"]
+    order = [*keys, *[F.col(c).isNull() for c in held], F.col("at").asc_nulls_last(), F.col("seq").asc_nulls_last()]
+    rows = events.select(*keys, "seq", "at", "kind", *taken, *held).repartition(*keys).sortWithinPartitions(*order)
     return rows.mapInPandas(lambda it: _in_order(it, keys, fresh, apply, taken, schema), schema)
 
 
@@ -200,19 +198,28 @@ def latest(outcomes: DataFrame) -> DataFrame:
     return last.select("task_id", "j.*")
 
 
-_STATE = "status string, owner string, expires double, started double, dispatched double, attempts bigint"
+STATE = "status string, owner string, expires double, started double, dispatched double, attempts bigint"
+_WHOLE = OUTCOMES + ", expires double, started double, dispatched double"
+
+
+def fold_onto(events: DataFrame, states: DataFrame) -> DataFrame:
+    """``fold`` of events that follow those of ``states(task_id, sub_task_id, and the columns of STATE)``; outcomes with the whole state after each."""
+    kind = {f.name: f.dataType for f in events.schema}
+    columns = ["seq", "at", "kind", "actor", "lease", "success"]
+    own = events.select(*KEY, *columns, F.lit(None).cast(f"struct<{', '.join(c.replace(' ', ':', 1) for c in STATE.split(', '))}>").alias("held"))
+    before = states.select(*KEY, *[F.lit(None).cast(kind[c]).alias(c) for c in columns], F.struct(*_names(STATE)).alias("held"))
+    return _folded(own.unionByName(before), KEY, Subtask, step, ["actor", "lease", "success"], _WHOLE)
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream, whose batches follow each other in time."""
+def states_after(outcomes: DataFrame) -> DataFrame:
+    """The state of each key of ``fold_onto`` after its last event."""
+    last = outcomes.groupBy(*KEY).agg(F.max_by(F.struct(*_names(STATE)), F.struct(F.col("at").isNull(), "at", F.col("seq").isNull(), "seq")).alias("s"))
+    return last.select(*KEY, "s.*")
 
-    def update(key: tuple, batches: Iterator[pd.DataFrame], held) -> Iterator[pd.DataFrame]:
-        state = Subtask(*held.get) if held.exists else Subtask()
-        out = run(key, pd.concat(list(batches)), state)
-        held.update(tuple(asdict(state).values()))
-        yield out
 
-    return events.groupBy(*KEY).applyInPandasWithState(update, OUTCOMES, _STATE, "append", "NoTimeout")
+def expired(states: DataFrame, now: Column) -> DataFrame:
+    """Subtasks whose lease has run out at ``now`` without an event that says so: task_id, sub_task_id, owner, expires."""
+    return states.where((F.col("status") == "PROCESSING") & (F.col("expires") < now)).select(*KEY, "owner", "expires")
 
 
 def recoverable(jobs: DataFrame) -> DataFrame:

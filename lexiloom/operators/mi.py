@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import kept
 
 
 def aggregate(triples: DataFrame) -> DataFrame:
@@ -39,7 +39,7 @@ def mutual_information(triples: DataFrame, whitelist: DataFrame | None = None) -
     come from one aggregate, which is written once, so that triples are read once.
     Null words and other slots than X and Y have no information.
     """
-    return of_aggregate(cut(aggregate(triples)), whitelist)
+    return of_aggregate(kept(aggregate(triples)), whitelist)
 
 
 def of_aggregate(own: DataFrame, whitelist: DataFrame | None = None) -> DataFrame:

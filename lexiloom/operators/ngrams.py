@@ -1,23 +1,70 @@
-"""Dependency n-grams to predicate-path instances, in array expressions.
+"""Dependency n-grams to predicate-path instances, in Arrow batches.
 
-Nothing shuffles here: a line's tree, its ancestors and its pairs of nouns are
-arrays of one row.
+Nothing shuffles here. A batch's lines are split by Arrow; equal tokens are
+looked at once, by numbers into the batch's distinct ones. Trees, common ancestors
+and pairs of nouns are flat arrays over all lines of a batch (``trees``). What takes
+n-grams takes those of ``parse`` or lines themselves (``value``), which are then
+parsed in the same pass.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stem import stems_of, with_stems
-from ..functions.text import trim_control, whole_number
-from ..sources.shared import cut
+from ..sources.shared import kept
+from . import trees
 
 # Tag and relation names.
 FUNCTIONAL = ("det", "poss", "neg", "aux", "auxpass", "ps", "mark", "complm", "prt")
 AUXILIARY = ("is", "are", "was", "were", "am", "been", "being", "do", "does", "did", "have", "has", "had")
 SUBJECT = ("nsubj", "nsubjpass", "subj", "subjpass")
 
+_TOKEN = pa.struct([("word", pa.string()), ("pos", pa.string()), ("dep", pa.string()), ("head", pa.int32())])
+_PARSED = "head string, tokens array<struct<word:string,pos:string,dep:string,head:int>>, cnt bigint"
+_CONTROL = "".join(map(chr, range(33)))
+
+
+def _whole(values: pa.Array, bits: int) -> pa.Array:
+    """Signed integers without spaces, else null, also where they have more bits."""
+    digits = pc.replace_substring_regex(values, r"^\+", "")
+    good = pc.fill_null(pc.match_substring_regex(values, r"^[+-]?[0-9]+\z"), False)
+    short = pc.less(pc.fill_null(pc.binary_length(digits), 0), 10 if bits == 32 else 19)
+    out = pc.cast(pc.if_else(pc.and_(good, short), digits, None), pa.int64())
+    for i in np.flatnonzero(pc.and_(good, pc.invert(short)).to_numpy(zero_copy_only=False)):  # leading zeros, or near the limits
+        x = int(values[i].as_py())
+        if -(1 << bits - 1) <= x < 1 << bits - 1:
+            out = pa.concat_arrays([out[:i], pa.array([x], pa.int64()), out[i + 1 :]])
+    return out
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        fields = pc.split_pattern(batch.column("value"), "\t")
+        fields = fields.filter(pc.fill_null(pc.greater_equal(pc.list_value_length(fields), 3), False))
+        cnt = _whole(pc.utf8_trim(pc.list_element(fields, 2), _CONTROL), 64)
+        fields, cnt = fields.filter(pc.is_valid(cnt)), cnt.drop_null()
+        raw = pc.split_pattern(pc.utf8_trim(pc.list_element(fields, 1), _CONTROL), " ")
+        sizes = pc.list_value_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = raw.flatten().dictionary_encode()
+        parts = pc.split_pattern(coded.dictionary, "/", max_splits=3, reverse=True)
+        whole = pc.equal(pc.list_value_length(parts), 4)
+        parts = pc.if_else(whole, parts, pa.scalar(["", "", "", ""], pa.list_(pa.string())))
+        head = _whole(pc.if_else(whole, pc.list_element(parts, 3), None), 32)
+        distinct = pa.StructArray.from_arrays([*[pc.list_element(parts, i) for i in range(3)], head.cast(pa.int32())], fields=list(_TOKEN))
+        place = coded.indices.to_numpy()
+        bad = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=head.is_null().to_numpy(zero_copy_only=False)[place], minlength=len(sizes)) > 0
+        tokens = distinct.take(pa.array(place[~np.repeat(bad, sizes)]))
+        good = pa.array(~bad)
+        ends = np.concatenate([[0], np.cumsum(sizes[~bad])])
+        yield pa.RecordBatch.from_arrays([pc.list_element(fields, 0).filter(good), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), cnt.filter(good)], names=["head", "tokens", "cnt"])
+
 
 def parse(lines: DataFrame) -> DataFrame:
     """``value`` lines -> head, tokens, cnt; lines with any bad part are left out.
@@ -25,59 +72,114 @@ def parse(lines: DataFrame) -> DataFrame:
     A token is word/POS/dep/head, split from the right; tokens are split at single
     spaces, so that two spaces reject a line.
     """
-    f = F.split("value", "\t", -1)
-    raw = F.split(trim_control(F.get(f, F.lit(1))), " ", -1)
-    parts = F.transform(raw, lambda t: F.split(t, "/", -1))
-    head = "try_cast(if(get(p, size(p) - 1) rlike '^[+-]?[0-9]+$', get(p, size(p) - 1), null) as int)"
-    token = f"transform(parts, p -> if(size(p) >= 4, named_struct('word', array_join(slice(p, 1, size(p) - 3), '/'), 'pos', get(p, size(p) - 3), 'dep', get(p, size(p) - 2), 'head', {head}), null))"
-    rows = lines.where(F.size(f) >= 3).select(F.get(f, F.lit(0)).alias("head"), parts.alias("parts"), whole_number(trim_control(F.get(f, F.lit(2)))).alias("cnt")).where("cnt is not null")
-    # an explode of one element keeps Spark from computing the tokens once for the filter and once more
-    tokens = rows.select("head", F.explode(F.array(F.expr(token))).alias("tokens"), "cnt")
-    return tokens.where("not exists(tokens, t -> t is null or t.head is null)")
+    return lines.select("value").mapInArrow(_parse, _PARSED)
+
+
+def _over(ngrams: DataFrame, function, schema: str) -> DataFrame:
+    if "value" in ngrams.columns:
+        return ngrams.select("value").mapInArrow(lambda it: function(_parse(it)), schema)
+    return ngrams.select("tokens", "cnt").mapInArrow(function, schema)
+
+
+class _Batch:
+    """Tokens of a batch's lines one after the other, by numbers of distinct words, tags and relations."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        tokens = batch.column("tokens")
+        self.cnt = batch.column("cnt")
+        self.sizes = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.line = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        flat = tokens.flatten()
+        self.word, self.pos, self.dep = (pc.struct_field(flat, c).dictionary_encode() for c in ("word", "pos", "dep"))
+        self.parent = trees.parents(pc.struct_field(flat, "head").to_numpy().astype(np.int64), self.sizes)
+
+    @staticmethod
+    def which(coded: pa.DictionaryArray, test) -> np.ndarray:
+        """Whether each token passes a test of its distinct value."""
+        return np.array([test(x) for x in coded.dictionary.to_pylist()], bool)[coded.indices.to_numpy()]
+
+    def forest(self) -> trees.Forest:
+        return trees.Forest(self.parent, int(self.sizes.max(initial=1)))
+
+    def nouns(self) -> np.ndarray:
+        return self.which(self.pos, lambda x: x.startswith("NN")) & ~self.which(self.dep, lambda x: x in FUNCTIONAL)
+
+
+def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        b = _Batch(batch)
+        local = np.where(b.parent == trees.NONE, -1, b.parent - b.first[b.line])
+        ends = np.concatenate([[0], np.cumsum(b.sizes)])
+        yield pa.RecordBatch.from_arrays([b.cnt, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(local, pa.int32()))], names=["cnt", "parent"])
 
 
 def with_tree(ngrams: DataFrame) -> DataFrame:
-    """Add parent (of each token, -1: root) and chain (its ancestors, itself first)."""
-    parent = "transform(tokens, (t, i) -> if(t.head < 1 or t.head > size(tokens) or t.head - 1 = i, -1, t.head - 1))"
-    up = "get(parent, element_at(c, -1))"
-    chain = f"transform(sequence(0, size(tokens) - 1), i -> aggregate(sequence(1, size(tokens)), array(i), (c, s) -> if({up} >= 0, concat(c, array({up})), c)))"
-    return ngrams.withColumn("parent", F.expr(parent)).withColumn("chain", F.expr(chain))
+    """cnt and the parent of each token (-1: root) of every line."""
+    return _over(ngrams, _parents, "cnt bigint, parent array<int>")
+
+
+def _ancestors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        b = _Batch(batch)
+        forest = b.forest()
+        for i, j in trees.pairs(b.nouns(), b.sizes):
+            found = forest.common(i, j)
+            line = b.line[i]
+            base = b.first[line]
+            none = found == trees.NONE
+            columns = [b.cnt.take(pa.array(line)), pa.array(i - base, pa.int32()), pa.array(j - base, pa.int32()), pa.array(found - base, pa.int32(), mask=none)]
+            yield pa.RecordBatch.from_arrays(columns, names=["cnt", "i", "j", "lca"])
 
 
 def common_ancestors(ngrams: DataFrame) -> DataFrame:
-    """One row for each pair of nouns: tokens, cnt, parent and i, j, lca (null: none)."""
-    functional = ", ".join(f"'{x}'" for x in FUNCTIONAL)
-    nouns = f"filter(sequence(0, size(tokens) - 1), i -> startswith(get(tokens, i).pos, 'NN') and get(tokens, i).dep not in ({functional}))"
-    lca = "get(filter(get(chain, b), x -> array_contains(get(chain, a), x)), 0)"
-    pairs = f"flatten(transform(nouns, a -> transform(filter(nouns, b -> b > a), b -> struct(a as i, b as j, {lca} as lca))))"
-    rows = with_tree(ngrams).withColumn("nouns", F.expr(nouns)).withColumn("pair", F.explode(F.expr(pairs)))
-    return rows.select("tokens", "cnt", "parent", "pair.i", "pair.j", "pair.lca")
+    """One row for each pair of nouns of a line: cnt and i, j, lca (null: none)."""
+    return _over(ngrams, _ancestors, "cnt bigint, i int, j int, lca int")
+
+
+def _prepositions(b: _Batch) -> tuple[np.ndarray, pa.Array]:
+    """For each token the number of its preposition (-1: none) in the words and suffixes that are returned."""
+
+    def suffix(dep: str) -> str:
+        return next((dep[len(p) :] for p in ("prep_", "prepc_") if dep.startswith(p)), "")
+
+    suffixes = [suffix(x) for x in b.dep.dictionary.to_pylist()]
+    words, deps = b.word.indices.to_numpy(), b.dep.indices.to_numpy()
+    out = np.where(np.array([bool(s.strip(" ")) for s in suffixes], bool)[deps], len(b.word.dictionary) + deps, -1)
+    object_ = b.which(b.dep, lambda x: x in ("pobj", "pcomp")) & b.which(b.pos, lambda x: x in ("IN", "TO"))[b.parent]
+    out = np.where(object_, words[b.parent], out)
+    return np.where(b.parent == trees.NONE, -1, out), pa.concat_arrays([b.word.dictionary, pa.array(suffixes, pa.string())])
+
+
+_RAW = "verb string, verb_dep string, prep string, x string, y string, cnt bigint"
 
 
-def _preposition(noun: str) -> str:
-    n, p = f"get(tokens, {noun})", f"get(tokens, get(parent, {noun}))"
-    suffix = f"lower(regexp_extract({n}.dep, '(?s)^prepc?_(.+)$', 1))"
-    return f"case when get(parent, {noun}) < 0 then null when {n}.dep in ('pobj', 'pcomp') and {p}.pos in ('IN', 'TO') then lower({p}.word) when trim({suffix}) <> '' then {suffix} end"
+def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        b = _Batch(batch)
+        if not len(b.line):
+            continue
+        forest = b.forest()
+        verb, subject = b.which(b.pos, lambda x: x.startswith("VB")), b.which(b.dep, lambda x: x in SUBJECT)
+        prep, names = _prepositions(b)
+        for i, j in trees.pairs(b.nouns(), b.sizes):
+            v = forest.common(i, j)
+            kept = (v != trees.NONE) & verb[v]
+            i, j, v = i[kept], j[kept], v[kept]
+            # with a preposition Y is its noun, else X is the subject, or the first noun
+            turned = np.where(prep[i] >= 0, True, (prep[j] < 0) & subject[j] & ~subject[i])
+            own = np.where(prep[i] >= 0, prep[i], prep[j])
+            word = lambda at: b.word.dictionary.take(b.word.indices.take(pa.array(at)))
+            columns = [word(v), b.dep.dictionary.take(b.dep.indices.take(pa.array(v))), names.take(pa.array(own, mask=own < 0)), word(np.where(turned, j, i)), word(np.where(turned, i, j)), b.cnt.take(pa.array(b.line[i]))]
+            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RAW.split(", ")])
 
 
 def raw_instances(ngrams: DataFrame, filter_aux: bool = True) -> DataFrame:
     """verb, prep, x, y, cnt of each pair of nouns whose common ancestor is a verb."""
-    rows = common_ancestors(ngrams).withColumn("v", F.expr("get(tokens, lca)")).where("startswith(v.pos, 'VB')")
+    rows = _over(ngrams, _instances, _RAW)
     if filter_aux:
-        rows = rows.where(~F.lower("v.word").isin(*AUXILIARY) & ~F.col("v.dep").isin("aux", "auxpass"))
-    subject = ", ".join(f"'{x}'" for x in SUBJECT)
-    rows = rows.withColumn("pi", F.expr(_preposition("i"))).withColumn("pj", F.expr(_preposition("j")))
-    # with a preposition Y is its noun, else X is the subject, or the first noun
-    x = f"case when pi is not null then j when pj is not null then i when get(tokens, j).dep in ({subject}) and get(tokens, i).dep not in ({subject}) then j else i end"
-    rows = rows.withColumn("x", F.expr(x))
-    word = "lower(get(tokens, {}).word)"
-    return rows.select(
-        F.lower("v.word").alias("verb"),
-        F.coalesce("pi", "pj").alias("prep"),
-        F.expr(word.format("x")).alias("x"),
-        F.expr(word.format("if(x = i, j, i)")).alias("y"),
-        "cnt",
-    )
+        rows = rows.where(~F.lower("verb").isin(*AUXILIARY) & ~F.col("verb_dep").isin("aux", "auxpass"))
+    return rows.select(*[F.lower(c).alias(c) for c in ("verb", "prep", "x", "y")], "cnt")
 
 
 def _as_triples(raw: DataFrame) -> DataFrame:
@@ -97,10 +199,10 @@ def _stemmed(raw: DataFrame, stem_all: bool) -> DataFrame:
 def path_instances(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
     """pid, slot (X or Y), word, cnt and n: two rows for each instance, alike instances (n of them) as one."""
     raw = raw_instances(ngrams, filter_aux).groupBy("verb", "prep", "x", "y", "cnt").agg(F.count(F.lit(1)).alias("n"))
-    return _stemmed(cut(raw), stem_all)
+    return _stemmed(kept(raw), stem_all)
 
 
 def triples(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
     """Summed path instances; sums come before stems, so that fewer words are joined, and n-grams are parsed once."""
     raw = raw_instances(ngrams, filter_aux).groupBy("verb", "prep", "x", "y").agg(F.sum("cnt").alias("cnt"))
-    return _stemmed(cut(raw), stem_all).groupBy("pid", "slot", "word").agg(F.sum("cnt").alias("cnt"))
+    return _stemmed(kept(raw), stem_all).groupBy("pid", "slot", "word").agg(F.sum("cnt").alias("cnt"))

@@ -2,33 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escape_html, fields, hash31, link_or_text, safe_segment, trim_control
+from .scan import running
 
 # Style of the report.
 _STYLE = "body{font-family:Arial,sans-serif;margin:25px;background:#f9f9f9;}h1{color:#333;border-bottom:2px solid #007bff;padding-bottom:8px;}table{width:100%;border-collapse:collapse;margin-top:20px;}th,td{border:1px solid #ddd;padding:8px;text-align:left;}th{background:#007bff;color:white;}.error{background:#fdd;color:#900;font-weight:bold;}"
-#: Line numbers of a list that are numbered together.
-RANGE = 1 << 16
 TERMINAL = ("SUCCEEDED", "FAILED")
 
 
 def parse(lines: DataFrame) -> DataFrame:
     """``lines(task_id, line_no, line)`` -> task_id, sub_task_id, analysis, url.
 
-    Valid lines alone are numbered, from 0: within ranges of ``RANGE`` line
-    numbers, to which the counts of the ranges before are added, so that no task
-    sorts a whole list.
+    Valid lines alone are numbered, from 0, within ranges that follow the lists,
+    so that no task gets a whole list. Lines of one number follow each other by
+    their text.
     """
     f = fields(F.col("line"))
-    rows = lines.where((trim_control(F.col("line")) != "") & (F.size(f) >= 2))
-    rows = rows.withColumn("range", F.floor(F.col("line_no") / F.lit(RANGE)))
-    before = Window.partitionBy("task_id").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy("task_id", "range").agg(F.count(F.lit(1)).alias("size")).select(F.col("task_id").alias("of"), F.col("range").alias("at"), F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"))
-    rows = rows.join(counts, F.col("task_id").eqNullSafe(F.col("of")) & F.col("range").eqNullSafe(F.col("at")))
-    nth = F.row_number().over(Window.partitionBy("task_id", "range").orderBy("line_no")) - 1 + F.col("before")
-    rows = rows.select("task_id", nth.alias("n"), trim_control(F.get(f, F.lit(0))).alias("analysis"), trim_control(F.get(f, F.lit(1))).alias("url"))
+    rows = lines.where((trim_control(F.col("line")) != "") & (F.size(f) >= 2)).select("task_id", "line_no", "line")
+    rows = running(rows, ["task_id"], ["line_no", "line"], {"upto": ("sum", F.lit(1))})
+    rows = rows.select("task_id", (F.col("upto") - 1).alias("n"), trim_control(F.get(f, F.lit(0))).alias("analysis"), trim_control(F.get(f, F.lit(1))).alias("url"))
     return rows.select("task_id", F.concat("task_id", F.lit(":"), F.col("n").cast("string")).alias("sub_task_id"), "analysis", "url")
 
 
@@ -51,8 +46,10 @@ def first_terminal(results: DataFrame) -> DataFrame:
     """The first result of each subtask, by arrival; later ones change nothing.
 
     An aggregate rather than a window, so that a subtask whose result was sent
-    over and over is folded before the shuffle.
+    over and over is folded before the shuffle. A message without a status is no
+    result (it could not be parsed).
     """
+    results = results.where("status is not null")
     rest = [c for c in results.columns if c not in ("task_id", "sub_task_id")]
     folded = results.groupBy("task_id", "sub_task_id").agg(F.min_by(F.struct(*rest), "arrival").alias("r"))
     return folded.select("task_id", "sub_task_id", *[F.col(f"r.{c}").alias(c) for c in rest])
@@ -66,11 +63,15 @@ def progress(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return out.withColumn("complete", F.col("expected") == F.col("completed"))
 
 
+def output_cell() -> Column:
+    """The output key of a result, or its error."""
+    return F.when(F.col("status") == "FAILED", F.concat(F.lit("ERROR: "), F.coalesce("error", F.lit("")))).otherwise(F.coalesce("result", F.lit("")))
+
+
 def summary_rows(tasks: DataFrame, results: DataFrame) -> DataFrame:
     """task_id, sub_task_id, analysis, url and the output key or error of finished subtasks."""
     done = first_terminal(known_results(results, tasks))
-    output = F.when(F.col("status") == "FAILED", F.concat(F.lit("ERROR: "), F.coalesce("error", F.lit("")))).otherwise(F.coalesce("result", F.lit("")))
-    return tasks.join(done, ["task_id", "sub_task_id"]).select("task_id", "sub_task_id", "analysis", "url", output.alias("output"))
+    return tasks.join(done, ["task_id", "sub_task_id"]).select("task_id", "sub_task_id", "analysis", "url", output_cell().alias("output"))
 
 
 def _row(bucket: str) -> Column:

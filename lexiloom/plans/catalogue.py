@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.stem import stem
-from ..functions.text import escape_html, is_http
-from ..operators import evaluation, ledger, mi, ngrams, similarity, tasks, templates
-from ..sources import adapters
-from ..sources.shared import cut
+from ..functions.text import escape_html, is_http, six
+from ..operators import analysis, evaluation, ledger, mi, ngrams, similarity, tasks, templates
+from ..sources import adapters, tables
+from ..sources.shared import cut, new_folder
 from ..sources.tables import read_table
 from .oracles import ORACLE_SQL
 
@@ -160,7 +160,7 @@ def path_whitelist(spark, d):
 
 @_query
 def stem_vocab(spark, d):
-    words = read_table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))).alias("word")).distinct()
+    words = read_table(spark, d, "documents").select(F.explode(F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))).alias("word")).distinct()
     return stem(words)
 
 
@@ -172,30 +172,30 @@ def ngram_tokens(spark, d):
 
 @_query
 def tree_parents(spark, d):
-    rows = ngrams.with_tree(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    rows = ngrams.with_tree(adapters.ngrams_from_documents(spark, d))
     return rows.groupBy(F.array_join(F.transform("parent", lambda p: p.cast("string")), ",").alias("parents")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def token_lca(spark, d):
-    rows = ngrams.common_ancestors(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    rows = ngrams.common_ancestors(adapters.ngrams_from_documents(spark, d))
     return rows.groupBy("i", "j", "lca").agg(F.count(F.lit(1)).alias("n"))
 
 
 @_query
 def path_instances(spark, d):
-    rows = ngrams.path_instances(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    rows = ngrams.path_instances(adapters.ngrams_from_documents(spark, d))
     return rows.groupBy("pid", "slot").agg(F.sum("n").alias("n"), F.sum(F.col("cnt") * F.col("n")).alias("cnt"))
 
 
 @_query
 def triples_ngrams(spark, d):
-    return ngrams.triples(ngrams.parse(adapters.ngrams_from_documents(spark, d)))
+    return ngrams.triples(adapters.ngrams_from_documents(spark, d))
 
 
 @_query
 def mi_ngrams(spark, d):
-    return _rounded(mi.mutual_information(ngrams.triples(ngrams.parse(adapters.ngrams_from_documents(spark, d)))), "mi")
+    return _rounded(mi.mutual_information(ngrams.triples(adapters.ngrams_from_documents(spark, d))), "mi")
 
 
 def _tasks(spark, d):
@@ -261,6 +261,88 @@ def line_analysis(spark, d):
     return tasks.analyze(docs)
 
 
+def _analysed(spark, d, kind):
+    """All documents by one analysis of the models that are fitted to all of them."""
+    docs = adapters.dealt_out(read_table(spark, d, "documents").select("doc_id", "text"))
+    analyser = analysis.fit(docs)
+    return docs, analyser, analysis.analyze(docs.select("doc_id", F.lit(kind).alias("analysis"), "text"), analyser)
+
+
+@_query
+def tagged_words(spark, d):
+    """How often each word of the documents has each tag of the hidden Markov model."""
+    docs, analyser, _ = _analysed(spark, d, "POS")
+    return analysis.tagged(docs, analyser)
+
+
+@_query
+def parsed_constituents(spark, d):
+    return _analysed(spark, d, "CONSTITUENCY")[2]
+
+
+@_query
+def parsed_dependencies(spark, d):
+    return _analysed(spark, d, "DEPENDENCY")[2]
+
+
+@_query
+def fetched_documents(spark, d):
+    """The page of each subtask's address, or the error of its result."""
+    pages = read_table(spark, d, "pages").select("url", F.col("html").alias("text"))
+    rows = tasks.fetch(_tasks(spark, d), pages)
+    failed = F.when(F.col("text").isNull(), F.concat(F.lit("Failed to download file from URL: "), F.col("url")))
+    return rows.select("task_id", "sub_task_id", "url", "text", failed.alias("error"))
+
+
+@_query
+def triples_round_trip(spark, d):
+    """Triples written as text and read back."""
+    path = new_folder(spark, "triples")
+    tables.write_tsv(mi.aggregate(adapters.triples_from_lineitem(spark, d)), path)
+    return tables.read_triples(spark, path)
+
+
+@_query
+def mi_round_trip(spark, d):
+    """Mutual information written as text and read back: the last of repeated rows, and the sums of all."""
+    path = new_folder(spark, "mi")
+    rows = _rounded(mi.mutual_information(adapters.triples_from_events(spark, d)), "mi").select("pid", "slot", "word", "mi", "cnt")
+    tables.write_tsv(rows.unionByName(rows), path)
+    held = tables.read_mi(spark, path)
+    sums = held.groupBy("pid", "slot").agg(F.round(F.sum("mi"), 6).alias("total"))
+    return similarity.vectors(held).select("pid", "slot", "word", "mi").join(sums, ["pid", "slot"])
+
+
+@_query
+def pairs_round_trip(spark, d):
+    """Positive and negative pairs written as text and read back in order, and their templates as a whitelist."""
+    path, pairs = new_folder(spark, "pairs"), _pairs(_lines(spark, d))
+    for label, name in ((1, "pos"), (0, "neg")):
+        tables.write_tsv(pairs.where(F.col("label") == label).orderBy("ord").select("lhs", "rhs"), f"{path}/{name}", one_file=True)
+    tables.write_tsv(templates.whitelist(pairs), f"{path}/paths")
+    read = tables.read_pairs(spark, f"{path}/pos", f"{path}/neg")
+    known = tables.read_paths(spark, f"{path}/paths").select(F.col("pid").alias("lhs"), F.lit(True).alias("listed"))
+    return read.join(known, "lhs", "left").select("ord", "lhs", "rhs", "label", F.coalesce("listed", F.lit(False)).alias("listed"))
+
+
+@_query
+def scores_round_trip(spark, d):
+    """Scores written as text and read back as those of an earlier run."""
+    path = new_folder(spark, "scores")
+    rows = _scores(spark, d).orderBy("ord").select("lhs", "rhs", "label", "norm_lhs", "norm_rhs", six(F.col("score")).alias("score"))
+    tables.write_tsv(rows, path, header=True, one_file=True)
+    return tables.read_scores(spark, path)
+
+
+@_query
+def reports_round_trip(spark, d):
+    """Reports written under their keys and read back as files."""
+    path = new_folder(spark, "reports")
+    tables.write_reports(html_report(spark, d), path)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    return files.select(F.regexp_extract("path", "(reports/[^/]+/summary[.]html)$", 1).alias("report_key"), F.col("content").cast("string").alias("html"))
+
+
 @_query
 def dispatch_plan(spark, d):
     states = adapters.subtask_states(spark, d)

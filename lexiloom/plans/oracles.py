@@ -93,7 +93,7 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY CASE WHEN
 _WINDOWS = """
 win AS (
   SELECT doc_id, w[k] AS w0, w[k + 1] AS w1, w[k + 2] AS w2, w[k + 3] AS w3, 1 + doc_id % 7 AS cnt
-  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z]+') AS w FROM documents)))"""
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 2)) AS k FROM (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+') AS w FROM documents)))"""
 _RAW = _WINDOWS + """,
 raw AS (
   SELECT w1 AS verb, CASE doc_id % 4 WHEN 1 THEN w2 WHEN 2 THEN 'with' END AS prep, w0 AS x, CASE WHEN doc_id % 4 IN (1, 2) THEN w3 ELSE w2 END AS y, cnt
@@ -244,7 +244,7 @@ SELECT category, rank, r.lhs, r.rhs, r.label, printf('%.6f', r.score) AS score,
 FROM ranked r LEFT JOIN earlier e ON e.ord = r.ord WHERE rank <= 5""",
     "template_norm": f"{_BASE} SELECT template, pid, swapped, logical FROM norms",
     "path_whitelist": f"{_BASE} SELECT DISTINCT pid FROM norms",
-    "stem_vocab": "WITH vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) " + stem_sql("vocab"),
+    "stem_vocab": "WITH vocab AS (SELECT DISTINCT unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{L}+')) AS word FROM documents) " + stem_sql("vocab"),
     "ngram_tokens": f"""WITH {_WINDOWS},
 tok AS (
   SELECT cnt, unnest(CASE doc_id % 4
@@ -281,6 +281,14 @@ FROM summary GROUP BY task_id""",
   lambda x: concat('INPUT: ', x, chr(10), 'OUTPUT: ', CASE doc_id % 4 WHEN 0 THEN array_to_string(list_transform({_words("x")}, lambda w: concat(w, ' (', {_TAG}, ') ')), '')
     WHEN 1 THEN {_constituency("x")} WHEN 2 THEN {_dependency("x")} ELSE 'Unknown analysis type: SENTIMENT' END, chr(10), chr(10))), '') AS output
 FROM documents""",
+    "fetched_documents": f"""WITH {_TASKS}, held AS (SELECT url, max(html) AS text FROM pages WHERE url IS NOT NULL GROUP BY url)
+SELECT task_id, sub_task_id, t.url AS url, text, CASE WHEN text IS NULL THEN concat('Failed to download file from URL: ', t.url) END AS error FROM tasks t LEFT JOIN held h ON h.url = t.url""",
+    "triples_round_trip": f"SELECT pid, slot, word, sum(cnt)::BIGINT AS cnt FROM ({_LINES}) GROUP BY ALL",
+    "mi_round_trip": f"WITH {_mi(_EVENTS)} SELECT pid, slot, word, round(mi, 6) AS mi, round(sum(2 * round(mi, 6)) OVER (PARTITION BY pid, slot), 6) AS total FROM mi",
+    "pairs_round_trip": f"""{_BASE}
+SELECT (row_number() OVER (PARTITION BY label ORDER BY p.ord) - 1 + CASE label WHEN 1 THEN 0 ELSE 1099511627776 END)::BIGINT AS ord, lhs, rhs, label, lhs IN (SELECT pid FROM norms) AS listed FROM pairs p""",
+    "scores_round_trip": f"{_BASE}, {_scores()} SELECT lhs, rhs, label, score FROM scores",
+    "reports_round_trip": "",
     "dispatch_plan": """WITH s AS (
   SELECT concat('job-', user_id % 20) AS task_id, concat('job-', user_id % 20, ':', event_id) AS sub_task_id, event_id % 5 AS k, ts, (SELECT max(ts) - INTERVAL 6 HOUR FROM events) AS now FROM events)
 SELECT task_id, sub_task_id, CASE k WHEN 0 THEN 'pending' WHEN 1 THEN 'stale' ELSE 'expired' END AS reason FROM s
@@ -294,3 +302,4 @@ SELECT task_id, created, CASE WHEN status = 'FINALIZING' THEN 'finalize' WHEN st
   parsed AND completed = expected AND (status = 'RUNNING' OR (status = 'FINALIZING' AND expires < now)) AS ready
 FROM open_jobs, now""",
 }
+ORACLE_SQL["reports_round_trip"] = ORACLE_SQL["html_report"].replace("SELECT task_id, concat('reports/'", "SELECT concat('reports/'", 1)

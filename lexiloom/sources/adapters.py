@@ -29,7 +29,7 @@ def triples_from_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _two_slots(lines.join(part, "l_partkey").join(supplier, "l_suppkey").select("pid", "x", "y", "cnt"))
 
 
-def _dealt_out(docs: DataFrame) -> DataFrame:
+def dealt_out(docs: DataFrame) -> DataFrame:
     """``docs`` over all cores where the files have fewer parts than that: each row becomes thousands."""
     wanted = 2 * docs.sparkSession.sparkContext.defaultParallelism
     return docs if docs.rdd.getNumPartitions() >= wanted else docs.repartition(wanted)
@@ -37,11 +37,12 @@ def _dealt_out(docs: DataFrame) -> DataFrame:
 
 def ngrams_from_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines in the n-gram format from every window of four words of every text."""
-    docs = _dealt_out(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[a-z]+"), F.lit(0))
-    four = "transform(sequence(1, size(w) - 3), k -> slice(w, k, 4))"  # cut before the explode, which copies whole arrays
-    window = docs.select("doc_id", words.alias("w")).where("size(w) >= 4").select("doc_id", F.explode(F.expr(four)).alias("v"))
-    w = [F.get("v", F.lit(i)) for i in range(4)]
+    docs = dealt_out(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit(r"\p{L}+"), F.lit(0))
+    # neighbours side by side, cut before the explode, which copies whole arrays
+    four = F.arrays_zip(*[F.slice("w", i + 1, F.size("w") - 3).alias(f"w{i}") for i in range(4)])
+    window = docs.select("doc_id", words.alias("w")).where("size(w) >= 4").select("doc_id", F.explode(four).alias("v")).select("doc_id", "v.*")
+    w = [F.col(c) for c in window.columns[1:]]
     forms = [
         F.concat(w[0], F.lit("/NN/nsubj/2 "), w[1], F.lit("/VBD/ROOT/0 "), w[2], F.lit("/NN/dobj/2")),
         F.concat(w[0], F.lit("/NN/nsubj/2 "), w[1], F.lit("/VBD/ROOT/0 "), w[2], F.lit("/IN/prep/2 "), w[3], F.lit("/NN/pobj/3")),

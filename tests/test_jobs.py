@@ -1,5 +1,6 @@
 """Task lists, keys, reports, leases, and streams against batch."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from lexiloom.functions.text import hash31, is_http
@@ -18,8 +19,7 @@ def test_task_lists(spark):
     assert [(r.sub_task_id, r.analysis) for r in rows] == [("job-1:0", "POS"), ("job-1:1", "POS")]
 
 
-def test_task_lists_by_ranges(spark, monkeypatch):
-    monkeypatch.setattr(tasks, "RANGE", 3)
+def test_task_lists_by_ranges(spark, many_ranges):
     lines = [(job, i, "  " if i % 4 == 1 else f"POS\tu{i}") for job in ("a", "b") for i in range(20) if (job, i % 7) != ("b", 2)]
     rows = tasks.parse(spark.createDataFrame(lines, "task_id string, line_no bigint, line string").repartition(5)).collect()
     want = {}
@@ -67,13 +67,18 @@ def test_leases():
 
 def test_leases_hold_no_group(spark):
     events = adapters.ledger_events(spark, SF)
-    want = [ledger.run(key, own, Subtask()) for key, own in events.toPandas().groupby(ledger.KEY)]
+    want = []
+    for key, own in events.toPandas().groupby(ledger.KEY):
+        state = Subtask()
+        for e in own.sort_values(["at", "seq"]).itertuples(index=False):
+            outcome = step(state, e.kind, e.at, e.actor, e.lease, bool(e.success))
+            want.append((*key, e.seq, e.at, e.kind, outcome, state.status, state.owner, state.attempts))
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     folded = ledger.fold(events)
     got = folded.collect()
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
-    assert sorted(map(tuple, got)) == sorted(tuple(r) for own in want for r in own.itertuples(index=False))
+    assert sorted(map(tuple, got)) == sorted(want)
     assert "InPandas" in (plan := folded._jdf.queryExecution().toString()) and "GroupsInPandas" not in plan
 
 
@@ -88,6 +93,35 @@ def test_streams_equal_batch(spark, tmp_path):
     assert sorted(first.select("sub_task_id", "arrival.event_id").collect()) == sorted(batch.collect())
 
 
+def test_leases_of_a_stream_onto_held_states(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(jobs, "COMPACT", 3)
+    events = adapters.ledger_events(spark, SF).orderBy("at", "seq").toPandas()
+    size = len(events) // 8 + 1
+    for i in range(8):
+        spark.createDataFrame(events[i * size : (i + 1) * size]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events")
+    out = jobs.lease_outcomes(jobs.stream_table(spark, f"{tmp_path}/events"), f"{tmp_path}/out", f"{tmp_path}/cp")
+    want = ledger.fold(spark.createDataFrame(events))
+    assert sorted(out.collect()) == sorted(want.collect())
+    states = sorted(map(tuple, jobs.lease_states(spark, f"{tmp_path}/out", 7).collect()))
+    whole = ledger.fold_onto(spark.createDataFrame(events), jobs.lease_states(spark, f"{tmp_path}/none", -1))
+    assert states == sorted(map(tuple, ledger.states_after(whole).collect())) and len(states) > 40
+    folders = {p.name for p in (tmp_path / "out" / "states").iterdir()}
+    assert folders == {"all=3", "batch=4", "batch=5", "all=6", "batch=7"}  # old ones are gone
+    gone = jobs.expired_leases(spark, f"{tmp_path}/out").collect()
+    late = {(r.task_id, r.sub_task_id) for r in ledger.expired(jobs.lease_states(spark, f"{tmp_path}/out", 7), F.lit(float(events["at"].max()))).collect()}
+    assert late <= {(r.task_id, r.sub_task_id) for r in gone} and late
+
+
+def test_a_hot_subtask_of_a_stream(spark, tmp_path):
+    kinds = F.array(*[F.lit(k) for k in ("claim", "renew", "dispatch", "renew", "claim", "create")])
+    rows = spark.range(0, 300_000, 1, 8).select(F.lit("j").alias("task_id"), F.lit("j:0").alias("sub_task_id"), F.col("id").alias("seq"), F.col("id").cast("double").alias("at"), F.get(kinds, F.pmod(F.xxhash64("id"), F.lit(6)).cast("int")).alias("kind"), F.concat(F.lit("w"), (F.col("id") % 2).cast("string")).alias("actor"), F.lit(5.0).alias("lease"), F.lit(True).alias("success"))
+    rows.where("id < 200000").write.parquet(f"{tmp_path}/in")
+    rows.where("id >= 200000").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    out = jobs.lease_outcomes(jobs.stream_table(spark, f"{tmp_path}/in", 100), f"{tmp_path}/out", f"{tmp_path}/cp")
+    digest = lambda df: df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64(*df.columns))).first()
+    assert digest(out.select(*ledger.fold(rows).columns)) == digest(ledger.fold(rows))
+
+
 def test_worker_actions(spark):
     rows = [(False, None, False, None, True, "keep"), (True, "OWNED_BY_ANOTHER_WORKER", False, None, True, "delay"), (True, "ALREADY_TERMINAL", False, None, True, "delete"), (True, "CLAIMED", True, None, True, "keep"), (True, "CLAIMED", False, "STALE_OWNER", True, "keep"), (True, "CLAIMED", False, "COMPLETED", False, "report failure, delete")]
     df = spark.createDataFrame(rows, "parsed boolean, claim string, lost boolean, completion string, success boolean, want string")
@@ -95,7 +129,15 @@ def test_worker_actions(spark):
     assert (tasks.workers_needed(10, 3, 1, 7), tasks.workers_needed(100, 1, 2, 7), tasks.workers_needed(1, 1, 5, 7)) == (3, 5, 0)
 
 
-def test_reports_of_a_stream(spark, tmp_path):
+@pytest.fixture
+def rocks(spark):
+    before = spark.conf.get(jobs._PROVIDER)
+    spark.conf.set(jobs._PROVIDER, jobs._ROCKS)
+    yield
+    spark.conf.set(jobs._PROVIDER, before)
+
+
+def test_reports_of_a_stream(spark, tmp_path, rocks):
     known = spark.createDataFrame([(f"j{j}", f"j{j}:{n}", "POS", "u") for j in range(4) for n in range(2)], "task_id string, sub_task_id string, analysis string, url string")
     schema = "task_id string, sub_task_id string, arrival int, status string, result string, error string"
     batches = [[("j0", 0), ("j1", 0)], [("j0", 1), ("j0", 1), ("j2", 0)], [("j0", 0), ("j1", 1), ("j9", 1)], [("j2", 0), ("j2", 1), ("j1", 1)]]
@@ -105,6 +147,7 @@ def test_reports_of_a_stream(spark, tmp_path):
     got = jobs.reports(jobs.stream_table(spark, f"{tmp_path}/in"), known, "b", f"{tmp_path}/out", f"{tmp_path}/cp")
     every = tasks.html_report(tasks.summary_rows(known, spark.read.parquet(f"{tmp_path}/in")), "b").where("task_id != 'j3'")
     assert sorted(map(tuple, got.select("task_id", "report_key", "html").collect())) == sorted(map(tuple, every.collect()))
+    assert {p.name for p in (tmp_path / "out").iterdir()} == {"reports"}  # no results are kept to be read again
     written = [len(spark.read.parquet(str(p)).collect()) for p in sorted((tmp_path / "out" / "reports").iterdir())]
     assert sum(written) == 3 and max(written) == 1  # each once, in the batch that completes it
 
@@ -114,7 +157,7 @@ def test_messages(spark):
         return spark.createDataFrame([(t,) for t in texts], "value string")
 
     got = jobs.worker_results(lines('{"type":"jobDone","taskId":"j","subTaskId":"j:0","result":"k"}', '{"type":"jobFailed","taskId":"j","subTaskId":"j:1"}', '{"type":"jobDone","taskId":"j"}', "no json")).collect()
-    assert [(r.sub_task_id, r.status, r.result, r.error, r.parsed) for r in got] == [("j:0", "SUCCEEDED", "k", "", True), ("j:1", "FAILED", "", "", True), (None, "SUCCEEDED", "", "", False), (None, "FAILED", "", "", False)]
+    assert [(r.sub_task_id, r.status, r.result, r.error, r.parsed) for r in got] == [("j:0", "SUCCEEDED", "k", "", True), ("j:1", "FAILED", "", "", True), (None, None, "", "", False), (None, None, "", "", False)]
     got = jobs.worker_tasks(lines('{"taskId":"j","url":"u","analysis":"POS"}', '{"taskId":"j","subTaskId":"j:3","url":"u"}')).collect()
     assert [(r.sub_task_id, r.parsed) for r in got] == [("j", True), ("j:3", False)]
     text = lines('{"type":"newTask","taskId":"j","s3Bucket":"b"}', '{"type":"newTask","taskId":" "}', '{"type":"x","taskId":"j"}')

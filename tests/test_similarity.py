@@ -107,10 +107,19 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["filter-mi", "--mi", f"{t}/mi", "--paths", f"{t}/paths", "--output", f"{t}/few"]) == 0
     assert cli.run(spark, ["score-eval", "--mi", f"{t}/few", "--pos", f"{t}/pos.txt", "--neg", f"{t}/neg.txt", "--out", f"{t}/eval"]) == 0
     assert [r[5] for r in spark.read.csv(f"{t}/eval/scores", sep="\t", header=True).collect()][:2] == ["0.501477", "0.801646"]
-    assert cli.run(spark, ["no-such-command"]) == 2
+    bare = ["score-eval", "--useMaxSwap", "--mi", f"{t}/few", "--pos", f"{t}/pos.txt", "--neg", f"{t}/neg.txt", "--unknown", "x", "--output", f"{t}/swapped"]
+    assert cli.run(spark, bare) == 0
+    assert [r[5] for r in spark.read.csv(f"{t}/swapped/scores", sep="\t", header=True).collect()][3] == "0.801646"
+    assert cli.run(spark, ["no-such-command"]) == cli.run(spark, []) == cli.run(spark, ["filter-mi", "--mi", "x"]) == 2
 
 
-def test_sweep_of_any_scores(spark):
+def test_options():
+    assert cli.options(["x", "--a", "1", "2", "--b", "--c", "--a", "3"]) == {"a": "3", "b": "true", "c": "true"}
+    a = cli.arguments(["extract-triples", "--input", "i", "--output", "o", "--stemAll", "False"])
+    assert (a.stemAll, a.filterAux, a.exclude) == ("False", "true", None)
+
+
+def test_sweep_of_any_scores(spark, many_ranges):
     rule = random.Random(8)
     scores = [(rule.choice([rule.random(), rule.random() * 3 - 1, round(rule.random(), 2), 0.0, 1.0, float("nan")]), rule.randrange(2)) for _ in range(400)]
     got = evaluation.sweep(spark.createDataFrame(scores, "score double, label int")).collect()
@@ -134,6 +143,20 @@ def test_last_of_repeated_rows_by_place_in_the_file(spark, tmp_path):
     assert got == {f"w{i % 50}": i + 1.5 for i in range(3950, 4000)}
 
 
+def test_lines_are_numbered_by_many_tasks(spark, tmp_path):
+    text = {name: [f"{name} {i} " + "x" * (i % 37) for i in range(n)] for name, n in (("b.txt", 3000), ("a.txt", 1), ("c.txt", 500))}
+    for name, own in text.items():
+        (tmp_path / name).write_bytes((b"\r\n" if name == "c.txt" else b"\n").join(x.encode() for x in own))
+    (tmp_path / "d.txt").write_text("")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    rows = tables.numbered_lines(spark, str(tmp_path))
+    assert tables.text_lines(spark, str(tmp_path)).rdd.getNumPartitions() > 10
+    got = sorted((r.ord, r.line, r.value) for r in rows.collect())
+    spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(n, i, x) for n, (i, x) in enumerate((i, x) for name in sorted(text) for i, x in enumerate(text[name]))]
+
+
 def test_command_line_of_earlier_scores_and_jobs(spark, tmp_path):
     t = str(tmp_path)
     (tmp_path / "in.txt").write_text("\n".join(LINES))
@@ -153,5 +176,5 @@ def test_command_line_of_earlier_scores_and_jobs(spark, tmp_path):
     done = spark.createDataFrame([("j", f"j:{n}", n, "SUCCEEDED", f"results/{n}.txt", None) for n in range(2)], "task_id string, sub_task_id string, arrival int, status string, result string, error string")
     done.write.parquet(f"{t}/results")
     assert cli.run(spark, ["report", "--tasks", f"{t}/tasks", "--results", f"{t}/results", "--bucket", "b", "--output", f"{t}/reports"]) == 0
-    (report,) = spark.read.text(f"{t}/reports", wholetext=True).collect()
-    assert report.report_key == "reports/j/summary.html" and report.value.count("View Output") == 2
+    (report,) = (p for p in (tmp_path / "reports").rglob("*") if p.is_file())
+    assert str(report.relative_to(tmp_path / "reports")) == "reports/j/summary.html" and report.read_text().count("View Output") == 2
