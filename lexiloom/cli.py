@@ -18,7 +18,8 @@ from .sources.shared import cut
 COMMANDS: dict[str, tuple[tuple[str, ...], dict[str, str | None]]] = {
     "extract-triples": (("input", "output"), {"stemAll": "true", "filterAux": "true", "exclude": None}),
     "global-counts": (("input", "output"), {}),
-    "compute-mi": (("triples", "output"), {"paths": None}),
+    "store-triples": (("triples", "output"), {}),
+    "compute-mi": (("output",), {"triples": None, "stored": None, "paths": None}),
     "make-test-path-list": (("pos", "neg", "output"), {}),
     "filter-mi": (("mi", "paths", "output"), {}),
     "score-eval": (("mi", "pos", "neg", "out"), {"compareWith": None, "useMaxSwap": "false"}),
@@ -47,6 +48,8 @@ def arguments(argv: list[str]) -> SimpleNamespace:
     given = options(argv[1:])
     if "out" in required:
         given.setdefault("out", given.get("output"))
+    if argv[0] == "compute-mi" and "stored" not in given:
+        required += ("triples",)
     if missing := [f"--{r}" for r in required if given.get(r) is None]:
         raise ValueError(f"{argv[0]} needs {', '.join(missing)}")
     return SimpleNamespace(command=argv[0], **optional | {k: v for k, v in given.items() if k in required or k in optional})
@@ -70,9 +73,12 @@ def run(spark: SparkSession, argv: list[str]) -> int:
         counts = mi.slot_word_counts(tables.read_triples(spark, a.input))
         tables.write_tsv(counts, f"{a.output}/slot_word")
         tables.write_tsv(mi.slot_totals(counts), f"{a.output}/slot_totals", one_file=True)
+    elif a.command == "store-triples":
+        mi.store(tables.read_triples(spark, a.triples), a.output)
     elif a.command == "compute-mi":
         paths = tables.read_paths(spark, a.paths) if a.paths else None
-        tables.write_tsv(mi.mutual_information(tables.read_triples(spark, a.triples), paths), a.output)
+        out = mi.of_stored(spark, a.stored, paths) if a.stored else mi.mutual_information(tables.read_triples(spark, a.triples), paths)
+        tables.write_tsv(out, a.output)
     elif a.command == "make-test-path-list":
         tables.write_tsv(templates.whitelist(tables.read_pairs(spark, a.pos, a.neg)).orderBy("pid"), a.output, one_file=True)
     elif a.command == "filter-mi":

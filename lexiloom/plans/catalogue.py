@@ -39,6 +39,14 @@ def mi_lineitem(spark, d):
     return _rounded(mi.mutual_information(adapters.triples_from_lineitem(spark, d)), "mi")
 
 
+@_query
+def mi_stored(spark, d):
+    """From triples that are stored beside their marginals: a scan alone."""
+    path = new_folder(spark, "marginals")
+    mi.store(adapters.triples_from_lineitem(spark, d), path)
+    return _rounded(mi.of_stored(spark, path), "mi")
+
+
 @_query
 def triples_agg(spark, d):
     return mi.aggregate(adapters.triples_from_events(spark, d))

@@ -219,6 +219,7 @@ def _dependency(x: str) -> str:
 ORACLE_SQL: dict[str, str] = {
     "mi_events": _mi_query(_EVENTS),
     "mi_lineitem": _mi_query(_LINES),
+    "mi_stored": _mi_query(_LINES),
     "triples_agg": f"SELECT pid, slot, word, sum(cnt)::BIGINT AS cnt FROM ({_EVENTS}) GROUP BY ALL",
     "slot_word_counts": f"SELECT slot, word, sum(cnt)::BIGINT AS c FROM ({_LINES}) GROUP BY ALL",
     "slot_totals": f"SELECT slot, sum(cnt)::BIGINT AS d FROM ({_EVENTS}) GROUP BY ALL",

@@ -39,6 +39,16 @@ def test_worked_example(spark):
     assert got["X at Y", "Y", "fish"] == (2.917771, 2)
 
 
+def test_stored_marginals_are_scanned_alone(spark, tmp_path):
+    triples = ngrams.triples(lines(spark))
+    mi.store(triples, str(tmp_path / "m"))
+    got = mi.of_stored(spark, str(tmp_path / "m"))
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(got.collect()) == sorted(mi.mutual_information(triples).collect())
+    listed = spark.createDataFrame([("X caus Y",), ("X no Y",)], "pid string")
+    assert sorted(mi.of_stored(spark, str(tmp_path / "m"), listed).collect()) == sorted(mi.mutual_information(triples, listed).collect())
+
+
 def test_scores_and_evaluation(spark):
     table = mi.mutual_information(ngrams.triples(ngrams.parse(lines(spark)))).cache()
     scores = similarity.path_similarity(table, pairs(spark)).cache()
@@ -103,6 +113,9 @@ def test_command_line(spark, tmp_path):
     assert cli.run(spark, ["extract-triples", "--input", f"{t}/in.txt", "--output", f"{t}/triples"]) == 0
     assert cli.run(spark, ["global-counts", "--input", f"{t}/triples", "--output", f"{t}/counts"]) == 0
     assert cli.run(spark, ["compute-mi", "--triples", f"{t}/triples", "--output", f"{t}/mi"]) == 0
+    assert cli.run(spark, ["store-triples", "--triples", f"{t}/triples", "--output", f"{t}/stored"]) == 0
+    assert cli.run(spark, ["compute-mi", "--stored", f"{t}/stored", "--output", f"{t}/mi2"]) == 0 and cli.run(spark, ["compute-mi", "--output", "x"]) == 2
+    assert sorted(spark.read.text(f"{t}/mi2").collect()) == sorted(spark.read.text(f"{t}/mi").collect())
     assert cli.run(spark, ["make-test-path-list", "--pos", f"{t}/pos.txt", "--neg", f"{t}/neg.txt", "--output", f"{t}/paths"]) == 0
     assert cli.run(spark, ["filter-mi", "--mi", f"{t}/mi", "--paths", f"{t}/paths", "--output", f"{t}/few"]) == 0
     assert cli.run(spark, ["score-eval", "--mi", f"{t}/few", "--pos", f"{t}/pos.txt", "--neg", f"{t}/neg.txt", "--out", f"{t}/eval"]) == 0
