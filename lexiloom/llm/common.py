@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import cut, new_folder, shared_dir
 
 __all__ = ["FLAGS", "bounded_batches", "cut", "flag_bits", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
 
@@ -17,20 +15,16 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-_BATCH, _SPARKS_OWN = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most, where the session does not set another bound.
+    """Arrow batches of 8 MB at most, where neither the session nor its configuration sets a bound.
 
     Spark's own 64 MB take a worker several hundred megabytes as Python strings.
+    The bound stays for the session, as plans read it when they run.
     """
-    if spark.conf.get(_BATCH) == _SPARKS_OWN:
+    if _BATCH not in spark.conf.getAll:
         spark.conf.set(_BATCH, "8m")
 
 
