@@ -14,11 +14,14 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_batches, cut, new_folder, one_task_a_file, whole_text
+from .common import bounded_batches, cut, flag_bits, new_folder, one_task_a_file, whole_text
 from .files import create, stream
 
 #: Code points of a payload chunk that is written, bytes of one that is read.
@@ -38,23 +41,33 @@ def chunk_table(pages: DataFrame, least: int = LEAST) -> DataFrame:
     page_id is never the larger; rows that repeat a page_id with its payload are
     alike. Null html is an empty payload, null url an empty address.
     """
+    spark = pages.sparkSession
     html = whole_text("html")
-    size, same = F.octet_length(html).cast("bigint"), F.sha2(html, 256)
+    size, digest = F.octet_length(html).cast("bigint"), F.sha1(html.cast("binary"))
+    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), size.alias("n_bytes"), digest.alias("digest"), F.concat_ws(":", digest, F.xxhash64(html).cast("string"), size.cast("string")).alias("same"))
     # narrow: of payloads that are large enough and there more than once, which page keeps it
-    large = pages.select("page_id", size.alias("n_bytes"), same.alias("same")).where(F.col("n_bytes") >= least)
-    chosen = large.groupBy("same").agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "keep")
-    # a payload that needs no partner has a key of its own, so that equal small ones don't meet
-    key = F.when(size >= least, same).otherwise(F.concat(F.lit("small "), F.coalesce(F.xxhash64("page_id", "url").cast("string"), F.lit(""))))
-    base = pages.select("page_id", F.coalesce("url", F.lit("")).alias("url"), html.alias("html"), size.alias("n_bytes"), F.sha1(html.cast("binary")).alias("digest"), key.alias("same"))
+    large = base.where(F.col("n_bytes") >= least).groupBy("same")
+    chosen = cut(large.agg(F.max("page_id").alias("keep"), F.count(F.lit(1)).alias("n")).where("n > 1").select("same", "keep"))
+    shared = spark.sparkContext.broadcast(flag_bits(chosen, F.xxhash64("same")))
+
+    def flagged(hashes: pa.Array) -> pa.Array:
+        bits = np.frombuffer(shared.value, np.uint8)
+        bucket = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(8 * len(bits) - 1)
+        return pa.array((bits[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+
+    # only pages that may have a partner are sent to it; the others stay where they are
+    seen = base.withColumn("partner", (F.col("n_bytes") >= least) & arrow_udf(flagged, "boolean")(F.xxhash64("same")))
+    met = seen.where("partner").join(chosen, "same", "left")
+    alone = seen.where("not partner").withColumn("keep", F.lit(None).cast(pages.schema["page_id"].dataType))
     marked = (
-        base.join(chosen, "same", "left")
+        met.select(alone.columns)
+        .unionByName(alone)
         .withColumn("revisit", F.col("keep").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("keep")))
         .select("page_id", "url", "n_bytes", "digest", F.when(F.col("revisit"), F.col("keep")).alias("refers_to"), F.when(~F.col("revisit"), F.col("html")).otherwise("").alias("html"))
     )
-    starts = F.sequence(F.lit(0), F.expr(f"greatest(length(html) - 1, 0) div {CHUNK}"))
-    return marked.select("page_id", "url", "n_bytes", "digest", "refers_to", "html", F.explode(starts).alias("chunk_no")).select(
-        "page_id", "url", "n_bytes", "digest", "refers_to", "chunk_no", F.expr(f"substring(html, cast(chunk_no * {CHUNK} + 1 as int), {CHUNK})").cast("binary").alias("data")
-    )
+    pieces = F.regexp_extract_all("html", F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0))  # in one pass over the payload
+    pieces = F.when(F.col("html") == "", F.array(F.lit(""))).otherwise(pieces)
+    return marked.select("page_id", "url", "n_bytes", "digest", "refers_to", F.posexplode(pieces).alias("chunk_no", "data")).select("page_id", "url", "n_bytes", "digest", "refers_to", F.col("chunk_no").cast("bigint").alias("chunk_no"), F.col("data").cast("binary").alias("data"))
 
 
 def _header(row, http: bytes) -> bytes:
