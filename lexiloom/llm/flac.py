@@ -30,7 +30,7 @@ RATE = 8000
 LANES, WRITTEN = 1024, 128
 ORDER = 12
 PRECISION = 10
-#: Bytes of a seek table are fewer.
+#: Bytes of a seek table are fewer: the format's length field has 24 bits. PCM blocks have every offset all the same.
 SEEK_BYTES = 1 << 24
 _CODE = {192: 1, 576: 2, 1152: 3, 2304: 4, 4608: 5}
 #: The format's fixed predictors, by order.
@@ -526,6 +526,9 @@ def store_media(docs: DataFrame, folder: str | None = None) -> DataFrame:
     """Write the media column of ``docs`` to a table below the shared folder; returns that table.
 
     Equal streams near each other take little room in it, as pages are compressed.
+    Null text is stored as an empty payload; rows with null or repeated ids are
+    rows of their own; an empty table gives an empty one; other columns are not
+    stored.
     """
     folder = folder or new_folder(docs.sparkSession, "media")
     to_media(docs).write.option("compression", "zstd").option("parquet.compression.codec.zstd.level", "9").parquet(folder)

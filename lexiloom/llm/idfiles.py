@@ -251,7 +251,10 @@ def write_id_files(docs: DataFrame, folder: str | None = None, tokenizer: str |
 
     Each document's ids are followed by id 0. Returns the manifest: path,
     n_docs, n_ids, first_id (ids in the files before) and dictionary (path, or
-    null if the documents are too few to train one).
+    null if the documents are too few to train one). doc_id is cast to bigint: an
+    id that is no number raises (or counts as null, without ANSI mode). Null text
+    is empty; null ids come first; rows that repeat an id follow each other by
+    text; an empty table gives a manifest without files.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "ids")
@@ -336,7 +339,7 @@ def _rows_of(manifest: DataFrame, last: str, value) -> DataFrame:
 
 
 def read_id_files(manifest: DataFrame) -> DataFrame:
-    """Manifest -> doc_id, start (ids of all documents before it), n_tokens, ids."""
+    """Manifest -> doc_id, start (ids of all documents before it), n_tokens, ids; a row for each document written, none for an empty manifest."""
     return _rows_of(manifest, "ids array<bigint>", lambda ids: ids.astype(np.int64))
 
 

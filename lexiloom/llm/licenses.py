@@ -198,11 +198,21 @@ def _sql_canonical(value: str) -> str:
 
 def oracle_sql() -> str:
     """The same rows over ``documents`` for DuckDB."""
-    values = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, text in KNOWN)
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    values = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, text in KNOWN)
+    titled = ", ".join(f"({quoted(name)}, {quoted(title + chr(10))}, {quoted(body)})" for name, titles, body in SHORT for title in ("", *titles))
+    folder = str(resources.files(__package__) / "license_texts")
+    wrapped = r"regexp_replace(body, '(\S)[ \t]*\n([ \t]*\S)', '\1 \2', 'g')"
     return f"""
-WITH known AS (
-  SELECT sha256(c) AS digest, min(license) AS license
-  FROM (SELECT license, {_sql_canonical("body")} AS c FROM (VALUES {values}) t(license, body)) WHERE c <> '' GROUP BY 1),
+WITH files AS (SELECT regexp_extract(filename, '([^/]+)[.]txt$', 1) AS license, content AS body FROM read_text('{folder}/*.txt')),
+terms AS (SELECT license, body FROM files UNION ALL SELECT license, body[:strpos(body, 'END OF TERMS AND CONDITIONS') + 26] FROM files WHERE contains(body, 'END OF TERMS AND CONDITIONS')),
+once AS (SELECT license, {wrapped} AS body FROM terms),
+shapes AS (SELECT license, body FROM terms UNION ALL SELECT license, {wrapped} FROM once),
+entire AS (
+  SELECT license, unnest([body, replace(body, 'http://', 'https://'), replace(body, 'https://', 'http://')]) AS body FROM shapes
+  UNION ALL SELECT license, unnest([title || body, title || 'All rights reserved.' || chr(10) || body, title || repeat('All rights reserved.' || chr(10), 2) || body]) FROM (VALUES {titled}) t(license, title, body)
+  UNION ALL SELECT * FROM (VALUES {values}) t(license, body)),
+known AS (SELECT sha256(c) AS digest, min(license) AS license FROM (SELECT license, {_sql_canonical("body")} AS c FROM entire) WHERE c <> '' GROUP BY 1),
 docs AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS body FROM documents),
 lines AS (SELECT rid, unnest(string_split(body, chr(10))) AS line FROM docs),
 hits AS (

@@ -289,7 +289,9 @@ def sanitize(docs: DataFrame, **how) -> DataFrame:
     Base spans become [EMAIL], [IP], [CARD] or [PHONE]; a revealing term becomes
     [NUMBER], [CODE] or [TERM], or goes where it tells everything. ``how``:
     disclosure, support and reach. Texts without spans stay as they are, null
-    texts included. Rows and columns stay; columns may have any names.
+    texts included. Rows and columns stay: rows with a null doc_id find their
+    terms by their text, repeated rows are cleaned alike, an empty table stays
+    empty. Columns may have any names.
     """
     found, hits = marked(docs, **how)
     hits = hits.join(found.select("row", "doc_id", "text_hash"), "row")

@@ -194,6 +194,11 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     For the fit only rows that can have a label (by a hash table of bounded size)
     are measured, before they meet their labels, so no text is shuffled; every row
     is then measured where it is judged.
+
+    Null and empty texts are judged by the statistics of a text without words; a
+    null doc_id has no label, and its row is judged like any other; repeated rows
+    are judged alike and all stay or all go; an empty table stays empty; other
+    columns may have any names.
     """
     bounded_batches(docs.sparkSession)
     ident = F.xxhash64(F.col("doc_id").cast("string"))

@@ -299,8 +299,9 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     It is the row with the smallest doc_id; where texts repeat that id, the one
     with the smallest hash; where a component has null ids only, one of those.
     Rows that repeat both id and text are reduced to any one of them. Other
-    columns may have any names. Rows are chosen on ids and hashes alone, so that
-    texts are shuffled once.
+    columns may have any names. Null and empty texts have fingerprint zero and are
+    linked like others; an empty table stays empty. Rows are chosen on ids and
+    hashes alone, so that texts are shuffled once.
     """
     least = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_hash")).alias("first")
     key = [F.col("first.unknown").alias("unknown"), F.coalesce(F.col("first.doc_id").cast("string"), F.lit("")).alias("id"), F.col("first.text_hash").alias("hash")]

@@ -7,6 +7,7 @@ import tracemalloc
 import zlib
 from itertools import combinations
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -136,6 +137,17 @@ def test_entire_licenses(spark):
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
+def test_license_sql_knows_the_same_texts(spark):
+    texts = [t for _, t in licenses.entire_texts()] + [t for _, t in licenses.KNOWN]
+    texts = sorted(set(texts)) + ["x\n" + texts[0], "MIT License\n\nCopyright (c) 2020 A\n\n" + licenses._MIT, "Released under the MIT License.\nmore", "", None]
+    own = licenses.scan(table(spark, list(enumerate(texts)))).collect()
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame({"doc_id": range(len(texts)), "text": texts}))
+    want = con.sql(licenses.oracle_sql()).select("doc_id, digest, license, n_notices, notices").fetchall()
+    assert sorted(tuple(r) for r in own) == sorted(want)
+    assert len({r.license for r in own} - {None}) >= 30
+
+
 def plain_spans(text):
     out = []
     for kind, pattern in PATTERNS.items():
