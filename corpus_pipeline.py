@@ -2,7 +2,9 @@
 
 A stage takes (spark, docs, sf_dir), works on all rows that the stage before it
 kept, and returns a DataFrame. All but the last return the columns of documents.
-SQL can't express the stages, so ORACLE_SQL is None and tests hold each of them
+Null and empty texts, null and repeated ids, extra columns and empty tables have
+the results that the operators state: ``quality.keep_good``, ``simhash.keep_first``,
+``pii.sanitize`` and ``packing.pack``. SQL can't express the stages, so ORACLE_SQL is None and tests hold each of them
 against a brute-force version.
 """
 
