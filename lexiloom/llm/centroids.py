@@ -1,6 +1,6 @@
 """Centroid clustering of whole-number vectors by sort-means.
 
-Vectors are packed into blocks of rows. In each round a block knows the centroid
+Vectors are packed into blocks of rows, two bytes a component where these do. In each round a block knows the centroid
 that each of its vectors had before. For every centroid the others are ordered by
 their distance from it; a vector looks through the list of its old centroid, from
 the nearest on, and stops at the first that is strictly further from the old
@@ -99,13 +99,16 @@ def _sums(vectors: np.ndarray, clusters: np.ndarray, distances: np.ndarray) -> l
 def _block(ids: pa.Array, vectors: np.ndarray, before: np.ndarray, centroids: np.ndarray) -> pa.RecordBatch:
     clusters, distances, _ = assign(vectors, before, centroids)
     parts = pa.array([_sums(vectors, clusters, distances)], pa.list_(pa.struct([("cluster", pa.int32()), ("n", pa.int64()), ("inertia", pa.int64()), ("sums", pa.list_(pa.int64()))])))
-    packed = (vectors.astype("<i4"), clusters.astype("<i4"), distances.astype("<i8"))
+    width = "<i2" if len(vectors) and np.abs(vectors).max() < 1 << 15 else "<i4"
+    packed = (vectors.astype(width), clusters.astype("<i4"), distances.astype("<i8"))
     held = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
     return pa.RecordBatch.from_arrays([held, *[pa.array([x.tobytes()], pa.binary()) for x in packed], parts], names=["ids", "vectors", "clusters", "distances", "parts"])
 
 
 def _unpacked(row: dict, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(row["vectors"], "<i4").reshape(-1, dimensions).astype(np.int64), np.frombuffer(row["clusters"], "<i4")
+    clusters = np.frombuffer(row["clusters"], "<i4")
+    width = len(row["vectors"]) // (dimensions * len(clusters))
+    return np.frombuffer(row["vectors"], f"<i{width}").reshape(-1, dimensions).astype(np.int64), clusters
 
 
 def _first_round(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:

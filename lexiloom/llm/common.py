@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut, new_folder, shared_dir
 
-__all__ = ["FLAGS", "bounded_batches", "cut", "flag_bits", "flags", "let", "new_folder", "one_task_a_file", "read_table", "shared_dir", "whole_text"]
+__all__ = ["FLAGS", "all_passing", "bounded_batches", "cut", "flag_bits", "flags", "let", "new_folder", "one_task_a_file", "passes", "read_table", "shared_dir", "whole_text"]
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,23 +55,40 @@ def flags(rows: DataFrame, value: Column) -> bytes:
     return out.tobytes()
 
 
-#: Bits of a membership test that follows the data: for each row, at least, and at most.
-BITS_A_ROW, FEWEST_BITS, MOST_BITS = 8, 1 << 16, 1 << 28
+#: Bits of a membership test that follows the data: for each row, at least, and at most; and the parts of a hash that name a row's bits.
+BITS_A_ROW, FEWEST_BITS, MOST_BITS = 32, 1 << 16, 1 << 28
+PARTS = (0, 12, 24, 36)
 
 
 def flag_bits(rows: DataFrame, value: Column) -> bytes:
-    """A bit for each of as many buckets (a power of two) as ``rows`` ask for: 1 if ``value`` of a row falls into it.
+    """A Bloom filter of the 64-bit hashes ``value`` of ``rows``, of as many bits (a power of two) as they ask for.
 
-    Beyond ``MOST_BITS / BITS_A_ROW`` rows more of the others pass, up to all of them.
+    About one other hash in 5,000 passes; beyond ``MOST_BITS / BITS_A_ROW`` rows
+    more and more of them do, up to all.
     """
     size = min(max(1 << (BITS_A_ROW * rows.count()).bit_length(), FEWEST_BITS), MOST_BITS)
-    bucket = F.pmod(value, F.lit(size))
-    words = rows.groupBy((bucket / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (bucket % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows at most
+    bits = rows.select(value.alias("h")).select(F.explode(F.array(*[F.shiftrightunsigned("h", p).bitwiseAND(F.lit(size - 1)) for p in PARTS])).alias("b"))
+    words = bits.groupBy((F.col("b") / 64).cast("int").alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("b") % 64).cast("int"))).alias("bits")).toArrow()  # size / 64 rows at most
     out = np.zeros(size // 64, "<i8")
     out[words.column("w").to_numpy()] = words.column("bits").to_numpy()
     return out.tobytes()
 
 
+def passes(bits: bytes, h: int) -> bool:
+    """Whether an unsigned hash has all of its bits in ``flag_bits``."""
+    mask = 8 * len(bits) - 1
+    return all(bits[(h >> p & mask) >> 3] >> (h >> p & 7) & 1 for p in PARTS)
+
+
+def all_passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:
+    """The same of many signed hashes."""
+    flat, out = np.frombuffer(bits, np.uint8), np.ones(len(hashes), bool)
+    for p in PARTS:
+        at = hashes.view(np.uint64) >> np.uint64(p) & np.uint64(8 * len(bits) - 1)
+        out &= (flat[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate ``value`` once and use it many times in ``body``."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from ..sources.shared import forget, stored
-from .common import bounded_batches, cut, flag_bits, whole_text
+from .common import bounded_batches, cut, flag_bits, passes, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 TERM = "term"
@@ -142,16 +142,15 @@ def _find(batches: Iterator[pd.DataFrame], reach: int | None) -> Iterator[pd.Dat
 
 
 class _Flagged(dict):
-    """Whether each word of a text has its bit in ``flag_bits``; remembers words."""
+    """Whether each word of a text passes ``flag_bits``; remembers words."""
 
     def __init__(self, bits: bytes):
-        self.bits, self.mask = bits, 8 * len(bits) - 1
+        self.bits = bits
 
     def __missing__(self, word: str) -> bool:
-        bucket = xxhash.xxh64_intdigest(word.lower(), 42) & self.mask
         if len(self) >= _HELD:
             self.clear()
-        self[word] = out = bool(self.bits[bucket >> 3] >> (bucket & 7) & 1)
+        self[word] = out = passes(self.bits, xxhash.xxh64_intdigest(word.lower(), 42))
         return out
 
     def held(self, text: str) -> set[str]:

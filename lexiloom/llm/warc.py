@@ -14,14 +14,13 @@ import hashlib
 import zlib
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import bounded_batches, cut, flag_bits, new_folder, one_task_a_file, whole_text
+from .common import all_passing, bounded_batches, cut, flag_bits, new_folder, one_task_a_file, whole_text
 from .files import create, stream
 
 #: Code points of a payload chunk that is written, bytes of one that is read.
@@ -51,9 +50,7 @@ def chunk_table(pages: DataFrame, least: int = LEAST) -> DataFrame:
     shared = spark.sparkContext.broadcast(flag_bits(chosen, F.xxhash64("same")))
 
     def flagged(hashes: pa.Array) -> pa.Array:
-        bits = np.frombuffer(shared.value, np.uint8)
-        bucket = hashes.to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64(8 * len(bits) - 1)
-        return pa.array((bits[bucket >> np.uint64(3)] >> (bucket & np.uint64(7)).astype(np.uint8) & 1).astype(bool))
+        return pa.array(all_passing(shared.value, hashes.to_numpy(zero_copy_only=False)))
 
     # only pages that may have a partner are sent to it; the others stay where they are
     seen = base.withColumn("partner", (F.col("n_bytes") >= least) & arrow_udf(flagged, "boolean")(F.xxhash64("same")))

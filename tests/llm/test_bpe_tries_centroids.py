@@ -12,9 +12,10 @@ import public_tokenizers
 import pytest
 import regex
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
-from lexiloom.llm import bpe, centroids, tries
+from lexiloom.llm import bpe, centroids, common, tries
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -197,6 +198,8 @@ def test_clusters_equal_brute_force(spark):
     rows += [(7, rows[3][1]), (None, rows[4][1]), (900, [0.0] * 63), (901, [0.0] * 63 + [None]), (902, [0.0] * 63 + [float("nan")]), (903, [float("-inf")] * 64), (904, None), (905, [])]
     got = sorted((repr(r.vec_id), r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in centroids.clusters(embeddings(spark, rows)).collect())
     assert got == plain_clusters(rows)
+    wide = [(i, (rule.normal(size=64) * 5000).astype(np.float32).tolist()) for i in range(30)]
+    assert sorted((repr(r.vec_id), r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in centroids.clusters(embeddings(spark, wide)).collect()) == plain_clusters(wide)
     few = [(1, [0.5] * 64), (2, [-0.5] * 64), (2, [-0.5] * 64)]
     assert sorted((repr(r.vec_id), r.cluster, r.distance, r.cluster_inertia, r.inertia, r.centroid_sha256) for r in centroids.clusters(embeddings(spark, few)).collect()) == plain_clusters(few)
     assert centroids.clusters(embeddings(spark, [])).count() == 0 and centroids.clusters(embeddings(spark, [(None, [1.0] * 64)])).count() == 0
@@ -213,3 +216,13 @@ def test_sort_means_stops_early_and_breaks_ties():
         assert (nearest == np.argmin(every, axis=1)).all() and (least == every.min(axis=1)).all()
     taken = centroids.assign(vectors, np.argmin(every, axis=1), means)[2]
     assert taken < 3000 * 40 / 4  # most centroids are too far from the old one to be looked at
+
+
+def test_flags_hold_all_rows_and_few_others(spark):
+    rows = spark.range(0, 20_000, 1, 4).select(F.concat(F.lit("w"), F.col("id")).alias("t"))
+    bits = common.flag_bits(rows, F.xxhash64("t"))
+    hashes = [xxhash.xxh64_intdigest(f"w{i}", 42) for i in range(220_000)]
+    assert all(common.passes(bits, h) for h in hashes[:20_000])
+    assert sum(common.passes(bits, h) for h in hashes[20_000:]) < 200_000 / 1000
+    assert common.all_passing(bits, np.array(hashes, np.uint64).view(np.int64)).tolist() == [common.passes(bits, h) for h in hashes]
+    assert not any(map(lambda h: common.passes(common.flag_bits(rows.limit(0), F.xxhash64("t")), h), hashes[:3]))
