@@ -26,6 +26,8 @@ BINARY = (
     "PP IN NP 0;PP IN VP -1.5;PP IN PP -1.8;ADJP RB ADJP -0.4;ADJP ADJP CC -2.5;ADJP ADJP ADJP -1.6;ADVP RB ADVP -0.6;ADVP ADVP . -1.8"
 )
 ROOTS = {"S": 0.0, "VP": -2.0, "NP": -3.0, "PP": -4.0, "ADJP": -5.0, "ADVP": -5.0}
+#: A sentence without a derivation, and the weight of each of its parts.
+FRAGMENT, PART = "FRAG", -5.0
 #: Phrases that only help to keep rules binary.
 _HELPERS = ("CNP", "CVP", "CS")
 #: Sentences are parsed in pieces of so many tokens, as a chart's work grows with the cube of its length.
@@ -57,9 +59,12 @@ def grammar() -> Grammar:
 
 
 def constituents(tags: np.ndarray, g: Grammar | None = None) -> list[tuple[float, tuple | None]]:
-    """The best tree of each row of tags (sentences of one length) and its weight; None where there is none.
+    """The best tree of each row of tags (sentences of one length) and its weight.
 
-    A tree is (symbol, place) over one token or (symbol, left, right).
+    A tree is (symbol, place) over one token or (symbol, left, right). Where no
+    rule of the roots derives the whole sentence it is (FRAGMENT, parts): the
+    phrases and tokens next to each other that have the most weight, each of them
+    for ``PART``; of equal covers the one whose last part is longest, and so on.
     """
     g = g or grammar()
     rows, n = tags.shape
@@ -89,14 +94,26 @@ def constituents(tags: np.ndarray, g: Grammar | None = None) -> list[tuple[float
         r, k = int(rule[length][row, place, symbol]), int(split[length][row, place, symbol])
         return SYMBOLS[symbol], tree(row, k, place, int(g.left[r])), tree(row, length - k, place + k, int(g.right[r]))
 
-    return [(float(whole[i, s]), tree(i, n, 0, int(s)) if whole[i, s] > -np.inf else None) for i, s in enumerate(symbols)]
-
-
-def bracketed(tree: tuple | None, words: list[str], tags: list[str]) -> str:
-    """A tree in brackets, helpers spliced into what holds them; a flat fragment where there is none."""
+    def fragment(row: int) -> tuple[float, tuple]:
+        reached, last = [0.0], [0]
+        for end in range(1, n + 1):
+            ways = [reached[start] + float(best[end - start][row, start].max()) + PART for start in range(end)]
+            at = int(np.argmax(ways))
+            reached.append(ways[at])
+            last.append(at)
+        parts, end = [], n
+        while end:
+            start = last[end]
+            parts.append(tree(row, end - start, start, int(best[end - start][row, start].argmax())))
+            end = start
+        return reached[n], (FRAGMENT, *reversed(parts))
+
+    return [(float(whole[i, s]), tree(i, n, 0, int(s))) if whole[i, s] > -np.inf else fragment(i) for i, s in enumerate(symbols)]
+
+
+def bracketed(tree: tuple, words: list[str], tags: list[str]) -> str:
+    """A tree in brackets, helpers spliced into what holds them."""
     leaf = lambda i: f"({tags[i]} {words[i]})"
-    if tree is None:
-        return f"(FRAG {' '.join(map(leaf, range(len(words))))})"
 
     def parts(node: tuple, within: str) -> list[str]:
         symbol = "NP" if node[0] == "NB" else node[0]

@@ -1,7 +1,7 @@
 """Tagger and parsers against brute force over all taggings and trees."""
 
 import random
-from itertools import product
+from itertools import combinations, product
 
 import numpy as np
 import pytest
@@ -122,12 +122,23 @@ def test_constituents_equal_brute_force(n):
     rule, g = np.random.default_rng(n), charts.grammar()
     tags = rule.integers(0, len(TAGS), (60, n))
     none = 0
+
+    def best(row, i, j):
+        return max((w for s in range(len(charts.SYMBOLS)) for w in every_tree(i, j, g, s, row)), default=-np.inf)
+
+    def cover(row, ends):
+        return sum(best(row, i, j) + charts.PART for i, j in zip((0, *ends), (*ends, n)))
+
     for row, (weight, tree) in zip(tags, charts.constituents(tags)):
         want = max((g.roots[s] + w for s in range(len(charts.SYMBOLS)) if g.roots[s] > -np.inf for w in every_tree(0, n, g, s, row)), default=-np.inf)
-        assert np.isclose(weight, want) or weight == want == -np.inf
-        if tree is None:
+        if tree[0] == charts.FRAGMENT:
             none += 1
+            covers = [cover(row, ends) for k in range(n) for ends in combinations(range(1, n), k)]
+            own = sum(weight_of(part, g, row) + charts.PART for part in tree[1:])
+            assert want == -np.inf and np.isclose(weight, max(covers)) and np.isclose(weight, own)
+            assert [x for part in tree[1:] for x in leaves(part)] == list(range(n))
             continue
+        assert np.isclose(weight, want)
         assert leaves(tree) == list(range(n)) and np.isclose(weight_of(tree, g, row) + g.roots[charts.SYMBOLS.index(tree[0])], weight)
     assert 0 < none < 60
 
@@ -137,7 +148,9 @@ def test_brackets():
     words = ["the", "old", "dog", "slept", "on", "rugs", "."]
     (_, tree), = charts.constituents(np.array([at]))
     assert charts.bracketed(tree, words, [TAGS[t] for t in at]) == "(S (S (NP (DT the) (JJ old) (NN dog)) (VP (VBD slept) (PP (IN on) (NP (NNS rugs))))) (. .))"
-    assert charts.bracketed(None, ["a", "b"], ["DT", "DT"]) == "(FRAG (DT a) (DT b))"
+    at = [TAGS.index(t) for t in ("CC", "DT", "NN", "DT")]
+    (_, tree), = charts.constituents(np.array([at]))
+    assert charts.bracketed(tree, ["and", "a", "dog", "the"], ["CC", "DT", "NN", "DT"]) == "(FRAG (CC and) (NP (DT a) (NN dog)) (DT the))"
 
 
 def projective(heads):
