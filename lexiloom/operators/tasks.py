@@ -195,3 +195,9 @@ def message_action() -> Column:
 def workers_needed(tasks: int, tasks_per_worker: int, running: int, limit: int) -> int:
     """How many workers to start: tasks by ratio, less those running, up to the limit."""
     return max(0, min(-(-tasks // tasks_per_worker), limit) - running)
+
+
+def workers_column(tasks: Column, tasks_per_worker: int, running: int, limit: int) -> Column:
+    """``workers_needed`` of a column of task counts."""
+    wanted = F.ceil(tasks / F.lit(tasks_per_worker))
+    return F.greatest(F.lit(0), F.least(wanted, F.lit(limit)) - F.lit(running)).cast("bigint")

@@ -13,6 +13,7 @@ from ..operators import analysis, evaluation, ledger, mi, ngrams, similarity, ta
 from ..sources import adapters, tables
 from ..sources.shared import cut, new_folder
 from ..sources.tables import read_table
+from ..streaming import jobs
 from .oracles import ORACLE_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -351,6 +352,78 @@ def reports_round_trip(spark, d):
     return files.select(F.regexp_extract("path", "(reports/[^/]+/summary[.]html)$", 1).alias("report_key"), F.col("content").cast("string").alias("html"))
 
 
+@_query
+def tasks_round_trip(spark, d):
+    """The lines of all task lists as one list, written as text in their order, read back and numbered."""
+    path = new_folder(spark, "tasks")
+    adapters.task_lines_from_pages(spark, d).orderBy("line_no").select("line").write.text(path)
+    return tasks.parse(tables.read_tasks(spark, path, "all"))
+
+
+@_query
+def worker_messages(spark, d):
+    """Results from JSON messages, some without optional fields, some that can't be parsed."""
+    return jobs.worker_results(adapters.result_messages_from_events(spark, d))
+
+
+@_query
+def job_requests(spark, d):
+    """Requests for jobs to a manager that takes them and to one that shuts down."""
+    lines = adapters.request_messages_from_events(spark, d)
+    taken, turned = (jobs.requests(lines, shutdown).select("taskId", "key", "workers", "terminate", "accepted", "blocked", F.lit(shutdown).alias("shutdown")) for shutdown in (False, True))
+    return taken.unionByName(turned)
+
+
+@_query
+def worker_actions(spark, d):
+    """How often a worker does what with messages in all states."""
+    return adapters.message_states_from_events(spark, d).select(tasks.message_action().alias("action")).groupBy("action").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def workers_needed(spark, d):
+    """Workers to start for each task list."""
+    counts = _tasks(spark, d).groupBy("task_id").agg(F.count(F.lit(1)).alias("tasks"))
+    return counts.withColumn("workers", tasks.workers_column(F.col("tasks"), 30, 1, 7))
+
+
+def _in_time(spark, rows, at, name):
+    """``rows`` as files that follow each other in time, for a stream; rows without a time come first."""
+    path, cuts = new_folder(spark, name), rows.agg(F.percentile_approx(at, [0.25, 0.5, 0.75]).alias("q")).first()["q"] or []
+    bounds = sorted(set(cuts))
+    for lo, hi in zip([None, *bounds], [*bounds, None], strict=True):
+        after = F.lit(True) if lo is None else at > F.lit(lo)
+        before = F.lit(True) if hi is None else (at <= F.lit(hi)) | (at.isNull() & F.lit(lo is None))
+        rows.where(after & before).write.mode("append").parquet(path)
+    return jobs.stream_table(spark, path, files_at_once=8)
+
+
+@_query
+def stream_first_results(spark, d):
+    """The first result of each subtask, from a stream of files."""
+    results = _results(spark, d)
+    out = new_folder(spark, "firsts")
+    firsts = jobs.first_results(_in_time(spark, results, F.unix_micros(F.col("arrival.ts").cast("timestamp")), "results"), f"{out}/rows", f"{out}/offsets")
+    return firsts.select("task_id", "sub_task_id", F.col("arrival.event_id").alias("event_id"), "status", "result", "error")
+
+
+@_query
+def stream_lease_outcomes(spark, d):
+    """Outcomes of lease events of a stream, folded onto the states that earlier files left."""
+    out = new_folder(spark, "leases")
+    outcomes = jobs.lease_outcomes(_in_time(spark, adapters.ledger_events(spark, d), F.col("at"), "events"), out, f"{out}/offsets")
+    return outcomes.groupBy("kind", "outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query
+def stream_reports(spark, d):
+    """Reports of the jobs that a stream of results completes."""
+    out = new_folder(spark, "reports")
+    with jobs.rocksdb(spark):
+        stream = _in_time(spark, _results(spark, d), F.unix_micros(F.col("arrival.ts").cast("timestamp")), "results")
+        return jobs.reports(stream, adapters.tasks_from_events(spark), BUCKET, out, f"{out}/offsets")
+
+
 @_query
 def dispatch_plan(spark, d):
     states = adapters.subtask_states(spark, d)

@@ -289,7 +289,23 @@ SELECT task_id, sub_task_id, t.url AS url, text, CASE WHEN text IS NULL THEN con
     "pairs_round_trip": f"""{_BASE}
 SELECT (row_number() OVER (PARTITION BY label ORDER BY p.ord) - 1 + CASE label WHEN 1 THEN 0 ELSE 1099511627776 END)::BIGINT AS ord, lhs, rhs, label, lhs IN (SELECT pid FROM norms) AS listed FROM pairs p""",
     "scores_round_trip": f"{_BASE}, {_scores()} SELECT lhs, rhs, label, score FROM scores",
-    "reports_round_trip": "",
+    "tasks_round_trip": """SELECT 'all' AS task_id, concat('all:', row_number() OVER (ORDER BY page_id) - 1) AS sub_task_id, ['POS', 'CONSTITUENCY', 'DEPENDENCY', 'SENTIMENT'][page_id % 4 + 1] AS analysis, trim(url) AS url
+FROM pages WHERE page_id % 10 NOT IN (3, 7)""",
+    "worker_messages": """SELECT CASE WHEN k < 4 THEN concat('job-', user_id % 20) END AS task_id, CASE WHEN k < 3 THEN concat('s', event_id % 7) END AS sub_task_id, CASE WHEN k = 1 THEN 'FAILED' WHEN k < 3 THEN 'SUCCEEDED' END AS status,
+  CASE WHEN k IN (0, 1, 3) THEN 'POS' ELSE '' END AS analysis, CASE WHEN k IN (0, 1, 3) THEN 'https://x.org/a' ELSE '' END AS url, CASE WHEN k IN (0, 2, 3) THEN concat('results/', event_id) ELSE '' END AS result,
+  CASE WHEN k = 1 THEN concat('"bad" ', event_id) ELSE '' END AS error, k < 3 AS parsed FROM (SELECT *, event_id % 5 AS k FROM events)""",
+    "job_requests": """WITH r AS (SELECT CASE WHEN event_id % 11 = 5 THEN '  ' ELSE concat('t', event_id) END AS id, event_id % 9 <> 4 AND event_id % 11 <> 5 AS good, event_id AS n FROM events)
+SELECT id AS "taskId", concat('in/', n) AS key, (n % 4)::INTEGER AS workers, n % 3 = 0 AS terminate, good AND NOT s AS accepted, CASE WHEN good AND s THEN concat('Unable to receive task ', id, chr(10), 'Manager will be terminating soon...') END AS blocked, s AS shutdown
+FROM r, (VALUES (true), (false)) v(s)""",
+    "worker_actions": """WITH m AS (
+  SELECT event_id % 13 <> 0 AS parsed, ['CLAIMED', 'ALREADY_OWNED', 'CLAIMED', 'OWNED_BY_ANOTHER_WORKER', 'ALREADY_TERMINAL', 'CLAIMED', 'NOT_FOUND', NULL][event_id % 8 + 1] AS claim, user_id % 6 = 0 AS lost,
+         ['COMPLETED', 'COMPLETED', 'STALE_OWNER', 'ALREADY_TERMINAL', 'NOT_FOUND', NULL][event_id // 8 % 6 + 1] AS completion, event_type <> 'error' AS success FROM events)
+SELECT CASE WHEN NOT parsed OR coalesce(claim, 'NOT_FOUND') = 'NOT_FOUND' THEN 'keep' WHEN claim = 'OWNED_BY_ANOTHER_WORKER' THEN 'delay' WHEN claim = 'ALREADY_TERMINAL' THEN 'delete'
+  WHEN lost OR coalesce(completion, 'NOT_FOUND') IN ('NOT_FOUND', 'STALE_OWNER') THEN 'keep' WHEN completion = 'ALREADY_TERMINAL' THEN 'delete' WHEN success THEN 'report success, delete' ELSE 'report failure, delete' END AS action, count(*) AS n
+FROM m GROUP BY 1""",
+    "workers_needed": f"WITH {_TASKS} SELECT task_id, count(*) AS tasks, greatest(0, least(ceil(count(*) / 30), 7) - 1)::BIGINT AS workers FROM tasks GROUP BY task_id",
+    "stream_first_results": f"WITH {_RESULTS} SELECT task_id, sub_task_id, event_id, status, result, error FROM firsts",
+    "stream_lease_outcomes": f"WITH RECURSIVE {_LEASES} SELECT kind, outcome, count(*) AS n FROM leases WHERE n > 0 GROUP BY ALL",
     "dispatch_plan": """WITH s AS (
   SELECT concat('job-', user_id % 20) AS task_id, concat('job-', user_id % 20, ':', event_id) AS sub_task_id, event_id % 5 AS k, ts, (SELECT max(ts) - INTERVAL 6 HOUR FROM events) AS now FROM events)
 SELECT task_id, sub_task_id, CASE k WHEN 0 THEN 'pending' WHEN 1 THEN 'stale' ELSE 'expired' END AS reason FROM s
@@ -304,3 +320,4 @@ SELECT task_id, created, CASE WHEN status = 'FINALIZING' THEN 'finalize' WHEN st
 FROM open_jobs, now""",
 }
 ORACLE_SQL["reports_round_trip"] = ORACLE_SQL["html_report"].replace("SELECT task_id, concat('reports/'", "SELECT concat('reports/'", 1)
+ORACLE_SQL["stream_reports"] = ORACLE_SQL["html_report"].replace("FROM summary GROUP BY task_id", "FROM summary GROUP BY task_id HAVING count(*) = (SELECT count(*) FROM known k WHERE k.task_id = summary.task_id)")

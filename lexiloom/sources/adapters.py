@@ -140,3 +140,36 @@ def subtask_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     states = F.array(*[F.lit(x) for x in ("PENDING", "DISPATCHED", "PROCESSING", "SUCCEEDED", "FAILED")])
     job = F.concat(F.lit("job-"), (F.col("user_id") % 20).cast("string"))
     return e.select(job.alias("task_id"), F.concat(job, F.lit(":"), F.col("event_id").cast("string")).alias("sub_task_id"), F.get(states, (F.col("event_id") % 5).cast("int")).alias("status"), F.col("ts").alias("dispatched_at"), (F.col("ts") + F.expr("interval 1 hour")).alias("lease_expires_at"))
+
+
+def result_messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON results by rule from events: whole, failed, without optional fields, without a subtask, and no JSON."""
+    e, n = read_table(spark, sf_dir, "events"), F.col("event_id")
+    job, sub = F.concat(F.lit("job-"), (F.col("user_id") % 20).cast("string")), F.concat(F.lit("s"), (n % 7).cast("string"))
+    key = F.concat(F.lit("results/"), n.cast("string"))
+    none = F.lit(None).cast("string")
+
+    def message(type_, sub_task, result, error, url=F.lit("https://x.org/a"), analysis=F.lit("POS")):
+        return F.to_json(F.struct(type_.alias("type"), job.alias("taskId"), sub_task.alias("subTaskId"), result.alias("result"), error.alias("error"), url.alias("url"), analysis.alias("analysis")))
+
+    done, failed = F.lit("jobDone"), F.lit("failedjob")
+    value = F.when(n % 5 == 0, message(done, sub, key, none)).when(n % 5 == 1, message(failed, sub, none, F.concat(F.lit('"bad" '), n.cast("string")))).when(n % 5 == 2, message(done, sub, key, none, none, none)).when(n % 5 == 3, message(done, none, key, none)).otherwise(F.concat(F.lit("no json "), n.cast("string")))
+    return e.select(value.alias("value"))
+
+
+def request_messages_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON requests by rule from events; some have another type, a blank id, or say when to stop."""
+    e, n = read_table(spark, sf_dir, "events"), F.col("event_id")
+    kind = F.when(n % 9 == 4, F.lit("other")).otherwise("newTask")
+    job = F.when(n % 11 == 5, F.lit("  ")).otherwise(F.concat(F.lit("t"), n.cast("string")))
+    fields = F.struct(kind.alias("type"), job.alias("taskId"), F.lit("b").alias("s3Bucket"), F.concat(F.lit("in/"), n.cast("string")).alias("key"), F.lit("out").alias("outputFile"), (n % 4).cast("int").alias("workers"), F.when(n % 3 == 0, F.lit(True)).alias("terminate"))
+    return e.select(F.to_json(fields).alias("value"))
+
+
+def message_states_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of worker messages by rule from events: parsed, claim, lost, completion and success."""
+    e, n = read_table(spark, sf_dir, "events"), F.col("event_id")
+    named = lambda names, by: F.get(F.array(*[F.lit(x) for x in names]), (by % (len(names) + 1)).cast("int"))  # noqa: E731  one more is null
+    claims = ("CLAIMED", "ALREADY_OWNED", "CLAIMED", "OWNED_BY_ANOTHER_WORKER", "ALREADY_TERMINAL", "CLAIMED", "NOT_FOUND")
+    completions = ("COMPLETED", "COMPLETED", "STALE_OWNER", "ALREADY_TERMINAL", "NOT_FOUND")
+    return e.select((n % 13 != 0).alias("parsed"), named(claims, n).alias("claim"), (F.col("user_id") % 6 == 0).alias("lost"), named(completions, F.floor(n / 8)).alias("completion"), (F.col("event_type") != "error").alias("success"))
