@@ -345,7 +345,7 @@ def test_pieces_agree_with_the_model_on_most_words():
     own.remember([[" " + w for w in words]])
     same = np.mean([np.frombuffer(own.ids[own.known[" " + w]], "<i4").tolist() == model.encode(w) for w in words])
     print("agreement", same, len(words))
-    assert same > 0.5
+    assert same > 0.7
     own.remember([[" trail"]])
     assert np.frombuffer(own.n_best([" trail"], 1)[0][1], "<i4").tolist() == model.encode("trail")
 
