@@ -1,6 +1,7 @@
 """Tagger and parsers against brute force over all taggings and trees."""
 
 import random
+import re
 from itertools import combinations, product
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lexiloom.operators import analysis, charts, hmm
 from lexiloom.operators.hmm import TAGS
+from lexiloom.plans.catalogue import QUERIES
 
 WORDS = ["the", "Dog", "dogs", "chased", "running", "of", "cats", "quickly", "42", ".", "xyzzy", "and"]
 
@@ -203,3 +205,17 @@ def test_analyses(spark):
     assert words.agg(F.sum("n")).first()[0] == tokens.count() and {r.tag for r in words.where("word = 'the'").collect()} == {"DT"}
     empty = docs.limit(0)
     assert analysis.analyze(empty, analysis.fit(empty, rounds=1)).count() == 0
+
+
+def test_queries_analyse_whole_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    tokens = docs.select(F.explode(hmm.tokens_of(F.coalesce("text", F.lit("")))).alias("w"))
+    words = QUERIES["tagged_words"](spark, "/root/testdata/sf0.001").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    assert {r.word: r.n for r in words} == {r.w: r["count"] for r in tokens.groupBy("w").count().collect()}
+    parsed = QUERIES["parsed_dependencies"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted(r.doc_id for r in parsed) == sorted(texts)
+    for r in parsed:
+        blocks = [b.split("\nOUTPUT: ") for b in r.output.split("\n\n") if b]
+        assert [b[0].removeprefix("INPUT: ") for b in blocks] == [x for x in re.split("\r\n|\r|\n", texts[r.doc_id]) if x.strip()]
+        assert all(b[1] == "" or b[1].count("root(ROOT-0, ") == 1 for b in blocks)
