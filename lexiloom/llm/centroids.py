@@ -68,9 +68,9 @@ def neighbours(centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.take_along_axis(between, order, 1)
 
 
-def assign(vectors: np.ndarray, before: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Nearest centroid of each vector and the squared distance, from the centroid before; and how many distances it took."""
-    order, apart = neighbours(centroids)
+def assign(vectors: np.ndarray, before: np.ndarray, centroids: np.ndarray, lists: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """Nearest centroid of each vector and the squared distance, from the centroid before; and how many distances it took. ``lists``: of ``neighbours``."""
+    order, apart = lists or neighbours(centroids)
     nearest, least = before.astype(np.int64), np.empty(len(vectors), np.int64)
     taken = 0
     for old in np.unique(before):
@@ -96,8 +96,8 @@ def _sums(vectors: np.ndarray, clusters: np.ndarray, distances: np.ndarray) -> l
     return [{"cluster": int(c), "n": int(own.sum()), "inertia": int(distances[own].sum()), "sums": vectors[own].sum(axis=0)} for c in np.unique(clusters) for own in (clusters == c,)]
 
 
-def _block(ids: pa.Array, vectors: np.ndarray, before: np.ndarray, centroids: np.ndarray) -> pa.RecordBatch:
-    clusters, distances, _ = assign(vectors, before, centroids)
+def _block(ids: pa.Array, vectors: np.ndarray, before: np.ndarray, centroids: np.ndarray, lists: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    clusters, distances, _ = assign(vectors, before, centroids, lists)
     parts = pa.array([_sums(vectors, clusters, distances)], pa.list_(pa.struct([("cluster", pa.int32()), ("n", pa.int64()), ("inertia", pa.int64()), ("sums", pa.list_(pa.int64()))])))
     width = "<i2" if len(vectors) and np.abs(vectors).max() < 1 << 15 else "<i4"
     packed = (vectors.astype(width), clusters.astype("<i4"), distances.astype("<i8"))
@@ -113,18 +113,20 @@ def _unpacked(row: dict, dimensions: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _first_round(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Blocks of (vec_id, v); before the first round each vector has centroid 0."""
+    lists = neighbours(centroids)
     for batch in batches:
         for lo in range(0, batch.num_rows, BLOCK):
             some = batch.slice(lo, BLOCK)
             vectors = some.column("v").flatten().to_numpy().reshape(some.num_rows, -1)
-            yield _block(some.column("vec_id"), vectors, np.zeros(len(vectors), np.int64), centroids)
+            yield _block(some.column("vec_id"), vectors, np.zeros(len(vectors), np.int64), centroids, lists)
 
 
 def _next_round(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    lists = neighbours(centroids)
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in ("vectors", "clusters")}
-            yield _block(batch.column("ids")[i].values, *_unpacked(row, centroids.shape[1]), centroids)
+            yield _block(batch.column("ids")[i].values, *_unpacked(row, centroids.shape[1]), centroids, lists)
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
