@@ -19,13 +19,13 @@ _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of 8 MB at most, where neither the session nor its configuration sets a bound.
+    """Arrow batches of 2 MB at most, where neither the session nor its configuration sets a bound.
 
     Spark's own 64 MB take a worker several hundred megabytes as Python strings.
     The bound stays for the session, as plans read it when they run.
     """
     if _BATCH not in spark.conf.getAll:
-        spark.conf.set(_BATCH, "8m")
+        spark.conf.set(_BATCH, "2m")
 
 
 #: Tasks that read the files of a manifest, at most.

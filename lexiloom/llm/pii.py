@@ -41,7 +41,10 @@ CLASSES = ("[NUMBER]", "[CODE]", "[TERM]")
 #: Code points on either side of an entity in which a term must stand once; None: anywhere in the document.
 REACH: int | None = None
 DISCLOSURE, SUPPORT = 0.8, 2
-_HELD = 100_000
+#: Terms that a worker remembers or counts at once, and code points of texts whose finds it holds.
+_HELD, _TOGETHER = 50_000, 1 << 19
+#: One part in so many of the documents is counted first, to drop terms that are too common already there.
+FIRST = 8
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -132,12 +135,16 @@ _FOUND = "entities array<bigint>, terms array<string>, near array<struct<e:bigin
 def _find(batches: Iterator[pd.DataFrame], reach: int | None) -> Iterator[pd.DataFrame]:
     """Entities and terms of each text, and which of them are near; texts without entities give no row."""
     for pdf in batches:
-        rows = []
+        rows, size = [], 0
         for text in pdf["text"]:
             spans = base_spans(text)
             if any(spans):
+                size += len(text)
                 near = [] if reach is None else [{"e": e, "t": t} for e, t in near_terms(text, spans, reach)]
                 rows.append((list(entities_of(text, spans)), list({t for t, _, _ in _outside(text, spans)}), near))
+            if size >= _TOGETHER:
+                yield pd.DataFrame(rows, columns=["entities", "terms", "near"])
+                rows, size = [], 0
         yield pd.DataFrame(rows, columns=["entities", "terms", "near"])
 
 
@@ -200,10 +207,14 @@ def disclosing_terms(docs: DataFrame, disclosure: float = DISCLOSURE, support: i
         hopeful = hopeful.join(found.select(F.explode("near").alias("n")).select("n.e", "n.t").distinct(), ["e", "t"], "left_semi")
     hopeful = cut(hopeful)
     forget(spark, folder)
-    shared = spark.sparkContext.broadcast(flag_bits(hopeful.select("t").distinct(), F.xxhash64("t")))
-    elsewhere = texts.mapInPandas(lambda it: _count(it, shared.value), "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
-    counted = hopeful.join(elsewhere, "t", "left").withColumn("n_term", F.col("n_beside") + F.coalesce("n", F.lit(0)))
-    return cut(counted.select("e", "t", told(F.col("n_both"), F.col("n_term")).alias("told")).where(F.col("told") >= disclosure))
+    # the other documents are counted in two parts: a term that is too common after the first is not counted in the second
+    first = F.pmod(F.xxhash64("text"), F.lit(FIRST)) == 0
+    for part in (first, ~first):
+        shared = spark.sparkContext.broadcast(flag_bits(hopeful.select("t").distinct(), F.xxhash64("t")))
+        elsewhere = texts.where(part).mapInPandas(lambda it, bits=shared: _count(it, bits.value), "t string, n bigint").groupBy("t").agg(F.sum("n").alias("n"))
+        counted = hopeful.join(elsewhere, "t", "left").withColumn("n_beside", F.col("n_beside") + F.coalesce("n", F.lit(0))).drop("n")
+        hopeful = cut(counted.where(told(F.col("n_both"), F.col("n_beside")) >= disclosure))
+    return hopeful.select("e", "t", told(F.col("n_both"), F.col("n_beside")).alias("told"))
 
 
 _MARKED = "doc_id string, text_hash bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base string, held array<struct<t:string,a:bigint,b:bigint>>"
@@ -212,15 +223,20 @@ _MARKED = "doc_id string, text_hash bigint, n_email bigint, n_ip bigint, n_card
 def _mark(batches: Iterator[pd.DataFrame], bits: bytes) -> Iterator[pd.DataFrame]:
     """Base spans, and every occurrence of a flagged term, of each text."""
     known = _Flagged(bits)
+    columns = ["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "held"]
     for pdf in batches:
-        rows = []
+        rows, size = [], 0
         for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
             spans = base_spans(text)
             base = ",".join(f"{kind}:{a}:{b}" for kind, own in zip(KINDS, spans, strict=True) for a, b in own)
             flagged = known.held(text)
             held = [{"t": t, "a": a, "b": b} for t, a, b in _outside(text, spans) if t in flagged] if flagged else []
             rows.append((doc_id, text_hash, *map(len, spans), base, held))
-        yield pd.DataFrame(rows, columns=["doc_id", "text_hash", *(f"n_{k}" for k in KINDS), "base", "held"])
+            size += len(text)
+            if size >= _TOGETHER:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
 
 def marked(docs: DataFrame, **how) -> tuple[DataFrame, DataFrame]:
