@@ -167,6 +167,7 @@ def complete_jobs(results: DataFrame, known: DataFrame) -> DataFrame:
     kind = results.schema["arrival"].dataType
     parts = [(F.col(f"arrival.{f.name}"), f.dataType) for f in kind.fields] if isinstance(kind, StructType) else [(F.col("arrival"), kind)]
     whole = [F.unix_micros(c.cast("timestamp")) if isinstance(t, (TimestampType, TimestampNTZType)) else c.cast("bigint") for c, t in parts] + [F.lit(0).cast("bigint")]
+    whole = [F.coalesce(c, F.lit((1 << 63) - 1)) for c in whole]  # a result that arrived at no known time is the last
     expected = known.groupBy("task_id").agg(F.count(F.lit(1)).alias("expected"))
     rows = results.join(known.select("task_id", "sub_task_id", "analysis", "url"), ["task_id", "sub_task_id"]).join(expected, "task_id")
     rows = rows.select("task_id", "sub_task_id", whole[0].alias("a"), whole[1].alias("b"), "analysis", "url", tasks.output_cell().alias("output"), "expected")
