@@ -77,7 +77,11 @@ def flag_bits(rows: DataFrame, value: Column) -> bytes:
 def passes(bits: bytes, h: int) -> bool:
     """Whether an unsigned hash has all of its bits in ``flag_bits``."""
     mask = 8 * len(bits) - 1
-    return all(bits[(h >> p & mask) >> 3] >> (h >> p & 7) & 1 for p in PARTS)
+    for p in PARTS:
+        at = h >> p & mask
+        if not bits[at >> 3] >> (at & 7) & 1:
+            return False
+    return True
 
 
 def all_passing(bits: bytes, hashes: np.ndarray) -> np.ndarray:

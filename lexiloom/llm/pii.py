@@ -42,7 +42,7 @@ CLASSES = ("[NUMBER]", "[CODE]", "[TERM]")
 REACH: int | None = None
 DISCLOSURE, SUPPORT = 0.8, 2
 #: Terms that a worker remembers or counts at once, and code points of texts whose finds it holds.
-_HELD, _TOGETHER = 50_000, 1 << 19
+_HELD, _TOGETHER = 1 << 17, 1 << 19
 #: One part in so many of the documents is counted first, to drop terms that are too common already there.
 FIRST = 8
 
@@ -114,6 +114,20 @@ def _outside(text: str, spans: list[list[tuple[int, int]]], lo: int = 0, hi: int
             yield m[0].lower(), a, b
 
 
+def _free(text: str, spans: list[list[tuple[int, int]]], words: set[str]) -> Iterator[tuple[str, int, int]]:
+    """(word, start, end) of each of some words of ``text`` that touches no span."""
+    if not words:
+        return
+    taken = sorted(s for kind in spans for s in kind)
+    starts, ends = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    for m in _WORD.finditer(text):
+        if (w := m[0]) in words:
+            a, b = m.span()
+            i = bisect_left(starts, b) - 1
+            if not (i >= 0 and ends[i] > a):
+                yield w, a, b
+
+
 def entities_of(text: str, spans: list[list[tuple[int, int]]]) -> set[int]:
     return {_entity(kind, text[a:b]) for kind, own in zip(KINDS, spans, strict=True) for a, b in own}
 
@@ -160,9 +174,13 @@ class _Flagged(dict):
         self[word] = out = passes(self.bits, xxhash.xxh64_intdigest(word.lower(), 42))
         return out
 
+    def words(self, text: str) -> set[str]:
+        """The words of ``text``, as they stand, whose terms are flagged."""
+        return {w for w in set(_WORD.findall(text)) if self[w]}
+
     def held(self, text: str) -> set[str]:
         """The flagged terms of ``text``."""
-        return {w.lower() for w in set(_WORD.findall(text)) if self[w]}
+        return {w.lower() for w in self.words(text)}
 
 
 def _count(batches: Iterator[pd.DataFrame], bits: bytes) -> Iterator[pd.DataFrame]:
@@ -229,8 +247,7 @@ def _mark(batches: Iterator[pd.DataFrame], bits: bytes) -> Iterator[pd.DataFrame
         for doc_id, text_hash, text in zip(pdf["doc_id"], pdf["text_hash"], pdf["text"], strict=True):
             spans = base_spans(text)
             base = ",".join(f"{kind}:{a}:{b}" for kind, own in zip(KINDS, spans, strict=True) for a, b in own)
-            flagged = known.held(text)
-            held = [{"t": t, "a": a, "b": b} for t, a, b in _outside(text, spans) if t in flagged] if flagged else []
+            held = [{"t": w.lower(), "a": a, "b": b} for w, a, b in _free(text, spans, known.words(text))]
             rows.append((doc_id, text_hash, *map(len, spans), base, held))
             size += len(text)
             if size >= _TOGETHER:
