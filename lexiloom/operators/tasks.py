@@ -113,14 +113,20 @@ def tag_words(line: Column) -> Column:
     return F.array_join(F.transform(_words(line), lambda w: F.concat(w, F.lit(" ("), _tag(w), F.lit(") "))), "")
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times in ``body``."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _over_first_sentence(line: Column, body) -> Column:
     """``body`` of the words up to the first that ends in a stop; without words the empty text."""
 
     def sentence(words: Column) -> Column:
         stop = F.array_position(F.transform(words, lambda w: w.rlike("[.!?]$")), True)
-        return body(F.slice(words, F.lit(1), F.when(stop == 0, F.size(words)).otherwise(stop).cast("int")))
+        size = _let(stop, lambda n: F.when(n == 0, F.size(words)).otherwise(n).cast("int"))
+        return F.when(F.size(words) > 0, _let(F.slice(words, F.lit(1), size), body)).otherwise("")
 
-    return F.when(F.size(_words(line)) > 0, F.get(F.transform(F.array(_words(line)), sentence), F.lit(0))).otherwise("")
+    return _let(_words(line), sentence)
 
 
 def constituents(line: Column) -> Column:
@@ -132,15 +138,21 @@ def constituents(line: Column) -> Column:
 def dependencies(line: Column) -> Column:
     """Each word of the first sentence under its first verb (else its first word), one to a line: a stand-in likewise."""
 
-    def listed(words: Column) -> Column:
-        verb = F.array_position(F.transform(words, lambda w: _tag(w).isin("VBD", "VBG")), True)
-        head = F.when(verb == 0, 1).otherwise(verb).cast("int")
-        at = lambda w, i: F.concat(w, F.lit("-"), i.cast("string"))
+    at = lambda w, i: F.concat(w, F.lit("-"), i.cast("string"))
 
-        def one(w: Column, i: Column) -> Column:
-            return F.when(i + 1 == head, F.concat(F.lit("root(ROOT-0, "), at(w, i + 1), F.lit(")"))).otherwise(F.concat(F.lit("dep("), at(F.get(words, head - 1), head), F.lit(", "), at(w, i + 1), F.lit(")")))
+    def under(words: Column, head: Column) -> Column:
+        def relations(name: Column) -> Column:
+            def one(w: Column, i: Column) -> Column:
+                return F.when(i + 1 == head, F.concat(F.lit("root(ROOT-0, "), at(w, i + 1), F.lit(")"))).otherwise(F.concat(F.lit("dep("), name, F.lit(", "), at(w, i + 1), F.lit(")")))
 
-        return F.array_join(F.transform(words, one), "\n")
+            return F.array_join(F.transform(words, one), "\n")
+
+        return _let(at(F.get(words, head - 1), head), relations)
+
+    def listed(words: Column) -> Column:
+        # the head is found once a line, not once a word
+        verb = F.array_position(F.transform(words, lambda w: _tag(w).isin("VBD", "VBG")), True)
+        return _let(verb, lambda v: _let(F.when(v == 0, 1).otherwise(v).cast("int"), lambda head: under(words, head)))
 
     return _over_first_sentence(line, listed)
 

@@ -1,5 +1,7 @@
 """Task lists, keys, reports, leases, and streams against batch."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +191,12 @@ def test_job_events():
     assert say("done") == "COUNTED" and say("finalize", 50) == "FINALIZING" and say("finalize", 60) == "REFUSED" and say("finalize", 81, "other") == "FINALIZING"
     assert say("complete") == "REFUSED" and say("notify") == "REFUSED" and say("complete", 90, "other") == "COMPLETED" and j.notification == "PENDING"
     assert say("notify") == "NOTIFIED" and j.notification == "SENT" and say("fail") == "FAILED" and j.status == "FAILED"
+
+
+def test_long_line_is_analysed_in_proportion_to_its_words(spark):
+    words = [*[f"w{i}" for i in range(20_000)], "walked", "end.", "more"]
+    began = time.time()
+    (row,) = tasks.analyze(spark.createDataFrame([(1, "DEPENDENCY", " ".join(words))], "doc_id bigint, analysis string, text string")).collect()
+    lines = row.output.split("\nOUTPUT: ")[1].strip("\n").split("\n")
+    assert lines[0] == "dep(walked-20001, w0-1)" and lines[20_000:] == ["root(ROOT-0, walked-20001)", "dep(walked-20001, end.-20002)"]
+    assert time.time() - began < 30
