@@ -5,6 +5,8 @@ import re
 from itertools import combinations, product
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -219,3 +221,24 @@ def test_queries_analyse_whole_tables(spark):
         blocks = [b.split("\nOUTPUT: ") for b in r.output.split("\n\n") if b]
         assert [b[0].removeprefix("INPUT: ") for b in blocks] == [x for x in re.split("\r\n|\r|\n", texts[r.doc_id]) if x.strip()]
         assert all(b[1] == "" or b[1].count("root(ROOT-0, ") == 1 for b in blocks)
+
+
+def test_memory_follows_slices_not_batches():
+    """A batch is worked on in slices of AT_ONCE tokens, and a document larger than that alone."""
+    sizes = [0, 3, analysis.AT_ONCE + 5, 0, *[analysis.AT_ONCE // 4] * 9]
+    tokens = pa.array([[["a"] * n] if n else [] for n in sizes], pa.list_(pa.list_(pa.string())))
+    batch = pa.RecordBatch.from_arrays([tokens, pa.array(range(len(sizes)))], names=["tokens", "doc_id"])
+    parts = list(analysis._slices([batch, batch.slice(0, 0)]))
+    assert [x for p in parts for x in p.column("doc_id").to_pylist()] == list(range(len(sizes)))
+    for p in parts:
+        assert len(p) == 1 or pc.sum(pc.list_value_length(p.column("tokens").flatten())).as_py() <= analysis.AT_ONCE
+    assert len(parts) == 5
+
+
+def test_alike_tags_are_parsed_once(monkeypatch):
+    rows = []
+    chart = charts.constituents
+    monkeypatch.setattr(charts, "constituents", lambda tags: rows.append(len(tags)) or chart(tags))
+    own = np.array([TAGS.index(t) for t in ("DT", "NN", "VBD")])
+    found = analysis.constituency([(i, ["the", f"w{i}", "ran"], own) for i in range(1000)])
+    assert sum(rows) == 1 and found[7] == "(ROOT (S (NP (DT the) (NN w7)) (VP (VBD ran))))"
