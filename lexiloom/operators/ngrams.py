@@ -10,6 +10,7 @@ parsed in the same pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.stem import stems_of, with_stems
-from ..sources.shared import kept
+from ..functions.stem import stem_word
 from . import trees
 
 # Tag and relation names.
@@ -81,6 +81,14 @@ def _over(ngrams: DataFrame, function, schema: str) -> DataFrame:
     return ngrams.select("tokens", "cnt").mapInArrow(function, schema)
 
 
+#: Rows of a task that are summed before they leave it.
+TOGETHER = 1 << 19
+
+
+def _sent(table: pa.Table, names: list[str]) -> Iterator[pa.RecordBatch]:
+    yield from table.rename_columns(names).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+
 class _Batch:
     """Tokens of a batch's lines one after the other, by numbers of distinct words, tags and relations."""
 
@@ -114,6 +122,46 @@ def _parents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.cnt, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(local, pa.int32()))], names=["cnt", "parent"])
 
 
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _parents(batches):
+        lists = batch.column("parent")
+        shape = pc.binary_join(pa.ListArray.from_arrays(lists.offsets, lists.values.cast(pa.string())), ",")
+        counts = pa.table({"parents": shape}).group_by(["parents"], use_threads=False).aggregate([([], "count_all")])
+        yield from _sent(counts.select(["parents", "count_all"]), ["parents", "n"])
+
+
+def tree_shapes(ngrams: DataFrame) -> DataFrame:
+    """parents (as text, comma-joined) and n: how many lines have each tree; a batch's equal trees leave it as one."""
+    return _over(ngrams, _shapes, "parents string, n bigint").groupBy("parents").agg(F.sum("n").alias("n"))
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    keys, held, rows = ["word", "pos", "dep", "parent"], [], 0
+
+    def sums() -> Iterator[pa.RecordBatch]:
+        own = pa.concat_tables(held).group_by(keys, use_threads=False).aggregate([("n", "sum"), ("cnt", "sum")])
+        yield from _sent(own.select([*keys, "n_sum", "cnt_sum"]), [*keys, "n", "cnt"])
+
+    for batch in batches:
+        tokens, cnt = batch.column("tokens"), batch.column("cnt")
+        own = [tokens.flatten().field(i) for i in range(4)]
+        table = pa.table([*own, cnt.take(pc.list_parent_indices(tokens))], names=[*keys, "cnt"])
+        table = table.group_by(keys, use_threads=False).aggregate([([], "count_all"), ("cnt", "sum")])
+        held.append(table.select([*keys, "count_all", "cnt_sum"]).rename_columns([*keys, "n", "cnt"]))
+        rows += len(table)
+        if rows >= TOGETHER:
+            yield from sums()
+            held, rows = [], 0
+    if rows:
+        yield from sums()
+
+
+def token_counts(ngrams: DataFrame) -> DataFrame:
+    """word, pos, dep, parent, n and cnt: how many tokens are alike, and the sum of their lines' counts; a task's alike ones leave it mostly as one."""
+    rows = _over(ngrams, _token_counts, "word string, pos string, dep string, parent int, n bigint, cnt bigint")
+    return rows.groupBy("word", "pos", "dep", "parent").agg(F.sum("n").alias("n"), F.sum("cnt").alias("cnt"))
+
+
 def with_tree(ngrams: DataFrame) -> DataFrame:
     """cnt and the parent of each token (-1: root) of every line."""
     return _over(ngrams, _parents, "cnt bigint, parent array<int>")
@@ -174,35 +222,85 @@ def _instances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in _RAW.split(", ")])
 
 
-def raw_instances(ngrams: DataFrame, filter_aux: bool = True) -> DataFrame:
-    """verb, prep, x, y, cnt of each pair of nouns whose common ancestor is a verb."""
-    rows = _over(ngrams, _instances, _RAW)
-    if filter_aux:
-        rows = rows.where(~F.lower("verb").isin(*AUXILIARY) & ~F.col("verb_dep").isin("aux", "auxpass"))
-    return rows.select(*[F.lower(c).alias(c) for c in ("verb", "prep", "x", "y")], "cnt")
+def _mapped(column: pa.Array, function) -> pa.Array:
+    """A function of each value that is not null; equal ones are looked at once."""
+    coded = column.dictionary_encode()
+    return pa.array([function(x) for x in coded.dictionary.to_pylist()], pa.string()).take(coded.indices)
 
 
-def _as_triples(raw: DataFrame) -> DataFrame:
-    pid = F.concat_ws(" ", F.lit("X"), "verb", "prep", F.lit("Y"))
-    two = F.array(F.struct(F.lit("X").alias("slot"), F.col("x").alias("word")), F.struct(F.lit("Y").alias("slot"), F.col("y").alias("word")))
-    rest = [c for c in raw.columns if c not in ("verb", "prep", "x", "y")]
-    return raw.select(pid.alias("pid"), F.explode(two).alias("s"), *rest).select("pid", "s.slot", "s.word", *rest)
+def _paths(batches: Iterator[pa.RecordBatch], stem_all: bool, filter_aux: bool) -> Iterator[pa.Table]:
+    """pid, x, y and cnt of instances, words stemmed, about TOGETHER at a time."""
+    held, rows = [], 0
+    for batch in _instances(batches):
+        raw = {c: batch.column(c) for c in batch.schema.names}
+        if filter_aux:
+            bad = pc.or_(pc.is_in(_mapped(raw["verb"], str.lower), pa.array(AUXILIARY)), pc.is_in(raw["verb_dep"], pa.array(["aux", "auxpass"])))
+            raw = {c: v.filter(pc.invert(bad)) for c, v in raw.items()}
+        pid = pc.binary_join_element_wise("X", _mapped(raw["verb"], stem_word), _mapped(raw["prep"], str.lower), "Y", " ", null_handling="skip")
+        nouns = [_mapped(raw[c], stem_word if stem_all else str.lower) for c in ("x", "y")]
+        held.append(pa.table([pid, *nouns, raw["cnt"]], names=["pid", "x", "y", "cnt"]))
+        rows += len(pid)
+        if rows >= TOGETHER:
+            yield pa.concat_tables(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_tables(held)
 
 
-def _stemmed(raw: DataFrame, stem_all: bool) -> DataFrame:
-    """``raw`` (written) as triples: the verb is joined with its stem, then both nouns at once."""
-    stems = stems_of(raw, ["verb", "x", "y"] if stem_all else ["verb"])
-    own = _as_triples(with_stems(raw, ["verb"], stems))
-    return with_stems(own, ["word"], stems) if stem_all else own
+def path_instances(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
+    """pid, slot (X or Y), word, cnt and n: two rows for each instance, alike instances of a task (n of them) mostly as one. Nothing shuffles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _paths(batches, stem_all, filter_aux):
+            alike = own.group_by(["pid", "x", "y", "cnt"], use_threads=False).aggregate([([], "count_all")])
+            yield from _sent(alike.select(["pid", "x", "y", "cnt", "count_all"]), ["pid", "x", "y", "cnt", "n"])
+
+    rows = _over(ngrams, run, "pid string, x string, y string, cnt bigint, n bigint")
+    two = F.array(*[F.struct(F.lit(s.upper()).alias("slot"), F.col(s).alias("word")) for s in ("x", "y")])
+    return rows.select("pid", F.explode(two).alias("s"), "cnt", "n").select("pid", "s.slot", "s.word", "cnt", "n")
+
+
+def path_totals(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
+    """pid, slot, n and cnt: how many ``path_instances`` there are, and the sum of their counts; tasks and then Spark sum by path, as both slots have as many."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _paths(batches, stem_all, filter_aux):
+            sums = own.group_by(["pid"], use_threads=False).aggregate([([], "count_all"), ("cnt", "sum")])
+            yield from _sent(sums.select(["pid", "count_all", "cnt_sum"]), ["pid", "n", "cnt"])
+
+    sums = _over(ngrams, run, "pid string, n bigint, cnt bigint").groupBy("pid").agg(F.sum("n").alias("n"), F.sum("cnt").alias("cnt"))
+    return sums.select("pid", F.explode(F.array(F.lit("X"), F.lit("Y"))).alias("slot"), "n", "cnt")
 
-def path_instances(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
-    """pid, slot (X or Y), word, cnt and n: two rows for each instance, alike instances (n of them) as one."""
-    raw = raw_instances(ngrams, filter_aux).groupBy("verb", "prep", "x", "y", "cnt").agg(F.count(F.lit(1)).alias("n"))
-    return _stemmed(kept(raw), stem_all)
+
+#: Parts by word of a path without a preposition, which may be hot: each goes to a task of its own.
+PARTS = 8
+
+
+def _packed(own: pa.Table) -> pa.Table:
+    """pid, part, words and counts: all words of a path and part beside each other, each after its slot's letter, and their sums likewise."""
+    two = pa.concat_tables([pa.table([own["pid"], pc.binary_join_element_wise(s.upper(), own[s], ""), own["cnt"]], names=["pid", "word", "cnt"]) for s in ("x", "y")])
+    sums = two.group_by(["pid", "word"], use_threads=False).aggregate([("cnt", "sum")])
+    words = sums["word"].combine_chunks().dictionary_encode()
+    part = pa.array([crc32(w.encode()) % PARTS for w in words.dictionary.to_pylist()], pa.int32()).take(words.indices)
+    part = pc.if_else(pc.less_equal(pc.count_substring(sums["pid"], " "), 2), part, pa.scalar(0, pa.int32()))
+    sums = sums.append_column("part", part).append_column("count", sums["cnt_sum"].cast(pa.string()))
+    lists = sums.group_by(["pid", "part"], use_threads=False).aggregate([("word", "list"), ("count", "list")])
+    return pa.table([lists["pid"], lists["part"], *[pc.binary_join(lists[c].combine_chunks(), " ") for c in ("word_list", "count_list")]], names=["pid", "part", "words", "counts"])
 
 
 def triples(ngrams: DataFrame, stem_all: bool = True, filter_aux: bool = True) -> DataFrame:
-    """Summed path instances; sums come before stems, so that fewer words are joined, and n-grams are parsed once."""
-    raw = raw_instances(ngrams, filter_aux).groupBy("verb", "prep", "x", "y").agg(F.sum("cnt").alias("cnt"))
-    return _stemmed(kept(raw), stem_all).groupBy("pid", "slot", "word").agg(F.sum("cnt").alias("cnt"))
+    """Summed path instances.
+
+    Words are stemmed and counts summed where n-grams are parsed, so there is one
+    shuffle: of rows that have all words of a path and part beside each other (no
+    token holds a space), which takes half of what single words would.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in _paths(batches, stem_all, filter_aux):
+            yield from _packed(own).combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    packed = _over(ngrams, run, "pid string, part int, words string, counts string").repartition("pid", "part")
+    both = F.arrays_zip(F.split("words", " ").alias("word"), F.split("counts", " ").alias("cnt"))
+    rows = packed.select("pid", "part", F.explode(both).alias("v")).select("pid", "part", F.substring("v.word", 1, 1).alias("slot"), F.expr("substring(v.word, 2)").alias("word"), F.col("v.cnt").cast("bigint").alias("cnt"))
+    return rows.groupBy("pid", "part", "slot", "word").agg(F.sum("cnt").alias("cnt")).drop("part")

@@ -3,7 +3,7 @@
 import random
 
 from lexiloom import cli
-from lexiloom.functions.stem import stem
+from lexiloom.functions.stem import stem, stem_word
 from lexiloom.operators import evaluation, mi, ngrams, similarity, templates
 from lexiloom.sources import tables
 
@@ -191,3 +191,29 @@ def test_command_line_of_earlier_scores_and_jobs(spark, tmp_path):
     assert cli.run(spark, ["report", "--tasks", f"{t}/tasks", "--results", f"{t}/results", "--bucket", "b", "--output", f"{t}/reports"]) == 0
     (report,) = (p for p in (tmp_path / "reports").rglob("*") if p.is_file())
     assert str(report.relative_to(tmp_path / "reports")) == "reports/j/summary.html" and report.read_text().count("View Output") == 2
+
+
+def test_words_are_stemmed_where_lines_are_parsed(spark):
+    """One shuffle, or none, from lines to triples; the same stems and sums as Spark's."""
+    rule = random.Random(8)
+    parts = ["!", "+", "Y", "y", "a", "e", "i", "s", "ed", "ing", "eed", "ational", "ful", "ness", "ion", "st", "ll", "bl", "iz", "ement", "\u00c9", "ss", "ies", "\u03a3", "1", "-"]
+    words = sorted({"".join(rule.choice(parts) for _ in range(rule.randrange(7))) for _ in range(5000)})
+    stems = {r.word: r.stem for r in stem(spark.createDataFrame([(w,) for w in words], "word string")).collect()}
+    assert {w: stem_word(w) for w in words} == stems
+    rows, want, n = [], {}, {}
+    for i in range(3000):
+        x, v, y = rule.choice(words[1:40]), rule.choice(["Running", "is", "caused"]), rule.choice(words[1:40])
+        prep = rule.choice(["", "Of"])
+        rows.append((f"h\t{x}/NN/nsubj/2 {v}/VBD/ROOT/0 {y}/NN/{'prep_' + prep if prep else 'dobj'}/2\t{i}\t1999,1",))
+        if v != "is":
+            pid = " ".join(["X", stem_word(v), *([prep.lower()] if prep else []), "Y"])
+            for slot, word in (("X", x), ("Y", y)):
+                key = pid, slot, stem_word(word)
+                want[key] = want.get(key, 0) + i
+                n[key[:2]] = n.get(key[:2], 0) + 1
+    got = spark.createDataFrame(rows, "value string").repartition(3).localCheckpoint()
+    triples = ngrams.triples(got)
+    assert triples._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {(r.pid, r.slot, r.word): r.cnt for r in triples.collect()} == want and triples.count() == len(want)
+    assert "Exchange" not in ngrams.path_instances(got)._jdf.queryExecution().executedPlan().toString()
+    assert {(r.pid, r.slot): r.n for r in ngrams.path_totals(got).collect()} == n
