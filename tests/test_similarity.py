@@ -217,3 +217,13 @@ def test_words_are_stemmed_where_lines_are_parsed(spark):
     assert {(r.pid, r.slot, r.word): r.cnt for r in triples.collect()} == want and triples.count() == len(want)
     assert "Exchange" not in ngrams.path_instances(got)._jdf.queryExecution().executedPlan().toString()
     assert {(r.pid, r.slot): r.n for r in ngrams.path_totals(got).collect()} == n
+
+
+def test_alike_trees_and_tokens_leave_a_task_as_one(spark):
+    got = spark.range(0, 6000, 1, 1).selectExpr("concat('h\t', if(id % 3 = 0, 'a/NN/nsubj/2 b/VBD/ROOT/0', 'a/NN/nsubj/0'), '\t', id % 7, '\t1999,1') AS value")
+    (batch,) = got.toArrow().combine_chunks().to_batches()
+    assert sum(len(b) for b in ngrams._shapes(ngrams._parse([batch]))) == 2
+    assert sum(len(b) for b in ngrams._token_counts(ngrams._parse([batch, batch]))) == 3
+    assert {tuple(r) for r in ngrams.tree_shapes(got).collect()} == {("1,-1", 2000), ("-1", 4000)}
+    cnt = [sum(i % 7 for i in range(6000) if (i % 3 == 0) == pair) for pair in (True, False)]
+    assert {tuple(r) for r in ngrams.token_counts(got).collect()} == {("a", "NN", "nsubj", 2, 2000, cnt[0]), ("b", "VBD", "ROOT", 0, 2000, cnt[0]), ("a", "NN", "nsubj", 0, 4000, cnt[1])}
