@@ -242,3 +242,16 @@ def test_alike_tags_are_parsed_once(monkeypatch):
     own = np.array([TAGS.index(t) for t in ("DT", "NN", "VBD")])
     found = analysis.constituency([(i, ["the", f"w{i}", "ran"], own) for i in range(1000)])
     assert sum(rows) == 1 and found[7] == "(ROOT (S (NP (DT the) (NN w7)) (VP (VBD ran))))"
+
+
+def test_every_sentence_of_a_line_is_parsed(spark):
+    """Not only a line's first one: each has an output of its own, in their order."""
+    text = "The dog chased cats . And more ! quickly running ?\nno stop\n \n. !"
+    rows = [(k, kind, text) for k, kind in enumerate(("CONSTITUENCY", "DEPENDENCY"))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, analysis string, text string")
+    got = {r.doc_id: r.output for r in analysis.analyze(docs, analysis.fit(docs, rounds=1, most=8)).collect()}
+    want = [["The dog chased cats .", "And more !", "quickly running ?"], ["no stop"], [".", "!"]]
+    for k, words in ((0, r" ([^ ()]+)\)"), (1, r", (\S+)-\d+\)")):
+        blocks = [b.split("\nOUTPUT: ") for b in got[k].removesuffix("\n\n").split("\n\n")]
+        assert [[" ".join(re.findall(words, parse)) for parse in b[1:]] for b in blocks] == want
+        assert all(parse.count("(ROOT " if k == 0 else "root(ROOT-0, ") == 1 for b in blocks for parse in b[1:])
