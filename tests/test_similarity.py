@@ -4,7 +4,8 @@ import random
 
 from lexiloom import cli
 from lexiloom.functions.stem import stem, stem_word
-from lexiloom.operators import evaluation, mi, ngrams, similarity, templates
+from lexiloom.operators import evaluation, mi, ngrams, path_mi, similarity, templates
+from lexiloom.plans.catalogue import QUERIES
 from lexiloom.sources import tables
 
 LINES = """causes\tsmoking/NN/nsubj/2 causes/VBZ/ROOT/0 cancer/NN/dobj/2\t10\t1999,10
@@ -227,3 +228,27 @@ def test_alike_trees_and_tokens_leave_a_task_as_one(spark):
     assert {tuple(r) for r in ngrams.tree_shapes(got).collect()} == {("1,-1", 2000), ("-1", 4000)}
     cnt = [sum(i % 7 for i in range(6000) if (i % 3 == 0) == pair) for pair in (True, False)]
     assert {tuple(r) for r in ngrams.token_counts(got).collect()} == {("a", "NN", "nsubj", 2, 2000, cnt[0]), ("b", "VBD", "ROOT", 0, 2000, cnt[0]), ("a", "NN", "nsubj", 0, 4000, cnt[1])}
+
+
+def test_mutual_information_of_paths_moves_triples_once(spark, many_ranges):
+    """The same rows as by joins with marginals, words and paths of many homes, without a join that shuffles triples."""
+    rule = random.Random(4)
+    words, preps = [f"w{k}" for k in range(40)] + ["dogs", "ran"], ["with", "upon", "of"]
+    own = []
+    for k in range(3000):
+        x, v, y = (words[min(int(rule.expovariate(0.1)), 41)] for _ in range(3))
+        tail = f"{y}/NN/dobj/2" if k % 3 else f"{y}/NN/prep_{rule.choice(preps)}/2"
+        own.append((f"h\t{x}/NN/nsubj/2 {v}/VBD/ROOT/0 {tail}\t{rule.randrange(-1, 9)}",))
+    for rows in (own, own[:1], []):
+        table = spark.createDataFrame(rows, "value string").repartition(5)
+        got = path_mi.mutual_information(table)
+        want = mi.of_aggregate(ngrams.triples(table))
+        key = lambda r: (r.pid, r.slot, r.word)
+        got_rows, want_rows = (sorted(t.collect(), key=key) for t in (got, want))
+        assert [(key(r), round(r.mi, 9), r.cnt) for r in got_rows] == [(key(r), round(r.mi, 9), r.cnt) for r in want_rows]
+        assert len(rows) < 3000 or len(got_rows) > 500
+
+
+def test_mi_ngrams_has_no_join_with_words(spark):
+    plan = QUERIES["mi_ngrams"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # with the two sums of slots
