@@ -255,3 +255,34 @@ def test_every_sentence_of_a_line_is_parsed(spark):
         blocks = [b.split("\nOUTPUT: ") for b in got[k].removesuffix("\n\n").split("\n\n")]
         assert [[" ".join(re.findall(words, parse)) for parse in b[1:]] for b in blocks] == want
         assert all(parse.count("(ROOT " if k == 0 else "root(ROOT-0, ") == 1 for b in blocks for parse in b[1:])
+
+
+def test_tokens_of_texts_equal_those_of_spark(spark):
+    rule = random.Random(8)
+    letters = ["a", "É", "ß", "'", "’", "-", "1", "٣", "½", ".", ",", " ", "\t", " ", " ", "́", "漢", "🎉", "𝔘", "_", "\x0b", "\x1c", "\x85", "﻿", "!"]
+    texts = ["".join(rule.choice(letters[: rule.choice((17, 25))]) for _ in range(rule.randrange(30))) for _ in range(400)]
+    rows = spark.createDataFrame([(x,) for x in texts], "text string").select("text", hmm.tokens_of(F.col("text")).alias("tokens")).collect()
+    for r in rows:
+        assert hmm.tokens_and_ends(r.text) == r.tokens
+    assert hmm.tokens_and_ends("a\r\nb\rc\n") == ["a", "\r", "\n", "b", "\r", "c", "\n"]
+
+
+def test_work_of_a_round_follows_distinct_runs():
+    """Expected counts of runs are those of lines; alike runs of a task are one, however many lines there are."""
+    rule = random.Random(9)
+    texts = ["\n".join(" ".join(rule.choice(WORDS) for _ in range(rule.randrange(0, 60))) for _ in range(6)) for _ in range(30)] + [None, ""]
+    model = hmm.first_model([("the", 5), ("dogs", 3), ("running", 2), (".", 9)])
+    model = hmm.Model(model.symbols, np.random.default_rng(3).dirichlet(np.ones(15)), np.random.default_rng(4).dirichlet(np.ones(15), size=15), model.emit)
+
+    def distinct(times):
+        return pa.Table.from_batches(list(hmm._alike(iter([pa.RecordBatch.from_pydict({"text": pa.array(texts, pa.string())})] * times), model)))
+
+    one, many = distinct(1), distinct(20)
+    assert len(one) == len(many) and pc.sum(many["n"]).as_py() == 20 * pc.sum(one["n"]).as_py()
+    own, plain = hmm.Counts(model), hmm.Counts(model)
+    own.add_runs(hmm.Runs(model.emit > 0), many["run"].combine_chunks(), many["n"].to_numpy())
+    lines = [x.split() for t in texts if t for x in t.split("\n")]
+    for _ in range(20):
+        plain.add(np.array([model.symbol(w) for x in lines for w in x]), np.array([len(x) for x in lines]))
+    for name in ("start", "after", "emit", "likelihood"):
+        assert np.allclose(getattr(own, name), getattr(plain, name))
