@@ -286,3 +286,40 @@ def test_work_of_a_round_follows_distinct_runs():
         plain.add(np.array([model.symbol(w) for x in lines for w in x]), np.array([len(x) for x in lines]))
     for name in ("start", "after", "emit", "likelihood"):
         assert np.allclose(getattr(own, name), getattr(plain, name))
+
+
+def best_tree(row, g):
+    """The tree of the docstrings' order by exact tenths: most weight, first split, first rule."""
+    tenths = lambda x: None if x == -np.inf else round(x * 10)
+    rules = [(int(a), int(b), int(c), tenths(w)) for a, b, c, w in zip(g.whole, g.left, g.right, g.weight)]
+    cells = {}
+    for length in range(1, len(row) + 1):
+        for i in range(len(row) - length + 1):
+            j = i + length
+            for s in range(len(charts.SYMBOLS)):
+                if length == 1:
+                    if (w := tenths(g.lexical[row[i], s])) is not None:
+                        cells[i, j, s] = (w, (charts.SYMBOLS[s], i))
+                    continue
+                own = [(cells[i, k, b][0] + cells[k, j, c][0] + w, -k, -at) for k in range(i + 1, j) for at, (a, b, c, w) in enumerate(rules) if a == s and (i, k, b) in cells and (k, j, c) in cells]
+                if own:
+                    w, k, at = max(own)
+                    cells[i, j, s] = (w, (charts.SYMBOLS[s], cells[i, -k, rules[-at][1]][1], cells[-k, j, rules[-at][2]][1]))
+    n = len(row)
+    whole = [(cells[0, n, s][0] + tenths(g.roots[s]), -s) for s in range(len(charts.SYMBOLS)) if (0, n, s) in cells and tenths(g.roots[s]) is not None]
+    if whole:
+        return cells[0, n, -max(whole)[1]][1]
+    top = lambda i, j: max(((cells[i, j, s][0], -s) for s in range(len(charts.SYMBOLS)) if (i, j, s) in cells), default=None)
+    reached = {0: (0, ())}
+    for j in range(1, n + 1):
+        w, i = max((reached[i][0] + top(i, j)[0] + round(10 * charts.PART), -i) for i in range(j) if top(i, j))
+        reached[j] = (w, (*reached[-i][1], cells[-i, j, -top(-i, j)[1]][1]))
+    return (charts.FRAGMENT, *reached[n][1])
+
+
+def test_equal_weights_follow_the_order_of_splits_and_rules():
+    """Tenths add up exactly: rounding decides between no two trees."""
+    rule, g = np.random.default_rng(11), charts.grammar()
+    tags = rule.choice([TAGS.index(t) for t in ("NN", "NN", ".", ".", "JJ", "VB", "RB", "VB", "IN", "CC")], (12, 18))
+    for row, (_, tree) in zip(tags.tolist(), charts.constituents(tags)):
+        assert tree == best_tree(row, g)
