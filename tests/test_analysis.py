@@ -323,3 +323,28 @@ def test_equal_weights_follow_the_order_of_splits_and_rules():
     tags = rule.choice([TAGS.index(t) for t in ("NN", "NN", ".", ".", "JJ", "VB", "RB", "VB", "IN", "CC")], (12, 18))
     for row, (_, tree) in zip(tags.tolist(), charts.constituents(tags)):
         assert tree == best_tree(row, g)
+
+
+def test_alike_tags_have_dependencies_found_once(monkeypatch):
+    """Also over calls that share forms; words and places of pieces of a long sentence are its own."""
+    rows, chart = [], charts.dependencies
+    monkeypatch.setattr(charts, "dependencies", lambda weights, root: rows.append(len(weights)) or chart(weights, root))
+    analyser = analysis.Analyser(None, np.zeros((4, len(TAGS), len(TAGS))))
+    own = np.array([TAGS.index(t) for t in ("DT", "NN", "VBD")])
+    known = {}
+    for call in range(3):
+        found = analysis.dependency([(i, ["the", f"w{call}%{i}", "ran"], own) for i in range(1000)], analyser, known)
+        assert found[7] == f"det(w{call}%7-2, the-1)\nnsubj(ran-3, w{call}%7-2)\nroot(ROOT-0, ran-3)"
+    assert sum(rows) == 1
+    (long,) = analysis.dependency([(0, [f"w{i}" for i in range(99)], np.resize(own, 99))], analyser, known).values()
+    assert re.findall(r", w(\d+)-(\d+)\)", long) == [(str(i), str(i + 1)) for i in range(99)] and long.count("root(ROOT-0, ") == 1 and long.count("parataxis(") == 2
+    assert analysis.dependency([(0, [], own[:0]), (1, ["a"], own[:1])], analyser) == {1: "root(ROOT-0, a-1)"}
+
+
+def test_rounding_decides_between_no_two_dependency_trees():
+    rule = np.random.default_rng(5)
+    told = rule.choice([0.1, 0.2, 0.3, 0.7], (4, len(TAGS), len(TAGS)))
+    tags = rule.choice([TAGS.index(t) for t in ("NN", "NN", ".", "JJ", "VB")], (300, 14))
+    sentences = [(i, [str(k) for k in range(14)], t) for i, t in enumerate(tags)]
+    near = told * (1 + 1e-13 * rule.normal(size=told.shape))
+    assert analysis.dependency(sentences, analysis.Analyser(None, told)) == analysis.dependency(sentences, analysis.Analyser(None, near))
